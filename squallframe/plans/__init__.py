@@ -3,6 +3,8 @@ from importlib import import_module
 
 FAMILIES = [
     "cleaning",
+    "sources",
+    "sequence",
 ]
 
 

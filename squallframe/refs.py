@@ -58,7 +58,13 @@ COMPASS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "
 def period_months(spark: SparkSession, periods: dict[str, list[int]] = PERIODS) -> DataFrame:
     """(period, month) rows; a fixed table of a few dozen rows, so it is always safe to broadcast."""
     rows = [(name, m) for name, months in periods.items() for m in months]
-    return F.broadcast(spark.createDataFrame(rows, "period string, month int"))
+    return F.broadcast(literal_table(spark, rows, ["period", "month"]))
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A hand-written table as an inline relation; its size is that of the code that lists it."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def box(name: str) -> tuple[float, float, float, float]:
