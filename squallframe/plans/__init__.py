@@ -5,6 +5,7 @@ FAMILIES = [
     "cleaning",
     "sources",
     "sequence",
+    "joins",
 ]
 
 
