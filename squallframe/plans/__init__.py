@@ -6,6 +6,7 @@ FAMILIES = [
     "sources",
     "sequence",
     "joins",
+    "resample",
 ]
 
 
