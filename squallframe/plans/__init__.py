@@ -7,6 +7,7 @@ FAMILIES = [
     "sequence",
     "joins",
     "resample",
+    "indices",
 ]
 
 
