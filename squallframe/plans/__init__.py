@@ -8,6 +8,7 @@ FAMILIES = [
     "joins",
     "resample",
     "indices",
+    "profile",
 ]
 
 

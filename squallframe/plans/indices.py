@@ -10,7 +10,7 @@ from squallframe.plans.registry import query, r6, sql
 WIDE = {
     "ml_cape": "ml_cape", "mu_cape": "ml_cape * 2", "sb_cape": "ml_cape * 1.2E0 + dcape * 2", "dcape": "dcape",
     "t_totals": "t_totals", "s06": "s06", "s03": "s06 / 1.43E0", "s01": "s06 / 2.1E0", "ebwd": "s06 / 1.3E0",
-    "umean06": "umean06", "umean800_600": "umean06 / 1.1E0 + 2", "umean01": "umean06 + 6", "uwindinf": "s06 / 2.3E0",
+    "umean06": "umean06", "umean800_600": "umean06 * 0.9E0 + SQRT(2E0)", "umean01": "umean06 + 6", "uwindinf": "SQRT(s06 + 0.37E0)",
     "ml_lcl": "dcape * 2.5E0", "ml_cin": "t_totals * 5 - 120", "srh01": "s06 * 4 / 0.93E0", "srhe_left": "s06 * 3 / 0.97E0",
     "lr03": "t_totals / 6.5E0", "lr13": "t_totals / 7.5E0", "lr75": "t_totals / 8E0", "lr36": "t_totals / 7E0", "lr38": "t_totals / 7.7E0",
     "lr_freezing": "t_totals / 6E0", "lr850_670": "t_totals / 7E0", "lr750_500": "t_totals / 7.2E0", "mu_q": "s06 / 3E0 + 8",
