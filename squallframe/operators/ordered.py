@@ -36,14 +36,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
-def with_bin(df: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
+def with_bin(df: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, bins: int = BINS, keep_low: bool = False) -> DataFrame:
     """Attach ``_bin``: equal-width slices of each key's [lo, hi]; out-of-range values go to the end bins."""
     span = F.col("_hi") - F.col("_lo")
     raw = F.floor((F.col(value) - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * bins)
     return (
         df.join(ranges, list(keys))
         .withColumn("_bin", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), raw)), F.lit(0)).cast("int"))
-        .drop("_lo", "_hi")
+        .drop(*(["_hi"] if keep_low else ["_lo", "_hi"]))
     )
 
 
@@ -52,6 +52,16 @@ def value_range(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
 
 
+def shared(vc: DataFrame, value: str, counts: Sequence[str]) -> DataFrame:
+    """Tie the value to every count column (all are >= 0, so nothing is dropped).
+
+    The readers of a count table then need the same columns; column pruning leaves their plans equal
+    and Spark runs the table's shuffle once for all of them.
+    """
+    seen = reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in counts])
+    return vc.withColumn(value, F.when(seen, F.col(value)))
+
+
 def _bin_offsets(binned: DataFrame, keys: list[str], counts: Sequence[str]) -> DataFrame:
     """Per (keys, bin): the sum of every earlier bin and the key total; at most BINS rows per key."""
     tot = binned.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(f"{c}_bin") for c in counts])
@@ -66,7 +76,7 @@ def running_counts(
     vc: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str] = ("n",), bins: int = BINS
 ) -> DataFrame:
     """For distinct (keys, value) rows add ``{c}_le`` (up to and with), ``{c}_lt`` (before), ``{c}_total``."""
-    vc, ks = keyed(vc, keys)
+    vc, ks = keyed(shared(vc, value, counts), keys)
     binned = with_bin(vc, value_range(vc, ks, value), ks, value, bins)
     inside = Window.partitionBy(*ks, "_bin").orderBy(value).rowsBetween(_UNB, _CUR)
     for c in counts:
@@ -86,9 +96,19 @@ def quantiles(
 
     Counts per bin find the bins that hold the wanted ranks; only those bins are sorted.
     """
-    vc, ks = keyed(value_counts(df, keys, value), keys)
-    binned = with_bin(vc, value_range(vc, ks, value), ks, value, bins)
-    offs = _bin_offsets(binned, ks, ["n"])
+    return count_quantiles(value_counts(df, keys, value), keys, value, probs, ("n",), bins).drop("least", "n_total")
+
+
+def count_quantiles(
+    vc: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | Column], counts: Sequence[str] = ("n",), bins: int = BINS
+) -> DataFrame:
+    """``quantiles`` of a table of distinct values with count ``n``; ``counts`` names all its count columns.
+
+    Also returns each key's smallest value as ``least`` and its totals as ``{count}_total``.
+    """
+    vc, ks = keyed(shared(vc, value, counts), keys)
+    binned = with_bin(vc, value_range(vc, ks, value), ks, value, bins, keep_low=True)
+    offs = _bin_offsets(binned, ks, counts)
 
     def spot(p):
         return (p if isinstance(p, Column) else F.lit(float(p))) * (F.col("n_total") - 1)
@@ -100,15 +120,13 @@ def quantiles(
         (F.col("n_off") <= r) & (r < F.col("n_off") + F.col("n_bin")) for p in probs.values() for r in ranks(p)
     ]
     need = offs.where(reduce(lambda a, b: a | b, wanted))
-    picked = binned.join(need.drop("n_bin"), [*ks, "_bin"])
+    picked = binned.join(need.select(*ks, "_bin", "n_off", *[f"{c}_total" for c in counts]), [*ks, "_bin"])
     inside = Window.partitionBy(*ks, "_bin").orderBy(value).rowsBetween(_UNB, _CUR)
-    picked = picked.withColumn("_le", F.col("n_off") + F.sum("n").over(inside)).withColumn(
-        "_lt", F.col("_le") - F.col("n")
-    )
-    aggs = [F.max("n_total").alias("n_total")]
+    le = F.col("n_off") + F.sum("n").over(inside)
+    picked = picked.withColumns({"_le": le, "_lt": le - F.col("n")})
+    aggs = [F.first("_lo").alias("least"), *[F.first(f"{c}_total").alias(f"{c}_total") for c in counts]]
     for name, p in probs.items():
-        lo, hi = ranks(p)
-        for tag, r in (("lo", lo), ("hi", hi)):
+        for tag, r in zip(("lo", "hi"), ranks(p), strict=True):
             hit = (F.col("_lt") <= r) & (r < F.col("_le"))
             aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{name}_{tag}"))
     out = picked.groupBy(*ks).agg(*aggs)
@@ -116,7 +134,7 @@ def quantiles(
         (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * (spot(p) - F.floor(spot(p)))).alias(n)
         for n, p in probs.items()
     ]
-    return out.select(*keys, *cols)
+    return out.select(*keys, *cols, "least", *[f"{c}_total" for c in counts])
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str, bins: int = BINS) -> DataFrame:

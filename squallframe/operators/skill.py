@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from squallframe.functions.draws import pick
 from squallframe.functions.scalar import col
-from squallframe.operators.ordered import quantiles, row_numbers, running_counts, value_counts
+from squallframe.operators.ordered import count_quantiles, quantiles, row_numbers, running_counts, shared, value_counts
 
 MIN_POD = 0.66  # fixed value
 
@@ -69,43 +69,42 @@ def threshold_counts(
     """
     keys = list(keys)
     rows = long.where(F.col(event).isNotNull())
-    vc = value_counts(rows, keys, value, {"e": F.col(event).cast("long")})
-    span = vc.groupBy(*keys).agg(F.min(value).alias("lo"), F.sum("n").alias("n_all"), F.sum("e").alias("n_event"))
-    span = span.join(quantiles(rows, keys, value, {"hi": top}), keys)
-    span = span.withColumn("step", (F.col("hi") - F.col("lo")) / (steps - 1))
+    vc = shared(value_counts(rows, keys, value, {"e": F.col(event).cast("long")}), value, ("n", "e"))
+    span = count_quantiles(vc, keys, value, {"hi": top}, ("n", "e")).withColumnRenamed("least", "lo")
+    span = span.withColumn("step", (F.col("hi") - F.col("lo")) / (steps - 1)).drop("hi")
     at = lambda i: F.col("lo") + i * F.col("step")
     v = F.col(value)
-    guess = F.least(F.greatest(F.coalesce(F.ceil((v - F.col("lo")) / F.nullif("step", F.lit(0.0))), F.lit(0)), F.lit(0)), F.lit(steps))
-    marked = vc.join(span.select(*keys, "lo", "step"), keys).withColumn("_g", guess.cast("int"))
-    # thresholds strictly below the value; the guess is checked against its two neighbours, so ties are exact
-    below = lambda i: ((i >= 0) & (i < steps) & (at(i) < v)).cast("int")
-    g = F.greatest(F.col("_g") - 2, F.lit(0)) + below(F.greatest(F.col("_g") - 2, F.lit(0)))
-    for k in (1, 2, 3):
-        i = F.greatest(F.col("_g") - 2, F.lit(0)) + k
-        g = g + below(i)
-    g = F.when(F.col("step") == 0, F.when(v > F.col("lo"), steps).otherwise(0)).otherwise(F.least(g, F.lit(steps)))
-    marked = marked.withColumn("_gt", g)
-    tie = ((F.col("_gt") < steps) & (at(F.col("_gt")) == v)) if steps else F.lit(False)
-    lt = F.when(F.col("step") == 0, F.when(v >= F.col("lo"), steps).otherwise(0)).otherwise(F.col("_gt") + tie.cast("int"))
-    marked = marked.withColumn("_lt", lt)
-    parts = [
-        marked.groupBy(*keys, F.col(c).cast("int").alias("i")).agg(
-            F.sum("e").alias(f"e{c}"), F.sum(F.col("n") - F.col("e")).alias(f"o{c}")
-        )
-        for c in ("_gt", "_lt")
-    ]
-    dense = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
-    both = dense.unionByName(parts[0], allowMissingColumns=True).unionByName(parts[1], allowMissingColumns=True)
+    # how many thresholds lie strictly below the value: a first guess two too low, then four exact checks
+    guess = F.ceil((v - F.col("lo")) / F.nullif("step", F.lit(0.0))) - 2
+    marked = vc.join(span, keys).withColumn("_g", F.greatest(F.least(F.coalesce(guess, F.lit(0)), F.lit(steps)), F.lit(0)).cast("int"))
+    below = F.col("_g")
+    for k in range(4):
+        i = F.col("_g") + k
+        below = below + ((i < steps) & (at(i) < v)).cast("int")
+    flat = F.col("step") == 0
+    marked = marked.withColumn("_gt", F.when(flat, F.when(v > F.col("lo"), steps).otherwise(0)).otherwise(below))
+    tie = ((F.col("_gt") < steps) & (at(F.col("_gt")) == v)).cast("int")
+    marked = marked.withColumn("_lt", F.when(flat, F.when(v >= F.col("lo"), steps).otherwise(0)).otherwise(F.col("_gt") + tie))
+    # each distinct value counts at its two indices; the zero row opens every key's list
     names = ["e_gt", "o_gt", "e_lt", "o_lt"]
-    per = both.groupBy(*keys, "i").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
-    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(*keys, "i", *[F.sum(c).over(upto).alias(c) for c in names]).where(F.col("i") < steps)
-    out = run.join(span, keys)
-    n_other = F.col("n_all") - F.col("n_event")
+    e, o, zero = F.col("e"), F.col("n") - F.col("e"), F.lit(0).cast("long")
+    cell = lambda i, *c: F.struct(i.cast("int").alias("i"), *[x.alias(n) for x, n in zip(c, names, strict=True)])
+    spots = F.array(cell(F.col("_gt"), e, o, zero, zero), cell(F.col("_lt"), zero, zero, e, o), cell(F.lit(0), zero, zero, zero, zero))
+    fixed = ["lo", "step", "n_total", "e_total"]
+    per = marked.select(*keys, *fixed, F.inline(spots)).groupBy(*keys, "i").agg(
+        *[F.sum(c).alias(c) for c in names], *[F.first(c).alias(c) for c in fixed]
+    )
+    w = Window.partitionBy(*keys).orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = per.select(*keys, *fixed, F.col("i").alias("_from"), F.lead("i").over(w).alias("_next"), *[F.sum(c).over(upto).alias(c) for c in names])
+    # counts only change where a value lies; each run of equal counts is spread over its thresholds
+    last = F.least(F.coalesce(F.col("_next"), F.lit(steps)), F.lit(steps)) - 1
+    out = run.where(F.col("_from") < steps).withColumn("i", F.explode(F.sequence(F.col("_from"), last)))
+    n_other = F.col("n_total") - F.col("e_total")
     return out.select(
         *keys, "i", at(F.col("i")).alias("threshold"),
-        (F.col("n_event") - F.col("e_gt")).alias("hits_gt"), (n_other - F.col("o_gt")).alias("fa_gt"),
-        F.col("e_lt").alias("hits_lt"), F.col("o_lt").alias("fa_lt"), "n_event", n_other.alias("n_other"),
+        (F.col("e_total") - F.col("e_gt")).alias("hits_gt"), (n_other - F.col("o_gt")).alias("fa_gt"),
+        F.col("e_lt").alias("hits_lt"), F.col("o_lt").alias("fa_lt"), F.col("e_total").alias("n_event"), n_other.alias("n_other"),
     )
 
 
@@ -139,27 +138,39 @@ def pair_sweep(
     if rule not in ("and", "or"):
         raise ValueError(rule)
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(event).cast("long").alias("e")).dropna()
-    pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"))
-    span = rows.agg(F.min("a").alias("lo_a"), F.min("b").alias("lo_b"))
-    for c in ("a", "b"):
-        span = span.crossJoin(quantiles(rows, [], c, {f"hi_{c}": top}))  # one row each
-    span = F.broadcast(span.withColumns({f"st_{c}": (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / (steps - 1) for c in ("a", "b")}))
-    marked = pairs.crossJoin(span)
+    pairs = shared(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e")), "a", ("n", "e"))
+    values = pairs.unpivot(["n", "e"], ["a", "b"], "axis", "value").groupBy("axis", "value").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    q = count_quantiles(values, ["axis"], "value", {"hi": top}, ("n", "e")).withColumnRenamed("least", "lo")
+    of = lambda axis, c: F.max(F.when(F.col("axis") == axis, c))
+    step = (F.col("hi") - F.col("lo")) / (steps - 1)
+    span = q.agg(
+        *[of(c, F.col("lo")).alias(f"lo_{c}") for c in ("a", "b")], *[of(c, step).alias(f"st_{c}") for c in ("a", "b")],
+        F.max("n_total").alias("n_all"), F.max("e_total").alias("n_event"),
+    )
+    fixed = span.columns
+    marked = pairs.crossJoin(F.broadcast(span))  # one row
     thresholds = F.sequence(F.lit(0), F.lit(steps - 1))
     reached = lambda c: F.size(F.filter(thresholds, lambda i: F.col(c) >= F.col(f"lo_{c}") + i * F.col(f"st_{c}")))
-    hist = marked.groupBy(reached("a").alias("ia"), reached("b").alias("ib")).agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    # the grid has at most (steps+1)^2 cells from here on
+    hist = marked.groupBy(reached("a").alias("ia"), reached("b").alias("ib")).agg(
+        F.sum("n").alias("n"), F.sum("e").alias("e"), *[F.first(c).alias(c) for c in fixed]
+    )
+    # from here on at most (steps+1)^2 cells: every cell adds to all cells at or below it on both axes
+    cells = hist.withColumn("ja", F.explode(F.sequence(F.lit(0), F.col("ia")))).withColumn("jb", F.explode(F.sequence(F.lit(0), F.col("ib"))))
+    run = cells.groupBy(F.col("ja").alias("ia"), F.col("jb").alias("ib")).agg(
+        F.sum("n").alias("n"), F.sum("e").alias("e"), *[F.first(c).alias(c) for c in fixed]
+    )
+    # a pair of limits that no row reaches together still has a place on the grid
     axis = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("ia"))
-    dense = axis.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumns({"n": F.lit(0), "e": F.lit(0)})
-    cells = hist.unionByName(dense).groupBy("ia", "ib").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    by_b = Window.partitionBy("ia").orderBy(F.col("ib").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    by_a = Window.partitionBy("ib").orderBy(F.col("ia").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.withColumns({c: F.sum(c).over(by_b) for c in ("n", "e")})
-    run = run.withColumns({c: F.sum(c).over(by_a) for c in ("n", "e")})  # counts with index >= (ia, ib)
-    wa = run.where("ib = 0").select("ia", F.col("n").alias("na"), F.col("e").alias("ea"))
-    wb = run.where("ia = 0").select("ib", F.col("n").alias("nb"), F.col("e").alias("eb"))
-    total = run.where("ia = 0 AND ib = 0").select(F.col("n").alias("n_all"), F.col("e").alias("n_event"))
-    full = run.where("ia > 0 AND ib > 0").join(wa, "ia").join(wb, "ib").crossJoin(F.broadcast(total)).crossJoin(span)
+    dense = axis.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    full = dense.unionByName(run, allowMissingColumns=True).groupBy("ia", "ib").agg(*[F.max(c).alias(c) for c in ("n", "e", *fixed)])
+    full = full.select("ia", "ib", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "e")], *fixed)
+    by_a, by_b = Window.partitionBy("ia"), Window.partitionBy("ib")
+    margin = lambda c, ix, w: F.max(F.when(F.col(ix) == 0, F.col(c))).over(w)
+    full = full.withColumns(
+        {"na": margin("n", "ib", by_a), "ea": margin("e", "ib", by_a), "nb": margin("n", "ia", by_b), "eb": margin("e", "ia", by_b)}
+    )
+    whole = Window.partitionBy(F.lit(0))  # the grid only
+    full = full.withColumns({c: F.max(c).over(whole) for c in fixed}).where("ia > 0 AND ib > 0")
     both = (F.col("n"), F.col("e")) if rule == "and" else (F.col("na") + F.col("nb") - F.col("n"), F.col("ea") + F.col("eb") - F.col("e"))
     hits, fa = both[1], both[0] - both[1]
     ne = F.col("n_event")

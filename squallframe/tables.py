@@ -23,10 +23,16 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._raw: dict[str, DataFrame] = {}
         # only the session's time zone matters for results; the cluster's other settings stay
         spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
 
     def raw(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = self._read(name)
+        return self._raw[name]
+
+    def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
