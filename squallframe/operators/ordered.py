@@ -220,27 +220,34 @@ def fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Colum
 
 
 def interp_lookup(
-    queries: DataFrame, knots: DataFrame, keys: Sequence[str], x: str, xp: str, fp: str, out: str, bins: int = BINS
+    queries: DataFrame, knots: DataFrame, keys: Sequence[str], x: str, xp: str, fp: str, out: str,
+    fp_left: str | None = None, bins: int = BINS,
 ) -> DataFrame:
     """Piecewise-linear lookup of ``x`` in the curve (xp, fp) of the same key, clamped at both ends.
 
-    Knots must be unique on (keys, xp).  Repeated query values are looked up once.
+    Knots must be unique on (keys, xp).  A curve that jumps at its knots gives the value reached from
+    the left in ``fp_left``; the knot itself and what lies to its right use ``fp``.  Repeated query
+    values are looked up once.
     """
-    points, ks = keyed(queries.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x")).distinct(), keys)
-    curve, _ = keyed(knots.select(*keys, F.col(xp).cast("double").alias("_x"), F.col(fp).cast("double").alias("_f")), keys)
-    both = (
-        points.select(*ks, F.col("_x").cast("double").alias("_x"), F.lit(None).cast("double").alias("_f"), F.lit(1).alias("_q"))
-        .unionByName(curve.select(*ks, "_x", "_f", F.lit(0).alias("_q")))
+    points, ks = keyed(queries.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x")).distinct(), keys)
+    curve, _ = keyed(
+        knots.select(
+            *keys, F.col(xp).cast("double").alias("_x"), F.col(fp).cast("double").alias("_f"), F.col(fp_left or fp).cast("double").alias("_l")
+        ),
+        keys,
     )
+    both = points.select(*ks, "_x", *[F.lit(None).cast("double").alias(c) for c in ("_f", "_l")], F.lit(1).alias("_q"))
+    both = both.unionByName(curve.select(*ks, "_x", "_f", "_l", F.lit(0).alias("_q")))
     both = with_bin(both, value_range(curve, ks, "_x"), ks, "_x", bins).withColumn(
-        "_k", F.when(F.col("_q") == 0, F.struct("_x", "_f"))
+        "_k", F.when(F.col("_q") == 0, F.struct("_x", "_f", "_l"))
     )
     near = fill(both, [*ks], ["_x", "_q"], F.col("_bin"), ["_k"]).where("_q = 1")
     lo, hi = F.col("_k_last"), F.col("_k_first")
     # a query that equals a knot sorts just after it, so the lower knot is that knot
-    line = lo["_f"] + (hi["_f"] - lo["_f"]) / F.nullif(hi["_x"] - lo["_x"], F.lit(0.0)) * (F.col("_x") - lo["_x"])
+    line = lo["_f"] + (hi["_l"] - lo["_f"]) / F.nullif(hi["_x"] - lo["_x"], F.lit(0.0)) * (F.col("_x") - lo["_x"])
     value = (
-        F.when(lo.isNull(), hi["_f"]).when(hi.isNull() | (lo["_x"] == F.col("_x")), lo["_f"]).otherwise(line)
+        F.when(lo.isNull(), hi["_l"]).when(hi.isNull() | (lo["_x"] == F.col("_x")), lo["_f"]).otherwise(line)
     )
-    found = near.select(*keys, F.col("_x").alias(x), value.alias(out))
-    return queries.join(found, [*keys, x], "left")
+    found = near.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_x").alias("_xq"), value.alias("_found"))
+    match = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(x).cast("double") == F.col("_xq")]
+    return queries.join(found, reduce(lambda a, b: a & b, match), "left").select(*queries.columns, F.col("_found").alias(out))

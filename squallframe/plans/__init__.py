@@ -10,6 +10,7 @@ FAMILIES = [
     "indices",
     "profile",
     "skill",
+    "mapping",
 ]
 
 
