@@ -62,9 +62,9 @@ def fill_levels(df: DataFrame, keys: Sequence[str], level: str, value: str) -> D
 
     The window is one vertical column, so it is bounded by the number of model levels.
     """
-    w = Window.partitionBy(*keys).orderBy(level)
-    below = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(*keys)
+    back = lambda o: F.last(value, ignorenulls=True).over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1))
+    below, above = back(F.col(level)), back(F.col(level).desc())
     gap = (F.coalesce(below, above) + F.coalesce(above, below)) / 2
     return df.withColumn(value, F.coalesce(F.col(value), gap))
 

@@ -3,13 +3,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallframe.functions.scalar import col
 from squallframe.functions.stats import gamma
-from squallframe.operators.ordered import interp_lookup, running_counts, value_counts
+from squallframe.session import settle
+from squallframe.operators.ordered import lookup_rows, running_counts, value_counts
 
 
 def model_curve(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -38,21 +40,28 @@ def rank_curve(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def quantile_map(
     rows: DataFrame, reference: DataFrame, observed: DataFrame, model_keys: Sequence[str], obs_keys: Sequence[str], value: str,
-    out: str = "mapped", keep_zero: bool = True, pooled: bool = False,
+    out: str = "mapped", keep_zero: bool = True, pooled: bool = False, unique: bool = False,
 ) -> DataFrame:
     """Map ``rows`` through the model's reference distribution onto the observed one.
 
     ``reference`` gives the model distribution per ``model_keys``, ``observed`` the target per
     ``obs_keys`` (a subset).  Results stay inside the observed range; zeros stay zero if asked.
-    ``pooled`` keeps every rank of the observed sample, else ties take their first rank.
+    ``pooled`` keeps every rank of the observed sample, else ties take their first rank.  Each distinct
+    value is mapped once and joined back; ``unique`` says the rows hardly repeat values, and skips that.
     """
-    curve = model_curve(reference, model_keys, value)
-    target = rank_curve(observed, obs_keys, value) if pooled else observed_curve(observed, obs_keys, value)
-    with_p = interp_lookup(rows, curve, model_keys, value, "x", "p", "_p", fp_left="p_left")
-    mapped = interp_lookup(with_p, target, obs_keys, "_p", "p", "x", out)
+    curve = settle(model_curve(reference, model_keys, value))
+    target = settle(rank_curve(observed, obs_keys, value) if pooled else observed_curve(observed, obs_keys, value))
+    names = [*model_keys, value]
+    asked = rows if unique else rows.select(*names).distinct()
+    with_p = settle(lookup_rows(asked, curve, model_keys, value, "x", "p", "_p", fp_left="p_left"))
+    found = lookup_rows(with_p, target, obs_keys, "_p", "p", "x", out).drop("_p")
     if keep_zero:
-        mapped = mapped.withColumn(out, F.when(F.col(value) == 0, 0.0).otherwise(F.col(out)))
-    return mapped.drop("_p")
+        found = found.withColumn(out, F.when(F.col(value) == 0, 0.0).otherwise(F.col(out)))
+    if unique:
+        return found
+    found = found.select(*[F.col(c).alias(f"_k_{c}") for c in names], out)
+    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in names])
+    return rows.join(found, match, "left").select(*rows.columns, out)
 
 
 def empirical_return_levels(
@@ -63,11 +72,11 @@ def empirical_return_levels(
     The rank with F = 1 has no finite period; beyond the last finite one the largest value is used.
     """
     ranks = rank_curve(df, keys, value).where(F.col("p") < 1)
-    knots = ranks.groupBy(*keys, "p").agg(F.max("x").alias("x")).withColumn("T", 1.0 / (1.0 - F.col("p")) / per_year)
+    knots = settle(ranks.groupBy(*keys, "p").agg(F.max("x").alias("x")).withColumn("T", 1.0 / (1.0 - F.col("p")) / per_year))
     top = df.groupBy(*keys).agg(F.max(value).alias("_max"))
     last = knots.groupBy(*keys).agg(F.max("T").alias("_last"))
     asked = top.join(last, list(keys), "left").withColumn("T", F.explode(F.array(*[F.lit(float(t)) for t in periods])))
-    found = interp_lookup(asked, knots, keys, "T", "T", "x", "level")
+    found = lookup_rows(asked, knots, keys, "T", "T", "x", "level")
     level = F.when(F.col("T") > F.coalesce("_last", F.lit(0.0)), F.col("_max").cast("double")).otherwise(F.col("level"))
     return found.select(*keys, "T", level.alias("level"))
 

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+MAX_BINS = 65536  # bins of one key at most; a bin table row is a few numbers
+ROWS_PER_BIN = 50_000  # a key gets one bin per this many rows, so small keys stay whole
 _UNB, _CUR = Window.unboundedPreceding, Window.currentRow
 ALL = "_all"
 
@@ -36,20 +37,24 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
-def with_bin(df: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, bins: int = BINS, keep_low: bool = False) -> DataFrame:
-    """Attach ``_bin``: equal-width slices of each key's [lo, hi]; out-of-range values go to the end bins."""
-    span = F.col("_hi") - F.col("_lo")
-    raw = F.floor((F.col(value) - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * bins)
-    return (
-        df.join(ranges, list(keys))
-        .withColumn("_bin", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), raw)), F.lit(0)).cast("int"))
-        .drop(*(["_hi"] if keep_low else ["_lo", "_hi"]))
-    )
+def value_range(df: DataFrame, keys: Sequence[str], value: str, of: Column | None = None) -> DataFrame:
+    """Per key: value range (of the rows with ``of``) and the number of bins for its row count."""
+    v = F.col(value).cast("double")
+    v = v if of is None else F.when(of, v)
+    bins = F.least(F.lit(MAX_BINS), F.ceil(F.count(F.lit(1)) / ROWS_PER_BIN)).cast("int")
+    return df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), bins.alias("_nb"))
 
 
-def value_range(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+def bin_of(value: str | Column) -> Column:
+    """Equal-width slice of [_lo, _hi]; values outside go to the end bins.  Monotone in the value."""
+    v = F.col(value) if isinstance(value, str) else value
+    raw = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * F.col("_nb"))
+    return F.coalesce(F.greatest(F.lit(0), F.least(F.col("_nb") - 1, raw)), F.lit(0)).cast("int")
+
+
+def with_bin(df: DataFrame, keys: Sequence[str], value: str, keep_low: bool = False) -> DataFrame:
+    out = df.join(value_range(df, keys, value), list(keys)).withColumn("_bin", bin_of(value))
+    return out.drop("_hi", "_nb", *([] if keep_low else ["_lo"]))
 
 
 def shared(vc: DataFrame, value: str, counts: Sequence[str]) -> DataFrame:
@@ -63,7 +68,7 @@ def shared(vc: DataFrame, value: str, counts: Sequence[str]) -> DataFrame:
 
 
 def _bin_offsets(binned: DataFrame, keys: list[str], counts: Sequence[str]) -> DataFrame:
-    """Per (keys, bin): the sum of every earlier bin and the key total; at most BINS rows per key."""
+    """Per (keys, bin): the sum of every earlier bin and the key total; one row per bin."""
     tot = binned.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(f"{c}_bin") for c in counts])
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(_UNB, -1)
     whole = Window.partitionBy(*keys)
@@ -73,11 +78,11 @@ def _bin_offsets(binned: DataFrame, keys: list[str], counts: Sequence[str]) -> D
 
 
 def running_counts(
-    vc: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str] = ("n",), bins: int = BINS
+    vc: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str] = ("n",)
 ) -> DataFrame:
     """For distinct (keys, value) rows add ``{c}_le`` (up to and with), ``{c}_lt`` (before), ``{c}_total``."""
     vc, ks = keyed(shared(vc, value, counts), keys)
-    binned = with_bin(vc, value_range(vc, ks, value), ks, value, bins)
+    binned = with_bin(vc, ks, value)
     inside = Window.partitionBy(*ks, "_bin").orderBy(value).rowsBetween(_UNB, _CUR)
     for c in counts:
         binned = binned.withColumn(f"{c}_in", F.sum(c).over(inside))
@@ -90,24 +95,24 @@ def running_counts(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | Column], bins: int = BINS
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | Column]
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key.
 
     Counts per bin find the bins that hold the wanted ranks; only those bins are sorted.
     """
-    return count_quantiles(value_counts(df, keys, value), keys, value, probs, ("n",), bins).drop("least", "n_total")
+    return count_quantiles(value_counts(df, keys, value), keys, value, probs, ("n",)).drop("least", "n_total")
 
 
 def count_quantiles(
-    vc: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | Column], counts: Sequence[str] = ("n",), bins: int = BINS
+    vc: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float | Column], counts: Sequence[str] = ("n",)
 ) -> DataFrame:
     """``quantiles`` of a table of distinct values with count ``n``; ``counts`` names all its count columns.
 
     Also returns each key's smallest value as ``least`` and its totals as ``{count}_total``.
     """
     vc, ks = keyed(shared(vc, value, counts), keys)
-    binned = with_bin(vc, value_range(vc, ks, value), ks, value, bins, keep_low=True)
+    binned = with_bin(vc, ks, value, keep_low=True)
     offs = _bin_offsets(binned, ks, counts)
 
     def spot(p):
@@ -137,10 +142,10 @@ def count_quantiles(
     return out.select(*keys, *cols, "least", *[f"{c}_total" for c in counts])
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str, bins: int = BINS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
     """1-based position by a column that is unique within the key."""
     base, ks = keyed(df, keys)
-    binned = with_bin(base, value_range(base, ks, order), ks, order, bins)
+    binned = with_bin(base, ks, order)
     offs = _bin_offsets(binned.withColumn("n", F.lit(1)), ks, ["n"]).select(*ks, "_bin", "n_off", "n_total")
     inside = Window.partitionBy(*ks, "_bin").orderBy(order)
     out = binned.withColumn("_in", F.row_number().over(inside)).join(offs, [*ks, "_bin"])
@@ -188,66 +193,57 @@ def neighbours(
     return base.where(~(head | tail)).unionByName(edges).drop("_bucket", "_rn", "_sz")
 
 
-def fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, cols: Sequence[str]) -> DataFrame:
-    """Add ``{c}_last`` and ``{c}_first``: the nearest non-null value at or before, and at or after, each row."""
-    keys = list(keys)
-    base = df.withColumn("_bucket", bucket)
-    up = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(_UNB, _CUR)
-    down = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(_CUR, Window.unboundedFollowing)
-    spot = F.struct(*order)
-    per = base.groupBy(*keys, "_bucket").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), spot)).alias(f"_t_{c}") for c in cols],
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), spot)).alias(f"_h_{c}") for c in cols],
-    )
-    prior = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(_UNB, -1)
-    later = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    carry = per.select(
-        *keys,
-        "_bucket",
-        *[F.last(f"_t_{c}", ignorenulls=True).over(prior).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_h_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols],
+def lookup_rows(
+    queries: DataFrame, knots: DataFrame, keys: Sequence[str], x: str, xp: str, fp: str, out: str, fp_left: str | None = None
+) -> DataFrame:
+    """``interp_lookup`` for rows that repeat a query value only a few times: all columns ride along.
+
+    Queries and knots meet in one sort per (key, bin).  The bins are sized by the key's rows, so the
+    table of bin ends that carries knots across empty bins has one row per ROWS_PER_BIN rows.
+    """
+    pay = [c for c in queries.columns if c not in keys]
+    asked, ks = keyed(queries.where(F.col(x).isNotNull()).withColumn("_pay", F.struct(*pay)), keys)
+    asked = asked.select(*ks, F.col(x).cast("double").alias("_x"), F.lit(None).cast("struct<_x:double,_f:double,_l:double>").alias("_k"), "_pay")
+    curve, _ = keyed(knots, keys)
+    knot = F.struct(
+        F.col(xp).cast("double").alias("_x"), F.col(fp).cast("double").alias("_f"), F.col(fp_left or fp).cast("double").alias("_l")
     )
-    inner = base.select(
-        "*",
-        *[F.last(c, ignorenulls=True).over(up).alias(f"{c}_last") for c in cols],
-        *[F.first(c, ignorenulls=True).over(down).alias(f"{c}_first") for c in cols],
+    curve = curve.select(*ks, F.col(xp).cast("double").alias("_x"), knot.alias("_k"))
+    both = asked.unionByName(curve, allowMissingColumns=True)
+    ranges = value_range(both, ks, "_x", F.col("_k").isNotNull())
+    rows = both.join(ranges, ks).withColumn("_bin", bin_of("_x")).drop("_lo", "_hi", "_nb")
+    ends = curve.join(ranges, ks).withColumn("_bin", bin_of("_x")).groupBy(*ks, "_bin").agg(F.min("_k").alias("_h"), F.max("_k").alias("_t"))
+    every = ranges.select(*ks, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bin")).join(ends, [*ks, "_bin"], "left")
+    # frames that grow from the start cost one step per row; frames that reach to the end would cost a
+    # pass per row, so looking ahead is looking back in reverse order
+    up, down = (Window.partitionBy(*ks).orderBy(o).rowsBetween(_UNB, -1) for o in (F.col("_bin"), F.col("_bin").desc()))
+    carry = every.select(
+        *ks, "_bin", F.last("_t", ignorenulls=True).over(up).alias("_p"), F.last("_h", ignorenulls=True).over(down).alias("_n")
     )
-    out = inner.join(carry, [*keys, "_bucket"])
-    for c in cols:
-        out = out.withColumn(f"{c}_last", F.coalesce(f"{c}_last", f"_p_{c}"))
-        out = out.withColumn(f"{c}_first", F.coalesce(f"{c}_first", f"_n_{c}"))
-    return out.drop("_bucket", *[f"_{s}_{c}" for c in cols for s in ("p", "n")])
+    # a query that equals a knot sorts just after it, so its lower knot is that knot
+    ask = F.col("_k").isNull()
+    here = Window.partitionBy(*ks, "_bin")
+    before = here.orderBy(F.col("_x"), ask).rowsBetween(_UNB, _CUR)
+    after = here.orderBy(F.col("_x").desc(), ask.desc()).rowsBetween(_UNB, _CUR)
+    near = rows.select("*", F.last("_k", ignorenulls=True).over(before).alias("_a"), F.last("_k", ignorenulls=True).over(after).alias("_b"))
+    near = near.where(F.col("_k").isNull()).join(carry, [*ks, "_bin"])
+    lo, hi = F.coalesce("_a", "_p"), F.coalesce("_b", "_n")
+    line = lo["_f"] + (hi["_l"] - lo["_f"]) / F.nullif(hi["_x"] - lo["_x"], F.lit(0.0)) * (F.col("_x") - lo["_x"])
+    value = F.when(lo.isNull(), hi["_l"]).when(hi.isNull() | (lo["_x"] == F.col("_x")), lo["_f"]).otherwise(line)
+    return near.select(*keys, "_pay.*", value.alias(out))
 
 
 def interp_lookup(
-    queries: DataFrame, knots: DataFrame, keys: Sequence[str], x: str, xp: str, fp: str, out: str,
-    fp_left: str | None = None, bins: int = BINS,
+    queries: DataFrame, knots: DataFrame, keys: Sequence[str], x: str, xp: str, fp: str, out: str, fp_left: str | None = None
 ) -> DataFrame:
     """Piecewise-linear lookup of ``x`` in the curve (xp, fp) of the same key, clamped at both ends.
 
     Knots must be unique on (keys, xp).  A curve that jumps at its knots gives the value reached from
-    the left in ``fp_left``; the knot itself and what lies to its right use ``fp``.  Repeated query
-    values are looked up once.
+    the left in ``fp_left``; the knot itself and what lies to its right use ``fp``.  A value is looked
+    up once however often it occurs, and joined back.
     """
-    points, ks = keyed(queries.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x")).distinct(), keys)
-    curve, _ = keyed(
-        knots.select(
-            *keys, F.col(xp).cast("double").alias("_x"), F.col(fp).cast("double").alias("_f"), F.col(fp_left or fp).cast("double").alias("_l")
-        ),
-        keys,
-    )
-    both = points.select(*ks, "_x", *[F.lit(None).cast("double").alias(c) for c in ("_f", "_l")], F.lit(1).alias("_q"))
-    both = both.unionByName(curve.select(*ks, "_x", "_f", "_l", F.lit(0).alias("_q")))
-    both = with_bin(both, value_range(curve, ks, "_x"), ks, "_x", bins).withColumn(
-        "_k", F.when(F.col("_q") == 0, F.struct("_x", "_f", "_l"))
-    )
-    near = fill(both, [*ks], ["_x", "_q"], F.col("_bin"), ["_k"]).where("_q = 1")
-    lo, hi = F.col("_k_last"), F.col("_k_first")
-    # a query that equals a knot sorts just after it, so the lower knot is that knot
-    line = lo["_f"] + (hi["_l"] - lo["_f"]) / F.nullif(hi["_x"] - lo["_x"], F.lit(0.0)) * (F.col("_x") - lo["_x"])
-    value = (
-        F.when(lo.isNull(), hi["_l"]).when(hi.isNull() | (lo["_x"] == F.col("_x")), lo["_f"]).otherwise(line)
-    )
-    found = near.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_x").alias("_xq"), value.alias("_found"))
-    match = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(x).cast("double") == F.col("_xq")]
-    return queries.join(found, reduce(lambda a, b: a & b, match), "left").select(*queries.columns, F.col("_found").alias(out))
+    points = queries.select(*keys, x).distinct()
+    found = lookup_rows(points, knots, keys, x, xp, fp, "_found", fp_left)
+    found = found.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, x]], F.col("_found").alias(out))
+    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in [*keys, x]])
+    return queries.join(found, match, "left").select(*queries.columns, out)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from squallframe.operators import joins as J
 from squallframe.operators.ordered import interp_lookup
 from squallframe.plans.registry import query, r6, sql
+from squallframe.session import settle
 
 PARAMS = ["t_totals", "ml_cape", "s06", "dcape", "umean06"]
 HAVERSINE = """2 * 6373.0 * ATAN2(SQRT(POW(SIN((RADIANS({b}.lat) - RADIANS({a}.lat)) / 2), 2) + COS(RADIANS({a}.lat)) * COS(RADIANS({b}.lat)) * POW(SIN((RADIANS({b}.lon) - RADIANS({a}.lon)) / 2), 2)),
@@ -137,7 +138,7 @@ FROM q JOIN m ON q.loc_id = m.loc_id ASOF LEFT JOIN c ON q.loc_id = c.loc_id AND
 def _(t):
     knots = t.obs.where("wind_gust IS NOT NULL").groupBy("loc_id", F.round("wind_gust", 1).alias("xp")).agg(F.avg("wind_dir").alias("fp"))
     asked = t.points.select("loc_id", "time", F.col("umean06").alias("x"))
-    out = interp_lookup(asked, knots, ["loc_id"], "x", "xp", "fp", "f")
+    out = interp_lookup(asked, settle(knots), ["loc_id"], "x", "xp", "fp", "f")
     return out.select("loc_id", "time", r6("f").alias("f"))
 
 

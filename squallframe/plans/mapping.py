@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from squallframe.operators import mapping as M
 from squallframe.plans.registry import query, r6, sql
+from squallframe.session import settle
 
 CELL = ["i", "j", "month"]
 
@@ -43,7 +44,7 @@ def _(t):
     models = f.where(F.col("model").isin(2, 3))
     # the map is a function of the value: distinct values are mapped once per cell and month
     asked = models.select("model", "experiment", *CELL, "v").distinct()
-    out = M.quantile_map(asked, models.where(hist), observed, ["model", *CELL], CELL, "v")
+    out = M.quantile_map(asked, models.where(hist), observed, ["model", *CELL], CELL, "v", unique=True)
     return out.select("model", "experiment", *CELL, "v", r6("mapped").alias("mapped"))
 
 
@@ -64,7 +65,7 @@ def _(t):
     model = f.where("model = 2")
     observed = f.where("model = 1 AND experiment = 'historical'")
     asked = model.select("experiment", "v").distinct()
-    out = M.quantile_map(asked, model, observed, [], [], "v", keep_zero=False, pooled=True)
+    out = M.quantile_map(asked, model, observed, [], [], "v", keep_zero=False, pooled=True, unique=True)
     return out.select("experiment", "v", r6("mapped").alias("mapped"))
 
 
@@ -79,7 +80,7 @@ SELECT a.i, a.v, ROUND(CASE WHEN a.v = 0 THEN 0 WHEN o2.pn IS NULL OR o2.p = a.p
 def _(t):
     f = t.field.select("model", "i", F.when(F.col("v") < 10, 0.0).otherwise(F.col("v")).alias("v"))
     model, observed = f.where("model = 4"), f.where("model = 1")
-    out = M.quantile_map(model.select("i", "v").distinct(), model, observed, ["i"], ["i"], "v")
+    out = M.quantile_map(model.select("i", "v").distinct(), model, observed, ["i"], ["i"], "v", unique=True)
     return out.select("i", "v", r6("mapped").alias("mapped"))
 
 
@@ -91,7 +92,9 @@ SELECT event_id, ROUND(CASE WHEN o2.pn IS NULL OR o2.p = pr THEN o2.x ELSE o2.x
 def _(t):
     from squallframe.operators import joins as J
 
-    pairs = J.align_to_model(t.obs.where("wind_gust IS NOT NULL"), t.points, "loc_id", "gust_time", ["umean06"])
+    pairs = settle(
+        J.align_to_model(t.obs.where("wind_gust IS NOT NULL"), t.points, "loc_id", "gust_time", ["umean06"]).select("event_id", "wind_gust", "umean06")
+    )
     rows = pairs.select("event_id", F.col("umean06").alias("v"))
     observed = pairs.select(F.col("wind_gust").alias("v"))
     out = M.quantile_map(rows, rows, observed, [], [], "v", "matched", keep_zero=False, pooled=True)

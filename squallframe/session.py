@@ -1,8 +1,8 @@
 """Session settings and reliable lineage cuts."""
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +30,29 @@ def local_session(name: str = "squallframe", cores: str = "*", shuffle_partition
     return spark
 
 
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    local = os.environ.get("SQUALLFRAME_LOCAL_DIR") or tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, and ends long iterative plans."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="run-"))
+    return _local_folder[0]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result as a table in the shared folder and read it back.
+
+    For results that several later steps read: they are computed once, the plan stays small, and a
+    lost executor only re-reads files.  The files stay until the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/squallframe/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
