@@ -11,6 +11,8 @@ FAMILIES = [
     "profile",
     "skill",
     "mapping",
+    "trends",
+    "space",
 ]
 
 
