@@ -1,11 +1,301 @@
-"""Logistic models, selection and density (L)."""
+"""Logistic models, predictor selection, collinearity and density (L).
+
+Fits run in ``pyspark.ml``; only coefficients, p-values and a k x k matrix reach the driver.  Fitted
+models are applied as plain column expressions.  Tables that several fits read should be settled first.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from squallframe.functions import scalar as S
+from squallframe.functions.scalar import logistic
+from squallframe.operators import skill as K
+from squallframe.operators.ordered import quantiles, running_counts, value_counts
+
+PROB_STEPS = 101  # fixed value: probability thresholds 0, 0.01, ... 1
+
 
 def top_by_score(scores: DataFrame, kind: str, value: str, name: str, n: int = 20) -> DataFrame:
     """Names in the top n of any score; the table has one row per score and name."""
     w = Window.partitionBy(kind).orderBy(F.col(value).desc(), name)
     return scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(name).distinct()
+
+
+@dataclass(frozen=True)
+class Model:
+    predictors: tuple[str, ...]
+    coefs: tuple[float, ...]
+    intercept: float
+
+    def probability(self) -> Column:
+        return logistic(S.linear(dict(zip(self.predictors, self.coefs, strict=True)), self.intercept))
+
+
+def _vectors(df: DataFrame, predictors: Sequence[str], *keep: str | Column) -> DataFrame:
+    typed = df.select(*[F.col(p).cast("double").alias(p) for p in predictors], *keep)
+    return VectorAssembler(inputCols=list(predictors), outputCol="features").transform(typed).drop(*predictors)
+
+
+def balanced_fit(df: DataFrame, predictors: Sequence[str], event: str, penalty: float = 1.0, max_iter: int = 200) -> Model:
+    """L2 logistic fit with class weights n / (2 n_k).
+
+    The intercept is not penalised, so coefficients differ slightly from solvers that do.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e")).first()
+    if not n["e"] or n["e"] == n["n"]:
+        raise ValueError("both classes are needed")
+    weight = F.when(F.col(event) == 1, n["n"] / (2.0 * n["e"])).otherwise(n["n"] / (2.0 * (n["n"] - n["e"])))
+    rows = _vectors(df, predictors, F.col(event).cast("double").alias("label"), weight.alias("w"))
+    fit = LogisticRegression(
+        weightCol="w", regParam=penalty / n["n"], elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8
+    ).fit(rows)
+    return Model(tuple(predictors), tuple(float(c) for c in fit.coefficients), float(fit.intercept))
+
+
+def p_values(df: DataFrame, predictors: Sequence[str], event: str) -> dict[str, float]:
+    """Wald p-values of an unweighted logistic regression, and of its constant."""
+    rows = _vectors(df, predictors, F.col(event).cast("double").alias("label"))
+    fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50).fit(rows)
+    return dict(zip([*predictors, "const"], (float(p) for p in fit.summary.pValues), strict=True))
+
+
+HASH_SPACE = 16.0**12
+
+
+def split_draw(seed: str, split, unique: str) -> Column:
+    """A 48-bit number per (seed, split, row); exact as a double."""
+    text = F.concat_ws(":", F.lit(seed), split if isinstance(split, Column) else F.lit(str(split)), F.col(unique).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double")
+
+
+def stratified_cutoffs(df: DataFrame, unique: str, event: str, n_splits: int, train_share: float = 0.8, seed: str = "l2") -> DataFrame:
+    """(split, event, cut): rows of a class with a draw up to ``cut`` are that split's training part.
+
+    The cut is the draw of the class's last training row, so the share is exact per class.
+    """
+    ids = df.select(unique, event).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    drawn = ids.withColumn("_u", split_draw(seed, F.col("split").cast("string"), unique))
+    rc = running_counts(value_counts(drawn, ["split", event], "_u"), ["split", event], "_u")
+    k = F.floor(F.col("n_total") * train_share)
+    return rc.where((F.col("n_lt") < k) & (k <= F.col("n_le"))).select("split", event, F.col("_u").alias("cut"))
+
+
+def stratified_splits(df: DataFrame, unique: str, event: str, n_splits: int, train_share: float = 0.8, seed: str = "l2") -> list[Column]:
+    """One 'is training row' condition per split; the cutoffs (two numbers per split) become literals."""
+    cuts = {(r["split"], r[event]): r["cut"] for r in stratified_cutoffs(df, unique, event, n_splits, train_share, seed).collect()}
+    out = []
+    for s in range(n_splits):
+        u = split_draw(seed, s, unique)
+        out.append(F.when(F.col(event) == 1, u <= cuts[(s, 1)]).otherwise(u <= cuts[(s, 0)]))
+    return out
+
+
+def cross_validate(df: DataFrame, unique: str, predictors: Sequence[str], event: str, splits: Sequence[Column]) -> DataFrame:
+    """Best HSS and PSS over probability thresholds on each split's test part: (split, score, threshold, name)."""
+    scored = None
+    for i, train in enumerate(splits):
+        model = balanced_fit(df.where(train), predictors, event)
+        part = df.where(~train).select(F.lit(i).alias("split"), model.probability().alias("value"), F.col(event).alias("event"))
+        scored = part if scored is None else scored.unionByName(part)
+    counts = K.threshold_counts(scored, ["split"], "value", "event", PROB_STEPS, limits=(0.0, 1.0))
+    out = None
+    for name in ("hss", "pss"):
+        best = K.pick_best(K.with_score(counts, name), ["split"]).withColumn("name", F.lit(name))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def summarise_splits(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("name").agg(
+        F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.avg("threshold").alias("threshold")
+    )
+
+
+def diagnostic_scores(df: DataFrame, params: Sequence[str], event: str, splits: Sequence[Column], name: str = "hss") -> DataFrame:
+    """The same test parts scored by single diagnostics: (split, param, threshold, score)."""
+    tests = None
+    for i, train in enumerate(splits):
+        part = df.where(~train).withColumn("split", F.lit(i))
+        tests = part if tests is None else tests.unionByName(part)
+    long = K.to_long(tests.withColumnRenamed(event, "event"), params, ["split", "event"])
+    return K.best_thresholds(long, ["split", "param"], "value", "event", name)
+
+
+def subset_search(
+    df: DataFrame, unique: str, predictors: Sequence[str], event: str, splits: Sequence[Column], sizes: Sequence[int], limit: int | None = None
+) -> DataFrame:
+    """Mean split scores of every predictor combination of the given sizes, best first.
+
+    A driver loop over distributed fits; ``limit`` bounds the number of combinations and says so by raising.
+    """
+    combos = [c for r in sizes for c in itertools.combinations(predictors, r)]
+    if limit is not None and len(combos) > limit:
+        raise ValueError(f"{len(combos)} combinations exceed the limit of {limit}")
+    out = None
+    for c in combos:
+        s = summarise_splits(cross_validate(df, unique, c, event, splits)).withColumn("predictors", F.lit(" ".join(c)))
+        out = s if out is None else out.unionByName(s)
+    wide = out.groupBy("predictors").agg(
+        *[F.max(F.when(F.col("name") == n, F.col(v))).alias(f"{n}{t}") for n in ("hss", "pss") for v, t in (("mean", ""), ("threshold", "_thresh"))]
+    )
+    return wide.orderBy(F.col("hss").desc(), "predictors")
+
+
+def full_sample_hss(df: DataFrame, model: Model, event: str) -> tuple[float, float]:
+    """Best HSS of a model's probabilities on its own rows, with its threshold."""
+    rows = df.select(F.lit("p").alias("param"), model.probability().alias("value"), F.col(event).alias("event"))
+    best = K.best_thresholds(rows, ["param"], "value", "event", "hss", 100, limits=(0.0, 1.0)).first()
+    return float(best["score"]), float(best["threshold"])
+
+
+def forward_selection(
+    df: DataFrame, unique: str, predictors: Sequence[str], event: str, by: str = "pval", alpha: float = 0.05, n_rep: int = 1000, max_steps: int | None = None
+) -> list[dict]:
+    """Add predictors while they help: least p-value, or best HSS among models whose terms are all significant.
+
+    The HSS rule also asks the new score to reach the 95th bootstrap percentile of the current model's.
+    Returns one record per step with the predictor, its score and the chosen model's p-value.
+    """
+    if by not in ("pval", "hss"):
+        raise ValueError(by)
+    chosen: list[str] = []
+    steps: list[dict] = []
+    current = 0.0
+    while len(chosen) < (max_steps or len(predictors)):
+        tried = []
+        for p in predictors:
+            if p in chosen:
+                continue
+            names = [*chosen, p]
+            try:
+                pv = p_values(df, names, event)
+            except Exception:  # noqa: BLE001  a singular design has no p-values
+                continue
+            rec = {"predictor": p, "pval": pv[p], "ok": all(v <= alpha for v in pv.values()), "score": None}
+            if by == "hss" and rec["ok"]:
+                rec["score"] = full_sample_hss(df, balanced_fit(df, names, event), event)[0]
+            tried.append(rec)
+        good = [r for r in tried if r["ok"]]
+        if by == "pval":
+            best = min(tried, key=lambda r: r["pval"], default=None)
+            if best is None or best["pval"] > alpha or not best["ok"]:
+                break
+        else:
+            best = max(good, key=lambda r: r["score"], default=None)
+            if best is None or best["score"] <= current:
+                break
+            if chosen and best["score"] < _bootstrap_limit(df, unique, chosen, event, n_rep):
+                break
+            current = best["score"]
+        chosen.append(best["predictor"])
+        steps.append({"step": len(chosen), "predictor": best["predictor"], "pval": best["pval"], "score": best["score"]})
+    return steps
+
+
+def _bootstrap_limit(df: DataFrame, unique: str, chosen: Sequence[str], event: str, n_rep: int) -> float:
+    model = balanced_fit(df, chosen, event)
+    _, threshold = full_sample_hss(df, model, event)
+    rows = df.select(unique, F.col(event), model.probability().alias("p"))
+    sample = K.resample_events(rows, unique, event, n_rep, None, seed="l6")
+    c = K.counts_at(sample, ["rep"], F.col("p") > threshold, event)
+    limit = c.select(K.score("hss", "hits", "misses", "false_alarms", "correct_negatives").alias("s"))
+    return float(limit.agg(F.percentile("s", F.lit(0.95)).alias("q")).first()["q"])  # one value per replicate
+
+
+def scaled(df: DataFrame, predictors: Sequence[str], how: str = "minmax") -> DataFrame:
+    """Min-max or robust (median and quartile range) scaling, as expressions on a one-row summary."""
+    if how == "minmax":
+        s = df.agg(*[f(p).cast("double").alias(f"_{n}_{p}") for p in predictors for n, f in (("c", F.min), ("t", F.max))])
+        width = {p: F.col(f"_t_{p}") - F.col(f"_c_{p}") for p in predictors}
+    elif how == "robust":
+        long = K.to_long(df, predictors, [])
+        q = quantiles(long, ["param"], "value", {"a": 0.25, "c": 0.5, "t": 0.75})
+        s = q.agg(*[F.max(F.when(F.col("param") == p, F.col(n))).alias(f"_{n}_{p}") for p in predictors for n in ("a", "c", "t")])
+        width = {p: F.col(f"_t_{p}") - F.col(f"_a_{p}") for p in predictors}
+    else:
+        raise ValueError(how)
+    out = df.crossJoin(F.broadcast(s))  # one row
+    return out.withColumns({p: (F.col(p) - F.col(f"_c_{p}")) / F.nullif(width[p], F.lit(0.0)) for p in predictors}).select(*df.columns)
+
+
+def recursive_elimination(df: DataFrame, predictors: Sequence[str], event: str, keep: int = 1, how: str = "minmax") -> list[dict]:
+    """Drop the smallest absolute coefficient each round; returns the rounds in order of removal."""
+    rows = scaled(df, predictors, how)
+    left, out = list(predictors), []
+    while len(left) > keep:
+        model = balanced_fit(rows, left, event)
+        size = dict(zip(model.predictors, map(abs, model.coefs), strict=True))
+        worst = min(left, key=lambda p: (size[p], p))
+        out.append({"round": len(out) + 1, "removed": worst, "coef": size[worst]})
+        left.remove(worst)
+    return out
+
+
+def fold_auc(df: DataFrame, unique: str, predictors: Sequence[str], event: str, folds: int = 5, seed: str = "l7") -> DataFrame:
+    """AUC of each fold's held-out rows."""
+    fold = F.floor(split_draw(seed, "f", unique) / HASH_SPACE * folds).cast("int")
+    rows = df.withColumn("fold", fold)
+    scored = None
+    for f in range(folds):
+        model = balanced_fit(rows.where(F.col("fold") != f), predictors, event)
+        part = rows.where(F.col("fold") == f).select("fold", model.probability().alias("value"), F.col(event).alias("event"))
+        scored = part if scored is None else scored.unionByName(part)
+    return K.auc(scored, ["fold"])
+
+
+def gram(df: DataFrame, predictors: Sequence[str]) -> np.ndarray:
+    """X'X by one aggregation; k(k+1)/2 numbers reach the driver."""
+    pairs = [(a, b) for i, a in enumerate(predictors) for b in predictors[i:]]
+    x = lambda p: F.col(p).cast("double")
+    row = df.agg(*[F.sum(x(a) * x(b)).alias(f"g{i}") for i, (a, b) in enumerate(pairs)]).first()
+    pos = {p: i for i, p in enumerate(predictors)}
+    out = np.zeros((len(predictors), len(predictors)))
+    for i, (a, b) in enumerate(pairs):
+        out[pos[a], pos[b]] = out[pos[b], pos[a]] = row[f"g{i}"]
+    return out
+
+
+def inflation_factors(df: DataFrame, predictors: Sequence[str]) -> dict[str, float]:
+    """Variance inflation from the uncentred R2 of each predictor on the others, without a constant."""
+    g = gram(df.dropna(subset=list(predictors)), predictors)
+    inverse = np.linalg.inv(g)
+    return {p: float(g[i, i] * inverse[i, i]) for i, p in enumerate(predictors)}
+
+
+def rule_comparison(df: DataFrame, event: str, flags: dict[str, Column]) -> DataFrame:
+    """POD, FAR and HSS of several yes/no rules over the same rows, in one pass."""
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(f, F.lit(False)).alias("yes")) for n, f in flags.items()])
+    rows = df.select(F.col(event).alias("event"), F.inline(rules))
+    return K.rates(K.counts_at(rows, ["rule"], F.col("yes"), "event")).select("rule", "pod", "far", "hss")
+
+
+def density(df: DataFrame, keys: Sequence[str], value: str, points: int = 1000, fineness: int = 20) -> DataFrame:
+    """Gaussian kernel density with Scott's bandwidth at even points over the range widened by half on each side.
+
+    Rows collapse to bins a small part of a bandwidth wide; each bin then adds its kernel to the points.
+    """
+    v = F.col(value).cast("double")
+    s = df.where(v.isNotNull()).groupBy(*keys).agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"), (F.stddev_samp(v) * F.pow(F.count(v).cast("double"), F.lit(-0.2))).alias("_h"), F.count(v).alias("_n")
+    )
+    rows = df.where(v.isNotNull()).join(s, list(keys))
+    width = F.col("_h") / fineness
+    bins = rows.groupBy(*keys, F.floor((v - F.col("_lo")) / width).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_lo", "_hi", "_h", "_n")]
+    )
+    span = F.col("_hi") - F.col("_lo")
+    grid = bins.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("_lo") - 0.5 * span + F.col("i") * (2.0 * span / (points - 1))
+    z = (x - (F.col("_lo") + (F.col("_b") + 0.5) * width)) / F.col("_h")
+    return grid.groupBy(*keys, "i").agg(
+        F.first(x).alias("x"), (F.sum(F.col("_c") * F.exp(-0.5 * z * z)) / F.first(F.col("_n") * F.col("_h")) / 2.5066282746310002).alias("density")
+    )

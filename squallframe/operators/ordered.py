@@ -33,6 +33,9 @@ def day_bucket(time: str | Column) -> Column:
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per (keys, value) with its count: ties collapse before any sort."""
+    names = {"n", *(sums or {})}
+    if names & {value, *keys}:
+        raise ValueError(f"rename columns {sorted(names & {value, *keys})}: they clash with the counts")
     extra = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *extra)
 

@@ -61,16 +61,22 @@ def to_long(df: DataFrame, params: Sequence[str], keep: Sequence[str]) -> DataFr
 
 
 def threshold_counts(
-    long: DataFrame, keys: Sequence[str], value: str, event: str, steps: int = 1000, top: float = 0.9995
+    long: DataFrame, keys: Sequence[str], value: str, event: str, steps: int = 1000, top: float = 0.9995,
+    limits: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Contingency counts of both rules at ``steps`` even thresholds from the minimum to the top percentile.
+    """Contingency counts of both rules at ``steps`` even thresholds from the minimum to the top percentile,
+    or between fixed ``limits``.
 
     Per key: at most steps+1 rows after the counting, so the running sums are small windows.
     """
     keys = list(keys)
     rows = long.where(F.col(event).isNotNull())
     vc = shared(value_counts(rows, keys, value, {"e": F.col(event).cast("long")}), value, ("n", "e"))
-    span = count_quantiles(vc, keys, value, {"hi": top}, ("n", "e")).withColumnRenamed("least", "lo")
+    if limits is None:
+        span = count_quantiles(vc, keys, value, {"hi": top}, ("n", "e")).withColumnRenamed("least", "lo")
+    else:
+        span = vc.groupBy(*keys).agg(F.sum("n").alias("n_total"), F.sum("e").alias("e_total"))
+        span = span.withColumns({"lo": F.lit(float(limits[0])), "hi": F.lit(float(limits[1]))})
     span = span.withColumn("step", (F.col("hi") - F.col("lo")) / (steps - 1)).drop("hi")
     at = lambda i: F.col("lo") + i * F.col("step")
     v = F.col(value)
@@ -110,10 +116,10 @@ def threshold_counts(
 
 def best_thresholds(
     long: DataFrame, keys: Sequence[str], value: str, event: str, name: str = "hss", steps: int = 1000,
-    min_pod: float = MIN_POD, low_pod: float | None = None,
+    min_pod: float = MIN_POD, low_pod: float | None = None, limits: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Best score and the lowest threshold reaching it, per key."""
-    counts = threshold_counts(long, keys, value, event, steps)
+    counts = threshold_counts(long, keys, value, event, steps, limits=limits)
     return pick_best(with_score(counts, name, min_pod, low_pod), keys)
 
 
@@ -440,9 +446,9 @@ def weighted_corr(x: str, y: str, w: str) -> Column:
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """Rank correlation with tied ranks averaged; equal pairs collapse before any join."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = pairs.join(average_ranks(rows, keys, x, "_rx"), [*keys, x]).join(average_ranks(rows, keys, y, "_ry"), [*keys, y])
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    pairs = rows.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    ranked = pairs.join(average_ranks(rows, keys, "_x", "_rx"), [*keys, "_x"]).join(average_ranks(rows, keys, "_y", "_ry"), [*keys, "_y"])
     c = weighted_corr("_rx", "_ry", "_w").alias(out)
     return ranked.groupBy(*keys).agg(c) if keys else ranked.agg(c)
 

@@ -13,6 +13,7 @@ FAMILIES = [
     "mapping",
     "trends",
     "space",
+    "learn",
 ]
 
 
