@@ -51,25 +51,28 @@ def _pick(c, cond):
 
 
 def at_height(var: str, height, clamp_top: bool = False, clamp_low: bool = True) -> Column:
-    """Value at a height above ground: an exact level, else the lowest level if it lies above, else linear."""
+    """Value at a height above ground: an exact level, else the lowest level if it lies above, else linear.
+
+    Heights rise along a column, so one level at most meets a case and a single aggregate does.
+    """
     v, up, z, zu = F.col(var), F.col(f"{var}_up"), F.col("z"), F.col("z_up")
-    parts = [_pick(v, z == height)]
+    case = F.when(z == height, v)
     if clamp_low:
-        parts.append(_pick(v, (F.col("k") == 1) & (z >= height)))
+        case = case.when((F.col("k") == 1) & (z > height), v)
+    case = case.when((z < height) & (zu > height), v + (up - v) * (height - z) / (zu - z))
     if clamp_top:
-        parts.append(_pick(v, F.col("top") & (z <= height)))
-    parts.append(_pick(v + (up - v) * (height - z) / F.nullif(zu - z, F.lit(0.0)), (z < height) & (zu > height)))
-    return F.coalesce(*parts)
+        case = case.when(F.col("top") & (z < height), v)
+    return F.max(case)
 
 
 def at_pressure(var: str, pressure, clamp_top: bool = False) -> Column:
     """Value at a pressure, with the same rules."""
     v, up, p, pu = F.col(var), F.col(f"{var}_up"), F.col("p"), F.col("p_up")
-    parts = [_pick(v, p == pressure), _pick(v, (F.col("k") == 1) & (p <= pressure))]
+    case = F.when(p == pressure, v).when((F.col("k") == 1) & (p < pressure), v)
+    case = case.when((p > pressure) & (pu < pressure), v + (up - v) * (pressure - p) / (pu - p))
     if clamp_top:
-        parts.append(_pick(v, F.col("top") & (p >= pressure)))
-    parts.append(_pick(v + (up - v) * (pressure - p) / F.nullif(pu - p, F.lit(0.0)), (p > pressure) & (pu < pressure)))
-    return F.coalesce(*parts)
+        case = case.when(F.col("top") & (p > pressure), v)
+    return F.max(case)
 
 
 def height_of(var: str, value) -> Column:
@@ -158,13 +161,23 @@ def precipitable_water(q: str, top: float = 400.0) -> Column:
     return F.sum(F.when((F.col("p") >= top) & (F.col("p_up") >= top), area))
 
 
+def mark_extremes(levels: DataFrame, keys: Sequence[str], var: str, bottom: float, top: float) -> DataFrame:
+    """Adds ``{var}_least`` and ``{var}_most``: the layer's extremes on every level of the column."""
+    w = Window.partitionBy(*keys)
+    inside = F.when(between_heights(bottom, top)(F.col("z"), F.col("p")), F.col(var))
+    return levels.withColumns({f"{var}_least": F.min(inside).over(w), f"{var}_most": F.max(inside).over(w)})
+
+
 def theta_e_difference(te: str, top: float = 3000.0) -> Column:
-    """Max minus min in the layer, zero when the minimum lies below the maximum."""
+    """Max minus min in the layer, zero when the (first) minimum lies below the (first) maximum.
+
+    Needs ``mark_extremes(..., te, 0, top)``; comparing positions of plain numbers keeps the hash aggregate.
+    """
     inside = between_heights(0.0, top)(F.col("z"), F.col("p"))
-    v = F.when(inside, F.col(te))
-    low_at = F.min_by(F.col("k"), F.when(inside, F.struct(F.col(te), F.col("k"))))
-    high_at = F.max_by(F.col("k"), F.when(inside, F.struct(F.col(te), -F.col("k"))))
-    return F.when(low_at < high_at, 0.0).otherwise(F.max(v) - F.min(v))
+    low, high = F.col(f"{te}_least"), F.col(f"{te}_most")
+    low_at = F.min(F.when(inside & (F.col(te) == low), F.col("k")))
+    high_at = F.min(F.when(inside & (F.col(te) == high), F.col("k")))
+    return F.when(low_at < high_at, 0.0).otherwise(F.max(high) - F.min(low))
 
 
 def theta_e_index(te: str, sfc_te, ps, depth: float = 400.0) -> Column:

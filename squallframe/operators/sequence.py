@@ -70,17 +70,21 @@ def fix_spatial_spikes(
     Needs one row per (step, i, j).  Strong cells ask for their four diagonals; no edge wrap.
     """
     step = list(step)
-    offsets = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 1) for b in (-1, 1)])
+    corners = [(a, b) for a in (-1, 1) for b in (-1, 1)]
+    offsets = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(n).alias("n")) for n, (a, b) in enumerate(corners)])
     strong = df.where(F.col(value) >= high).select(
         *step, F.col(i).alias("_i"), F.col(j).alias("_j"), F.col(value).alias("_pot"), F.explode(offsets).alias("_o")
     )
-    asked = strong.withColumns({i: F.col("_i") + F.col("_o.di"), j: F.col("_j") + F.col("_o.dj")}).drop("_o")
+    asked = strong.withColumns({i: F.col("_i") + F.col("_o.di"), j: F.col("_j") + F.col("_o.dj"), "_n": F.col("_o.n")}).drop("_o")
     found = asked.join(df.select(*step, i, j, F.col(value).alias("_v")), [*step, i, j])
+    # four neighbours at most: one plain aggregate each, then the middle of the sorted few
+    around = F.sort_array(F.array_compact(F.array(*[F.col(f"_c{n}") for n in range(4)])))
+    middle = (F.get(around, F.floor((F.size(around) - 1) / 2).cast("int")) + F.get(around, F.floor(F.size(around) / 2).cast("int"))) / 2
     fixes = (
         found.groupBy(*step, "_i", "_j")
-        .agg(F.median("_v").alias("_fixed"), F.min("_v").alias("_min"), F.first("_pot").alias("_pot"))  # four values at most
-        .where(F.col("_min") < ratio * F.col("_pot"))
-        .select(*step, F.col("_i").alias(i), F.col("_j").alias(j), "_fixed")
+        .agg(*[F.max(F.when(F.col("_n") == n, F.col("_v"))).alias(f"_c{n}") for n in range(4)], F.max("_pot").alias("_pot"))
+        .where(F.least(*[F.col(f"_c{n}") for n in range(4)]) < ratio * F.col("_pot"))
+        .select(*step, F.col("_i").alias(i), F.col("_j").alias(j), middle.alias("_fixed"))
     )
     out = df.join(fixes, [*step, i, j], "left")
     return out.withColumn(value, F.coalesce("_fixed", value)).drop("_fixed").select(*df.columns)

@@ -31,7 +31,7 @@ def _levels(t):
 
 
 def _up(t):
-    return P.prepare(_levels(t), ["col_id"], VARS)
+    return P.mark_extremes(P.prepare(_levels(t), ["col_id"], VARS), ["col_id"], "te", 0.0, 2500.0)
 
 
 def z_sql(v, h, top=False, low=True):
@@ -359,3 +359,41 @@ def _(t):
     deep = P.between_heights(0.0, 2000.0)
     angle = P.critical_angle("ua", "va", P.plain_mean("ua", deep), P.plain_mean("va", deep), P.at_height("ua", 0.0), P.at_height("va", 0.0), 800.0)
     return _up(t).groupBy("col_id").agg(F.round(angle, 4).alias("angle"))
+
+
+def _column_diagnostics():
+    """A column's diagnostics in one pass: every output is an aggregate over the same pairs of levels."""
+    deep = P.between_heights(0.0, 2500.0)
+    motion = P.storm_motion("ua", "va", 2500.0)
+    srh = P.storm_helicity("ua", "va", 0.0, 1500.0, 2500.0)
+    out = {
+        "melting": P.height_of("ta", 15.0), "q_melting": P.at_height("q", 1000.0), "pwat": P.precipitable_water("q", 760.0),
+        "s01": P.shear("ua", "va", 0.0, 1000.0), "s03": P.shear("ua", "va", 0.0, 2500.0),
+        "lr01": P.lapse_rate_height("ta", 0.0, 1000.0), "lr03": P.lapse_rate_height("ta", 0.0, 2500.0),
+        "umean": P.speed(P.mass_mean("ua", deep), P.mass_mean("va", deep)), "te_mean": P.mass_mean("te", deep),
+        "rh_low": P.layer_min("dp", P.between_heights(0.0, 1500.0)), "te_diff": P.theta_e_difference("te", 2500.0),
+        "t850": P.at_pressure("ta", 850.0), "d850": P.at_pressure("dp", 850.0), "t725": P.at_pressure("ta", 725.0),
+        "srh_left": srh["left"], "srh_right": srh["right"], "storm_speed": P.speed(motion["u_right"], motion["v_right"]),
+    }
+    return out
+
+
+_UM, _VM = (m_sql(c, "({z} >= 0 AND {z} <= 2500)") for c in ("ua", "va"))
+_M5, _N5 = (f"AVG(CASE WHEN z >= 0 AND z <= 2500 THEN {c} END)" for c in ("ua", "va"))
+_S5U, _S5V = _du("ua", 0, 2500), _du("va", 0, 2500)
+_K5 = f"(7.5E0 / NULLIF(SQRT(POW({_S5U}, 2) + POW({_S5V}, 2)), 0))"
+
+
+@query("column_diagnostics", "I2,I3,I4,I6,I7,I8,I9,I10,I11,I14,I15,J19", sql("v_levels", f"""{UP},
+g AS (SELECT col_id, {_H.format(v='ta', x='15')} AS melting, {z_sql('q', 1000)} AS q_melting, SUM(CASE WHEN p >= 760 AND p_up >= 760 THEN (q + q_up) * 1000 / 2 * (p - p_up) * 0.00040173E0 END) AS pwat,
+ SQRT(POW({_du('ua', 0, 1000)}, 2) + POW({_du('va', 0, 1000)}, 2)) AS s01, SQRT(POW({_S5U}, 2) + POW({_S5V}, 2)) AS s03,
+ -({z_sql('ta', 1000, True, False)} - {z_sql('ta', 0)}) AS lr01, -({z_sql('ta', 2500, True, False)} - {z_sql('ta', 0)}) / 2500E0 * 1000 AS lr03,
+ SQRT(POW({_UM}, 2) + POW({_VM}, 2)) AS umean, {m_sql('te', '({z} >= 0 AND {z} <= 2500)')} AS te_mean, MIN(CASE WHEN z >= 0 AND z <= 1500 THEN dp END) AS rh_low,
+ CASE WHEN ARG_MIN(k, te) FILTER ({_IN}) < ARG_MAX(k, te) FILTER ({_IN}) THEN 0E0 ELSE MAX(te) FILTER ({_IN}) - MIN(te) FILTER ({_IN}) END AS te_diff,
+ {p_sql('ta', 850)} AS t850, {p_sql('dp', 850)} AS d850, {p_sql('ta', 725)} AS t725,
+ {_M5} + {_K5} * {_S5V} AS ur, {_N5} - {_K5} * {_S5U} AS vr, {_M5} - {_K5} * {_S5V} AS ul, {_N5} + {_K5} * {_S5U} AS vl FROM up GROUP BY 1),
+h AS (SELECT up.col_id, ABS(SUM(CASE WHEN {_PAIR} THEN (ua_up - ul) * (va - vl) - (ua - ul) * (va_up - vl) END)) AS srh_left, ABS(SUM(CASE WHEN {_PAIR} THEN (ua_up - ur) * (va - vr) - (ua - ur) * (va_up - vr) END)) AS srh_right FROM up JOIN g ON up.col_id = g.col_id GROUP BY 1)
+SELECT g.col_id, {', '.join(f'ROUND(g.{c}, 5) + 0E0 AS {c}' for c in ('melting', 'q_melting', 'pwat', 's01', 's03', 'lr01', 'lr03', 'umean', 'te_mean', 'rh_low', 'te_diff', 't850', 'd850', 't725'))},
+ ROUND(h.srh_left, 5) + 0E0 AS srh_left, ROUND(h.srh_right, 5) + 0E0 AS srh_right, ROUND(SQRT(ur * ur + vr * vr), 5) AS storm_speed FROM g JOIN h ON g.col_id = h.col_id"""))
+def _(t):
+    return _up(t).groupBy("col_id").agg(*[r6(c, 5).alias(n) for n, c in _column_diagnostics().items()])

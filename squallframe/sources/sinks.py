@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +54,6 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        # the commit marker tells a finished write from one cut short
-        marker = spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
-        return not marker.isEmpty()
-    except AnalysisException:
-        return False
+    """The commit marker tells a finished write from one cut short."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
