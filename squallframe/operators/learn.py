@@ -152,8 +152,8 @@ def subset_search(
 
 def full_sample_hss(df: DataFrame, model: Model, event: str) -> tuple[float, float]:
     """Best HSS of a model's probabilities on its own rows, with its threshold."""
-    rows = df.select(F.lit("p").alias("param"), model.probability().alias("value"), F.col(event).alias("event"))
-    best = K.best_thresholds(rows, ["param"], "value", "event", "hss", 100, limits=(0.0, 1.0)).first()
+    rows = df.select(model.probability().alias("value"), F.col(event).alias("event"))
+    best = K.best_thresholds(rows, [], "value", "event", "hss", 100, limits=(0.0, 1.0)).first()
     return float(best["score"]), float(best["threshold"])
 
 

@@ -27,6 +27,17 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(ALL, F.lit(0)), [ALL]
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a table with one row per key.
+
+    Without keys that is one row, and is said so: an equality of constants would be folded away and
+    leave the planner to guess which side of a condition-free join is the small one.
+    """
+    if list(keys) == [ALL]:
+        return df.crossJoin(F.broadcast(per_key.drop(ALL)))
+    return df.join(per_key, list(keys))
+
+
 def day_bucket(time: str | Column) -> Column:
     return F.floor(F.unix_timestamp(F.col(time) if isinstance(time, str) else time) / 86400)
 
@@ -56,7 +67,7 @@ def bin_of(value: str | Column) -> Column:
 
 
 def with_bin(df: DataFrame, keys: Sequence[str], value: str, keep_low: bool = False) -> DataFrame:
-    out = df.join(value_range(df, keys, value), list(keys)).withColumn("_bin", bin_of(value))
+    out = attach(df, value_range(df, keys, value), keys).withColumn("_bin", bin_of(value))
     return out.drop("_hi", "_nb", *([] if keep_low else ["_lo"]))
 
 
@@ -214,8 +225,8 @@ def lookup_rows(
     curve = curve.select(*ks, F.col(xp).cast("double").alias("_x"), knot.alias("_k"))
     both = asked.unionByName(curve, allowMissingColumns=True)
     ranges = value_range(both, ks, "_x", F.col("_k").isNotNull())
-    rows = both.join(ranges, ks).withColumn("_bin", bin_of("_x")).drop("_lo", "_hi", "_nb")
-    ends = curve.join(ranges, ks).withColumn("_bin", bin_of("_x")).groupBy(*ks, "_bin").agg(F.min("_k").alias("_h"), F.max("_k").alias("_t"))
+    rows = attach(both, ranges, ks).withColumn("_bin", bin_of("_x")).drop("_lo", "_hi", "_nb")
+    ends = attach(curve, ranges, ks).withColumn("_bin", bin_of("_x")).groupBy(*ks, "_bin").agg(F.min("_k").alias("_h"), F.max("_k").alias("_t"))
     every = ranges.select(*ks, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bin")).join(ends, [*ks, "_bin"], "left")
     # frames that grow from the start cost one step per row; frames that reach to the end would cost a
     # pass per row, so looking ahead is looking back in reverse order

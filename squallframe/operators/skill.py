@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from squallframe.functions.draws import pick
 from squallframe.functions.scalar import col
-from squallframe.operators.ordered import count_quantiles, quantiles, row_numbers, running_counts, shared, value_counts
+from squallframe.operators.ordered import ALL, attach, count_quantiles, keyed, quantiles, row_numbers, running_counts, shared, value_counts
 
 MIN_POD = 0.66  # fixed value
 
@@ -69,8 +69,7 @@ def threshold_counts(
 
     Per key: at most steps+1 rows after the counting, so the running sums are small windows.
     """
-    keys = list(keys)
-    rows = long.where(F.col(event).isNotNull())
+    rows, keys = keyed(long.where(F.col(event).isNotNull()), keys)
     vc = shared(value_counts(rows, keys, value, {"e": F.col(event).cast("long")}), value, ("n", "e"))
     if limits is None:
         span = count_quantiles(vc, keys, value, {"hi": top}, ("n", "e")).withColumnRenamed("least", "lo")
@@ -82,7 +81,7 @@ def threshold_counts(
     v = F.col(value)
     # how many thresholds lie strictly below the value: a first guess two too low, then four exact checks
     guess = F.ceil((v - F.col("lo")) / F.nullif("step", F.lit(0.0))) - 2
-    marked = vc.join(span, keys).withColumn("_g", F.greatest(F.least(F.coalesce(guess, F.lit(0)), F.lit(steps)), F.lit(0)).cast("int"))
+    marked = attach(vc, span, keys).withColumn("_g", F.greatest(F.least(F.coalesce(guess, F.lit(0)), F.lit(steps)), F.lit(0)).cast("int"))
     below = F.col("_g")
     for k in range(4):
         i = F.col("_g") + k
@@ -108,7 +107,7 @@ def threshold_counts(
     out = run.where(F.col("_from") < steps).withColumn("i", F.explode(F.sequence(F.col("_from"), last)))
     n_other = F.col("n_total") - F.col("e_total")
     return out.select(
-        *keys, "i", at(F.col("i")).alias("threshold"),
+        *[k for k in keys if k != ALL], "i", at(F.col("i")).alias("threshold"),
         (F.col("e_total") - F.col("e_gt")).alias("hits_gt"), (n_other - F.col("o_gt")).alias("fa_gt"),
         F.col("e_lt").alias("hits_lt"), F.col("o_lt").alias("fa_lt"), F.col("e_total").alias("n_event"), n_other.alias("n_other"),
     )

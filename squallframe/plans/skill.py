@@ -89,9 +89,9 @@ def _(t):
 @query("product_threshold_sweep", "K3", sql("v_obs v_points", f"""{events_cte()}, lg AS (SELECT 'ml_cape*s06' AS param, ml_cape * s06 AS value, is_sta AS event FROM ev), {sweep_ctes('pss')}
 SELECT param, ROUND(threshold, 4) AS threshold, ROUND(score, 6) AS score FROM best"""))
 def _(t):
-    ev = _events(t).select(F.lit("ml_cape*s06").alias("param"), (F.col("ml_cape") * F.col("s06")).alias("value"), F.col("is_sta").alias("event"))
-    best = K.best_thresholds(ev, ["param"], "value", "event", "pss")
-    return best.select("param", r6("threshold", 4).alias("threshold"), r6("score").alias("score"))
+    ev = _events(t).select((F.col("ml_cape") * F.col("s06")).alias("value"), F.col("is_sta").alias("event"))
+    best = K.best_thresholds(ev, [], "value", "event", "pss")
+    return best.select(F.lit("ml_cape*s06").alias("param"), r6("threshold", 4).alias("threshold"), r6("score").alias("score"))
 
 
 def _pair_sql(rule):
