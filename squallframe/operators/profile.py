@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from squallframe.functions.scalar import EARTH_KM, col, speed
+from squallframe.functions.scalar import EARTH_KM, speed
 
 Layer = Callable[[Column, Column], Column]
 
@@ -122,9 +122,13 @@ def shear_pressure(u: str, v: str, bottom, top) -> Column:
 
 
 def lapse_rate_height(t: str, bottom, top) -> Column:
-    """Degrees per km; a top above the last level uses the last level's temperature."""
+    """Degrees per km; a top above the last level uses the last level's temperature.
+
+    Bounds may be columns that hold one value per profile (a melting height, a cloud base).
+    """
     warm, cold = at_height(t, bottom), at_height(t, top, clamp_top=True, clamp_low=False)
-    return -(cold - warm) / ((col(top) if isinstance(top, Column) else F.lit(float(top))) - bottom) * 1000.0
+    of = lambda h: F.max(h) if isinstance(h, Column) else F.lit(float(h))
+    return -(cold - warm) / F.nullif(of(top) - of(bottom), F.lit(0.0)) * 1000.0
 
 
 def lapse_rate_pressure(t: str, z: str, bottom, top) -> Column:

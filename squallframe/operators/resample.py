@@ -216,3 +216,13 @@ def station_event_rate(df: DataFrame, station: str, value: str, event: Column) -
     return df.groupBy(station).agg(
         F.sum(event.cast("int")).alias("events"), (F.sum(event.cast("int")) / F.nullif(years, F.lit(0.0))).alias("per_year")
     )
+
+
+def quartile_panels(df: DataFrame, x: str, y: str, by: str, bins: int) -> DataFrame:
+    """The 2-D histogram of ``histogram_2d`` split by the quartile class (1..4) of a third column."""
+    q = quantiles(df, [], by, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    rows = df.crossJoin(F.broadcast(q))  # one row
+    v = F.col(by)
+    quartile = F.when(v <= F.col("_q1"), 1).when(v <= F.col("_q2"), 2).when(v <= F.col("_q3"), 3).when(v.isNotNull(), 4)
+    rows = rows.withColumn("_c", quartile)
+    return histogram_2d(rows, x, y, bins, {f"n{c}": F.col("_c") == c for c in (1, 2, 3, 4)})

@@ -272,11 +272,11 @@ def resample_events(
     reps = spark.range(n_rep).select(F.col("id").cast("int").alias("rep"))
     if by:
         reps = reps.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in by])))
-        want_o = F.round(F.col("_no") * F.col("share"))
+        want_o = F.bround(F.col("_no") * F.col("share"))
     elif share is not None:
-        want_o = F.round(F.col("_no") * share)
+        want_o = F.bround(F.col("_no") * share)
     else:
-        want_o = want_e * F.round((F.col("_ne") + F.col("_no")) / F.col("_ne"))
+        want_o = want_e * F.bround((F.col("_ne") + F.col("_no")) / F.col("_ne"))
     ask = reps.crossJoin(F.broadcast(wide))  # one row of class sizes
     classes = F.array(
         F.struct(F.lit(1).alias("c"), want_e.cast("long").alias("want"), F.col("_ne").alias("size")),

@@ -155,18 +155,23 @@ def _(t):
 def _env_sql(unit):
     return sql("v_points v_obs", f"""
 f AS (SELECT DISTINCT loc_id, {unit.format('gust_time')} AS u FROM v_obs WHERE lightning >= 3),
-r AS (SELECT p.*, HOUR(time) AS h, MONTH(time) AS m FROM v_points p SEMI JOIN f ON p.loc_id = f.loc_id AND {unit.format('p.time')} = f.u)
+r AS (SELECT p.loc_id, p.time, p.ml_cape / 0.7E0 AS ml_cape, p.s06, HOUR(time) AS h, MONTH(time) AS m FROM v_points p SEMI JOIN f ON p.loc_id = f.loc_id AND {unit.format('p.time')} = f.u)
 SELECT loc_id, 'hour' AS kind, CAST(h AS INT) AS slot, COUNT(*) AS n, ROUND(AVG(ml_cape), 6) AS ml_cape, ROUND(AVG(s06), 6) AS s06 FROM r GROUP BY 1, 2, 3
 UNION ALL SELECT loc_id, 'month', CAST(m AS INT), COUNT(*), ROUND(AVG(ml_cape), 6), ROUND(AVG(s06), 6) FROM r GROUP BY 1, 2, 3""")
 
 
+def _env(t):
+    # the factor keeps means off exact rounding ties, which float sums would decide by chance
+    return t.points.withColumn("ml_cape", F.col("ml_cape") / 0.7)
+
+
 @query("flagged_hour_environment", "C13", _env_sql("date_trunc('hour', {})"))
 def _(t):
-    out = J.environment_means(t.points, t.obs.where("lightning >= 3"), "loc_id", "time", "gust_time", ["ml_cape", "s06"])
+    out = J.environment_means(_env(t), t.obs.where("lightning >= 3"), "loc_id", "time", "gust_time", ["ml_cape", "s06"])
     return out.select("loc_id", "kind", "slot", "n", r6("ml_cape").alias("ml_cape"), r6("s06").alias("s06"))
 
 
 @query("flagged_day_environment", "C13", _env_sql("CAST({} AS DATE)"))
 def _(t):
-    out = J.environment_means(t.points, t.obs.where("lightning >= 3"), "loc_id", "time", "gust_time", ["ml_cape", "s06"], True)
+    out = J.environment_means(_env(t), t.obs.where("lightning >= 3"), "loc_id", "time", "gust_time", ["ml_cape", "s06"], True)
     return out.select("loc_id", "kind", "slot", "n", r6("ml_cape").alias("ml_cape"), r6("s06").alias("s06"))

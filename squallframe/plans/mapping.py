@@ -183,3 +183,13 @@ SELECT i, j, "T", ROUND(CASE WHEN k > 0 THEN -loc - scale / k + scale / k * POW(
 def _(t):
     fit = M.weibull_by_l_moments(_annual(t), ["i", "j"], "v").withColumn("T", F.explode(F.array(*[F.lit(x) for x in (2.0, 5.0, 20.0, 100.0)])))
     return fit.select("i", "j", "T", r6(M.weibull_return_level("c", "loc", "scale", "T"), 4).alias("level"))
+
+
+@query("regional_return_curve", "M6,D17", sql("v_field", """
+s AS (SELECT i % 2 AS region, CAST(time AS DATE) AS day, AVG(v) + MAX(v) / 7 AS v FROM v_field GROUP BY 1, 2),
+c AS (SELECT region, v, CUME_DIST() OVER (PARTITION BY region ORDER BY v) AS p FROM s)
+SELECT DISTINCT region, ROUND(1 / (1 - p) / 365.25, 6) AS "T", ROUND(v, 6) AS v FROM c WHERE p < 1"""))
+def _(t):
+    days = t.field.groupBy((F.col("i") % 2).alias("region"), F.to_date("time").alias("day")).agg((F.avg("v") + F.max("v") / 7).alias("v"))
+    out = M.return_curve(days, ["region"], "v")
+    return out.select("region", r6("T").alias("T"), r6("v").alias("v")).distinct()

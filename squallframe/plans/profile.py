@@ -1,4 +1,5 @@
 """Vertical-profile queries (I) and the sorts on levels (F3, F4, F6)."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from squallframe.functions import composites as X
@@ -397,3 +398,17 @@ SELECT g.col_id, {', '.join(f'ROUND(g.{c}, 5) + 0E0 AS {c}' for c in ('melting',
  ROUND(h.srh_left, 5) + 0E0 AS srh_left, ROUND(h.srh_right, 5) + 0E0 AS srh_right, ROUND(SQRT(ur * ur + vr * vr), 5) AS storm_speed FROM g JOIN h ON g.col_id = h.col_id"""))
 def _(t):
     return _up(t).groupBy("col_id").agg(*[r6(c, 5).alias(n) for n, c in _column_diagnostics().items()])
+
+
+@query("column_dependent_layers", "I2,I5,I6,I9", sql("v_levels", f"""{UP},
+m AS (SELECT col_id, {_H.format(v='ta', x='15')} AS mh FROM up GROUP BY 1), u2 AS (SELECT up.*, mh FROM up JOIN m ON up.col_id = m.col_id),
+g AS (SELECT col_id, ANY_VALUE(mh) AS mh, {z_sql('ta', 0)} AS t0, {z_sql('ta', 'mh', True, False)} AS t1, {z_sql('q', 'mh')} AS q, {m_sql('dp', '({z} >= 0 AND {z} <= mh)')} AS dp FROM u2 GROUP BY 1)
+SELECT col_id, ROUND(mh, 5) + 0E0 AS melting, ROUND(-(t1 - t0) / NULLIF(mh, 0) * 1000, 5) + 0E0 AS lr_freezing, ROUND(q * 1000, 5) + 0E0 AS q_melting, ROUND(dp, 5) + 0E0 AS dp_mean FROM g"""))
+def _(t):
+    # the melting height is one value per column, put on its levels by a window on the same keys
+    up = _up(t).withColumn("mh", P.height_of("ta", 15.0).over(Window.partitionBy("col_id")))
+    top = F.col("mh")
+    return up.groupBy("col_id").agg(
+        r6(F.max(top), 5).alias("melting"), r6(P.lapse_rate_height("ta", 0.0, top), 5).alias("lr_freezing"),
+        r6(P.at_height("q", top) * 1000, 5).alias("q_melting"), r6(P.mass_mean("dp", P.between_heights(0.0, top)), 5).alias("dp_mean"),
+    )

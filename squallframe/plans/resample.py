@@ -209,3 +209,26 @@ SELECT loc_id, CAST(SUM(CASE WHEN lightning >= 2 AND wind_gust >= 25 THEN 1 ELSE
  ROUND(SUM(CASE WHEN lightning >= 2 AND wind_gust >= 25 THEN 1 ELSE 0 END) / (COUNT(wind_gust) / 365E0), 6) AS per_year FROM v_obs GROUP BY 1"""))
 def _(t):
     return R.station_event_rate(t.obs, "loc_id", "wind_gust", C.event_label()).withColumn("per_year", r6("per_year"))
+
+
+@query("quartile_conditioned_density", "D16", sql("v_points", """
+s AS (SELECT MIN(ml_cape) x0, MAX(ml_cape) x1, MIN(s06) y0, MAX(s06) y1, QUANTILE_CONT(dcape, 0.25) q1, QUANTILE_CONT(dcape, 0.5) q2, QUANTILE_CONT(dcape, 0.75) q3 FROM v_points),
+b AS (SELECT CAST(LEAST(FLOOR((ml_cape - x0) / (x1 - x0) * 12), 11) AS INT) ix, CAST(LEAST(FLOOR((s06 - y0) / (y1 - y0) * 12), 11) AS INT) iy, CASE WHEN dcape <= q1 THEN 1 WHEN dcape <= q2 THEN 2 WHEN dcape <= q3 THEN 3 ELSE 4 END AS c FROM v_points, s)
+SELECT ix, iy, COUNT(CASE WHEN c = 1 THEN 1 END) AS n1, COUNT(CASE WHEN c = 2 THEN 1 END) AS n2, COUNT(CASE WHEN c = 3 THEN 1 END) AS n3, COUNT(CASE WHEN c = 4 THEN 1 END) AS n4 FROM b GROUP BY 1, 2"""))
+def _(t):
+    return R.quartile_panels(t.points, "ml_cape", "s06", "dcape", 12).drop("x", "y")
+
+
+@query("gust_parameter_means_by_month", "D15,D12", sql("v_obs v_points", """
+a AS (SELECT o.loc_id % 5 AS grp, MONTH(o.gust_time) AS month, HOUR(o.gust_time) AS hour, m.ml_cape / 0.7E0 AS ml_cape, CASE WHEN o.wind_gust >= 15 THEN 1 ELSE 0 END AS strong FROM v_obs o JOIN v_points m ON o.loc_id = m.loc_id AND m.time = o.hour_floor)
+SELECT CAST(grp AS INT) AS grp, CAST(month AS INT) AS month, CAST(hour AS INT) AS hour, COUNT(*) AS n, CAST(SUM(strong) AS BIGINT) AS n_strong, ROUND(AVG(ml_cape), 6) AS mean_cape, ROUND(AVG(CASE WHEN strong = 1 THEN ml_cape END), 6) AS strong_cape FROM a GROUP BY 1, 2, 3"""))
+def _(t):
+    from squallframe.operators.joins import align_to_model
+
+    # the factor keeps means off exact rounding ties, which float sums would decide by chance
+    ev = align_to_model(t.obs, t.points, "loc_id", "gust_time", ["ml_cape"]).withColumn("ml_cape", F.col("ml_cape") / 0.7)
+    strong = F.coalesce(F.col("wind_gust") >= 15, F.lit(False))
+    return ev.groupBy((F.col("loc_id") % 5).alias("grp"), F.month("gust_time").alias("month"), F.hour("gust_time").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(strong.cast("int")).alias("n_strong"), r6(F.avg("ml_cape")).alias("mean_cape"),
+        r6(F.avg(F.when(strong, F.col("ml_cape")))).alias("strong_cape"),
+    )

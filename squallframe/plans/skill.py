@@ -209,7 +209,7 @@ def draw_ctes(event, reps, m, shares=None, base="ev"):
     label = "'k9-' || c" + (" || '-' || CAST(share AS VARCHAR)" if shares else "")
     share_src = f" CROSS JOIN (VALUES {', '.join(f'({s}E0)' for s in shares)}) sh(share)" if shares else ""
     want_e = "ne" if m is None else str(m)
-    want_o = "ROUND(no * share)" if shares else f"{want_e} * ROUND((ne + no) / CAST(ne AS DOUBLE))"
+    want_o = "ROUND_EVEN(no * share, 0)" if shares else f"{want_e} * ROUND_EVEN((ne + no) / CAST(ne AS DOUBLE), 0)"
     return f"""num AS (SELECT *, {event} AS event, ROW_NUMBER() OVER (PARTITION BY {event} ORDER BY event_id) AS pos FROM {base}),
 sz AS (SELECT SUM({event}) ne, COUNT(*) - SUM({event}) no FROM {base}),
 ask AS (SELECT rep{share_col}, 1 AS c, CAST({want_e} AS BIGINT) AS want, ne AS size FROM sz CROSS JOIN RANGE({reps}) r(rep){share_src} UNION ALL SELECT rep{share_col}, 0, CAST({want_o} AS BIGINT), no FROM sz CROSS JOIN RANGE({reps}) r(rep){share_src}),

@@ -272,3 +272,31 @@ def test_right_closed_intervals(spark):
     rows = [("s", ts(f"2020-01-01 {h:02d}:00"), 1.0) for h in range(0, 13)]
     out = R.interval_sums(spark.createDataFrame(rows, "k string, time timestamp, v double"), ["k"], "time", "v", 6)
     assert {r["time"].hour: r["v"] for r in out.collect()} == {6: 6.0, 12: 6.0}
+
+
+def test_scaling_folds_and_elimination(spark):
+    rows = [(i, float(i % 10), float(100 + (i * 31) % 17), 1 if i % 10 > 5 else 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, e int")
+    mm = L.scaled(df, ["a", "b"]).agg(F.min("a").alias("lo"), F.max("b").alias("hi")).first()
+    assert (mm["lo"], mm["hi"]) == (0.0, 1.0)
+    rb = L.scaled(df, ["b"], "robust").agg(F.median("b").alias("m")).first()
+    assert rb["m"] == pytest.approx(0.0)
+    assert [r["removed"] for r in L.recursive_elimination(df, ["a", "b"], "e")] == ["b"]
+    folds = L.fold_auc(df, "id", ["a"], "e", 3).collect()
+    assert len(folds) == 3 and all(r["auc"] > 0.95 for r in folds)
+
+
+def test_index_correlation_p_values(spark):
+    series = spark.createDataFrame([("c", y, float(y * y)) for y in range(2000, 2010)], "cell string, year int, v double")
+    index = spark.createDataFrame([(y, float(x)) for y, x in zip(range(2000, 2010), [1, 3, 2, 5, 4, 7, 6, 9, 8, 10])], "year int, idx double")
+    r = N.index_correlation(series, index, ["cell"], ["year"], "v", "idx").first()
+    rho = 1 - 6 * 8 / (10 * 99)
+    t = rho * math.sqrt(8 / (1 - rho * rho))
+    assert r["rho"] == pytest.approx(rho)
+    assert r["p"] == pytest.approx(float(stats.student_two_sided_values(*map(lambda x: __import__("numpy").array([x]), (t, 8.0)))[0]))
+
+
+def test_contrast_between_active_and_inactive_days(spark):
+    rows = [("c", 1, 1, 0), ("c", 1, 1, 0), ("c", 0, 1, 0), ("c", 0, 0, 1), ("c", 1, 0, 1), ("c", 0, 0, 1), ("c", 1, 0, 0)]
+    r = N.class_contrast(spark.createDataFrame(rows, "k string, f int, act int, inact int"), ["k"], "f", "act", "inact").first()
+    assert r["rate_a"] == pytest.approx(2 / 3) and r["relative"] == pytest.approx(1.0) and 0 < r["p"] < 1
