@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm import chats, language, mixing, packing, pii, sharding
+from squallframe.llm import chats, fingerprints, language, mixing, packing, pii, sharding, substrings
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,15 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("found")).alias("spans"),
     )
+
+
+@query("op4_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return fingerprints.edit_and_compare(docs, "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query("op2_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substrings.remove_repeated(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", window=35)
+    return cleaned.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
