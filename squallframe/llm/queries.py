@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm import chats, fingerprints, language, mixing, packing, pii, sharding, substrings
+from squallframe.llm import chats, fingerprints, language, mixing, neighbours, packing, pii, sharding, substrings
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,9 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = substrings.remove_repeated(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", window=35)
     return cleaned.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op6_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return neighbours.search(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
