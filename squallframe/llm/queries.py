@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm import chats, fingerprints, language, mixing, neighbours, packing, pii, sharding, substrings
+from squallframe.llm import chats, fingerprints, jaccard, language, mixing, neighbours, packing, pii, sharding, substrings
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,10 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings", "vec_id", "embedding")
     return neighbours.search(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op10_jaccard_components")
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    linked = jaccard.link_documents(docs, "doc_id", "text", shingle=4, percent=85)
+    return linked.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
