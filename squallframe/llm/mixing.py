@@ -1,7 +1,7 @@
 """Mixing sources to target weights by nested hash thresholds."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,24 +70,50 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return edge.select("source", (F.col("prefix") + nearer).alias("bound"))
 
 
+def own_hash(key: Column, text: Column, seed: str) -> Column:
+    """A document's place in the order of its source: a hash of its key, or of its text where the key is null."""
+    return hash60(seed, F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit(""))))))
+
+
+def sizes(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
+    own = F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size")
+    return settle(docs.select(*own, own_hash(F.col(key), F.col(text), seed).alias("hash")))
+
+
+def shares(sized: DataFrame, weights: list[int], share: float, most: int) -> DataFrame:
+    """What each source takes: (s2, source_size, target, base, rest, bound), one row per source."""
+    goals = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    bounds = thresholds(sized, goals)
+    plan = goals.alias("g").join(bounds.alias("b"), F.col("g.source").eqNullSafe(F.col("b.source")), "left")
+    return settle(plan.select(F.col("g.source").alias("s2"), "source_size", "target", "base", "rest", "bound"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, source: str, own: Column, most: int, name: str) -> DataFrame:
+    """Adds how often each row is taken.  Rows meet only the row of their source, so nothing is sorted."""
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("s2", "base", "rest", "bound")])
+    below = F.coalesce(own < F.col("__bound"), (F.col("__rest") > 0) & (F.col("__base") < most))
+    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("__s2")))
+    return joined.withColumn(name, F.col("__base") + below.cast("long")).select(*rows.columns, name)
+
+
 def mix(docs: DataFrame, key: str, text: str, source: str, weights: list[int], share: float = 1.0, most: int = 3, seed: str = "mix") -> DataFrame:
-    """How often every document is taken: doc key, size, source, source_size, target, copies and taken words.
+    """How often every document is taken: key, size, source, source_size, target, copies and taken words.
 
     Sizes are words of the whole text (null: 0).  A document's hash comes from its key (from its text where the key is null), so reruns
     agree, larger budgets take what smaller ones took, and rows that repeat a key rise and fall together.  Sources may be null.
     Empty tables give no rows.  Other columns are not looked at.  No row is sorted: documents meet only the thresholds of
     their source, a table of one row per source that is written first, so that its real size decides how it is joined.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.md5(body)))
-    sized = settle(
-        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), hash60(seed, own).alias("hash"))
-    )
-    goals = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    bounds = thresholds(sized, goals)
-    plan = goals.alias("g").join(bounds.alias("b"), F.col("g.source").eqNullSafe(F.col("b.source")), "left")
-    plan = settle(plan.select(F.col("g.source").alias("s2"), "source_size", "target", "base", "rest", "bound"))
-    below = F.coalesce(F.col("hash") < F.col("bound"), (F.col("rest") > 0) & (F.col("base") < most))
-    copies = F.col("base") + below.cast("long")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s2"))).withColumn("copies", copies)
+    sized = sizes(docs, key, text, source, seed)
+    plan = shares(sized, weights, share, most)
+    out = with_copies(sized, plan, "source", F.col("hash"), most, "copies")
+    goal = plan.select("s2", "source_size", "target")
+    out = out.join(goal, F.col("source").eqNullSafe(F.col("s2")))
     return out.select("key", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixture(docs: DataFrame, key: str, text: str, source: str, weights: list[int], share: float = 1.0, most: int = 3, seed: str = "mix") -> DataFrame:
+    """The mixed documents themselves, with all their columns: each row as often as the mix takes it, which may be never."""
+    plan = shares(sizes(docs, key, text, source, seed), weights, share, most)
+    taken = with_copies(docs, plan, source, own_hash(F.col(key), F.col(text), seed), most, "__copies").where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
