@@ -70,8 +70,8 @@ def scan(queries: np.ndarray, rows: np.ndarray, rotation: np.ndarray, k: int, do
 
     In rotated space the first t of d columns give an unbiased guess of the distance, partial * d / t, whose spread shrinks as
     1 / sqrt(t).  After each block of columns, candidates whose guess is above the k-th best distance so far by more than
-    ``doubt`` / sqrt(t) are abandoned: the hypothesis that they are near enough is rejected.  The bar comes from the full
-    distances of the k candidates that look best after the first block; ties at the bar stay.
+    ``doubt`` / sqrt(t) are abandoned: the hypothesis that they are near enough is rejected.  The bar is the k-th best full
+    distance among the 16 k candidates that look best after the first block; ties at the bar stay.
     """
     q, r = queries @ rotation, rows @ rotation
     d, n = r.shape[1], len(r)
@@ -83,8 +83,9 @@ def scan(queries: np.ndarray, rows: np.ndarray, rotation: np.ndarray, k: int, do
         if n <= k:
             out.append(np.arange(n))
             continue
-        some = np.argpartition(partial[i], k - 1)[:k]
-        bar = ((r[some] - q[i]) ** 2).sum(axis=1).max() * (1 + 1e-9) + 1e-12
+        pool = np.argpartition(partial[i], min(n, 16 * k) - 1)[: 16 * k]
+        full = ((r[pool] - q[i]) ** 2).sum(axis=1)
+        bar = np.partition(full, k - 1)[k - 1] * (1 + 1e-9) + 1e-12
         live = np.flatnonzero(partial[i] * d / first <= bar * (1 + doubt / np.sqrt(first)) ** 2)
         part, t = partial[i][live], first
         while t < d:
@@ -96,7 +97,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, rotation: np.ndarray, k: int, do
             live, part = live[keep], part[keep]
         if d <= first:
             live = live[part <= bar]
-        out.append(np.union1d(live, some))
+        out.append(np.union1d(live, pool[full <= bar]))
     return out
 
 
