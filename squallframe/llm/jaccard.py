@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from squallframe.llm.common import components
 from squallframe.llm.substrings import Powers, mixed, rolling
@@ -19,8 +20,10 @@ U = np.uint64
 ID = pa.decimal128(38, 0)  # 126 bits of a hash of the whole set
 LEAF, FAN = 32, 8
 BLOCK = 4096  # rows of a block that are held at a time; longer ones are cut and met in pairs
-ORDERS = 3  # minima by so many orders pick a document's first partners
-MOST_CELLS, MOST_FLAGS = 24, 27  # bits of the places in the frequency sketch and in a filter of flags
+ORDERS = ((0, 1),)  # rounds of orders, the least shingles by which pick a document's first partners
+MOST_CELLS, MOST_FLAGS = 22, 27  # bits of the places in the frequency sketch and in a filter of flags
+PROBES = 4  # bits of a value in such a filter
+KEPT_BYTES = 6  # of the hash of a shingle, where sets are compared
 
 
 @dataclass(frozen=True)
@@ -30,17 +33,17 @@ class Spec:
     shingle: int = 4
     percent: int = 85
 
-    def prefix(self, n: int) -> int:
+    def prefix(self, n):
         """Two sets that link share one of their first so many shingles, in any order common to all."""
-        return n - -(-self.percent * n // 100) + 1
+        return n - (self.percent * n + 99 - (self.percent * n + 99) % 100) / 100 + 1 if isinstance(n, Column) else n - -(-self.percent * n // 100) + 1
 
     def linked(self, both, n, m):
         return 100 * both >= self.percent * (n + m - both)
 
 
-def shingles(text: str | None, spec: Spec, powers: Powers) -> np.ndarray:
+def shingles(text: bytes | None, spec: Spec, powers: Powers) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text with fewer words is one shingle, a text without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
+    words = (text or b"").lower().split()  # of bytes these take only A-Z and ASCII white space
     n = len(words)
     if not n:
         return np.zeros(0, U)
@@ -48,7 +51,14 @@ def shingles(text: str | None, spec: Spec, powers: Powers) -> np.ndarray:
     powers.reach(n + 1)
     sums = np.concatenate([np.zeros(1, U), np.cumsum(h * powers.up[0][:n], dtype=U)])
     size = min(n, spec.shingle)
-    return np.unique(mixed(rolling(sums, size, powers.down[0]) + U(spec.shingle - size)))
+    tokens = mixed(rolling(sums, size, powers.down[0]) + U(spec.shingle - size))
+    tokens.sort()
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
+
+
+def texts_of(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The last column's texts as bytes."""
+    return (t.as_py() for t in batch.column(batch.num_columns - 1).cast(pa.binary()))
 
 
 def set_id(tokens: np.ndarray) -> bytes:
@@ -60,10 +70,6 @@ def id_array(ids: list[bytes]) -> pa.Array:
     return pa.Array.from_buffers(ID, len(ids), [None, pa.py_buffer(b"".join(ids))])
 
 
-def low_words(ids: pa.Array) -> np.ndarray:
-    return np.frombuffer(ids.buffers()[1], U)[2 * ids.offset : 2 * (ids.offset + len(ids)) : 2]
-
-
 def place(values: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
     return (mixed(values + U(salt)) >> U(64 - bits)).astype(np.int64)
 
@@ -114,34 +120,16 @@ def few_parts(df: DataFrame) -> DataFrame:
     return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def frequency(texts: DataFrame, spec: Spec, bits: int) -> np.ndarray:
-    """For each cell of a hashed table the number of binary digits of how many (document, shingle) pairs fall into it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, cells = Powers(), np.zeros(1 << bits, np.int32)
-        for batch in batches:
-            for text in batch.column(0):
-                at = place(shingles(text.as_py(), spec, powers), bits)
-                cells[at] += 1  # two shingles of a document in one cell count once: an order needs no exact counts
-        yield from slices(cells, 1 << (bits - min(16, bits)))
-
-    def digits(x: np.ndarray) -> np.ndarray:
-        return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
-
-    parts = few_parts(texts).mapInArrow(count, "slice int, cells binary")
-    return gathered(parts, bits, np.int32, np.add, digits, np.uint8)
-
-
 def flags(values: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """A filter of at most 2^MOST_FLAGS bits for one column of longs or ids: it lets every value through, and a few others."""
-    bits = max(16, min(MOST_FLAGS, (16 * rows).bit_length()))
+    """A Bloom filter of at most 2^MOST_FLAGS bits for one column of longs: it lets every value through, and few others."""
+    bits = max(16, min(MOST_FLAGS, (32 * rows).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
-            column = batch.column(0)
-            at = place(low_words(column) if column.type == ID else column.to_numpy().view(U), bits)
-            np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for probe in range(PROBES):
+                at = place(batch.column(0).to_numpy().view(U), bits, probe)
+                np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from slices(cells, 1 << (bits - 16))
 
     parts = few_parts(values).mapInArrow(mark, "slice int, cells binary")
@@ -149,19 +137,22 @@ def flags(values: DataFrame, rows: int) -> tuple[np.ndarray, int]:
 
 
 def flagged(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
-    at = place(values, bits)
-    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    hit = np.ones(len(values), bool)
+    for probe in range(PROBES):
+        at = place(values, bits, probe)
+        hit &= (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return hit
 
 
 # --- passes over the texts
 
 
-def each_set(batches: Iterator[pa.RecordBatch], spec: Spec, once: bool = True) -> Iterator[tuple[bytes, np.ndarray]]:
+def each_set(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[bytes, np.ndarray]]:
     """(id, shingles) of the non-empty sets that a task reads, the same set only once."""
     powers, seen = Powers(), set()
     for batch in batches:
-        for text in batch.column(0):
-            tokens = shingles(text.as_py(), spec, powers)
+        for text in texts_of(batch):
+            tokens = shingles(text, spec, powers)
             if len(tokens):
                 own = set_id(tokens)
                 if own not in seen:
@@ -185,54 +176,65 @@ def longs(values: list) -> pa.Array:
     return pa.array(np.concatenate(values) if values and isinstance(values[0], np.ndarray) else values, pa.int64())
 
 
-def identify(docs: DataFrame, spec: Spec) -> DataFrame:
-    """docs (key, text) as (key, n, id, firsts): firsts are the least shingles by some orders, for the first partners."""
+def identify(docs: DataFrame, spec: Spec, bits: int) -> tuple[DataFrame, np.ndarray]:
+    """docs (key, text) as (key, n, id), and how frequent shingles are, in one pass over the texts.
+
+    The second is, for each cell of a hashed table, the number of binary digits of how many of the texts' shingles fall into it;
+    each task adds its cells as rows of their own.
+    """
+    kind = docs.schema["key"].dataType.simpleString()
+    empty = to_arrow_type(docs.schema["key"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, cells = Powers(), np.zeros(1 << bits, np.int32)
+        names = ["key", "n", "id", "slice", "cells"]
         for batch in batches:
-            n, ids, firsts = [], [], []
-            for text in batch.column(1):
-                tokens = shingles(text.as_py(), spec, powers)
+            n, ids = [], []
+            for text in texts_of(batch):
+                tokens = shingles(text, spec, powers)
                 n.append(len(tokens))
                 ids.append(set_id(tokens))
-                firsts.append([int(tokens[np.argmin(mixed(tokens + U(1 + j)))].view(np.int64)) for j in range(ORDERS)] if len(tokens) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), id_array(ids), pa.array(firsts, pa.list_(pa.int64()))], names=["key", "n", "id", "firsts"])
+                cells[place(tokens, bits)] += 1  # two shingles of a text in one cell count once: an order needs no exact counts
+            rows = len(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), id_array(ids), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+        for s in slices(cells, 1 << (bits - min(16, bits))):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, empty), pa.nulls(1, pa.int64()), pa.nulls(1, ID), s.column(0), s.column(1)], names=names)
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text").mapInArrow(run, f"key {kind}, n long, id decimal(38,0), firsts array<long>")
+    both = settle(docs.select("key", "text").mapInArrow(run, f"key {kind}, n long, id decimal(38,0), slice int, cells binary"))
+
+    def digits(x: np.ndarray) -> np.ndarray:
+        return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
+    table = gathered(both.where("slice is not null").select("slice", "cells"), bits, np.int32, np.add, digits, np.uint8)
+    return both.where("slice is null").select("key", "n", "id"), table
 
-def payload(texts: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
-    """(id, tokens): the sets with the wanted ids, 8 bytes a shingle."""
-    wanted = settle(wanted)
-    shared = texts.sparkSession.sparkContext.broadcast(flags(wanted, wanted.count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = shared.value
-        hits = ((own, t.tobytes()) for own, t in each_set(batches, spec) if flagged(table, bits, np.frombuffer(own, U)[:1])[0])
-        yield from batched(hits, ["id", "tokens"], [id_array, lambda x: pa.array(x, pa.binary())], 512)
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper bytes of sorted hashes."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes()
 
-    return texts.mapInArrow(run, "id decimal(38,0), tokens binary").dropDuplicates(["id"])
 
+def unpacked(body: pa.Scalar) -> np.ndarray:
+    out = np.zeros((len(body.as_buffer()) // KEPT_BYTES, 8), np.uint8)
+    out[:, 8 - KEPT_BYTES :] = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, KEPT_BYTES)
+    return out.view(U).ravel()
 
-def verified(texts: DataFrame, pairs: DataFrame, spec: Spec) -> DataFrame:
-    """Of the candidate pairs (a, b) those that link, by their whole sets."""
-    pairs = settle(pairs)
-    sets = payload(texts, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), spec)
+
+def verified(found: DataFrame, pairs: DataFrame, spec: Spec) -> DataFrame:
+    """Of the candidate pairs (a, b) those that link, by the whole sets in ``found`` (id, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+                x, y = unpacked(x), unpacked(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(spec.linked(both, len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    left = found.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    right = found.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    met = settle(pairs).join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return settle(met.mapInArrow(run, "a decimal(38,0), b decimal(38,0)"))
 
 
@@ -378,26 +380,13 @@ def block_pairs(blocks: DataFrame, spec: Spec) -> DataFrame:
 # --- the join
 
 
-def first_links(sets: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
-    """Links found by comparing every set with one other that shares a least shingle and is of like size.
-
-    This connects most copies of a group at a cost in proportion to the group, and leaves the exact search little to do.
-    """
-    like = F.floor(F.log("n") / float(-np.log(spec.percent / 100)))
-    firsts = sets.select("id", "n", like.alias("like"), F.posexplode("firsts").alias("order", "token"))
-    stars = firsts.groupBy("order", "token", "like").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last")
-    pairs = firsts.join(stars, ["order", "token", "like"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    return verified(texts, pairs, spec)
-
-
-def remaining_links(texts: DataFrame, roots: DataFrame, rare: np.ndarray, bits: int, spec: Spec) -> DataFrame:
-    """All links between sets that ``roots`` (node, root) doesn't connect yet.
+def candidates(texts: DataFrame, rare: np.ndarray, bits: int, spec: Spec) -> DataFrame:
+    """The sets that may link at all: (id, n, firsts, tokens, bits, set), a row per set.
 
-    Shingles are ordered from rare to frequent.  Sets that link share one of the first of each, so each such shingle makes a
-    block.  Blocks of one set, or of sets that are all connected, go; the rest meet in signature trees.
+    Shingles are ordered from rare to frequent.  Sets that link share one of the first of each, so only sets with a shared one
+    matter; ``tokens`` are those, ``firsts`` the least shingles by some orders, ``bits`` the signature and ``set`` all hashes.
     """
-    spark = texts.sparkSession
-    order = spark.sparkContext.broadcast(rare)
+    order = texts.sparkSession.sparkContext.broadcast(rare)
 
     def prefixes(batches):
         for own, tokens in each_set(batches, spec):
@@ -410,7 +399,8 @@ def remaining_links(texts: DataFrame, roots: DataFrame, rare: np.ndarray, bits:
 
     shared = texts.mapInArrow(keys, "token long, h long").groupBy("token").agg(F.min("h").alias("l"), F.max("h").alias("g")).where("l <> g").select("token")
     shared = settle(shared)
-    known = spark.sparkContext.broadcast(flags(shared, shared.count()))
+    known = texts.sparkSession.sparkContext.broadcast(flags(shared, shared.count()))
+    orders = [j for group in ORDERS for j in group]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, width = known.value
@@ -419,22 +409,60 @@ def remaining_links(texts: DataFrame, roots: DataFrame, rare: np.ndarray, bits:
             for own, tokens, p in prefixes(batches):
                 hit = p[flagged(table, width, p.view(U))]
                 if len(hit):
-                    yield own, len(tokens), bitmap(tokens), hit.tolist()
+                    firsts = [int(tokens[np.argmin(mixed(tokens + U(1 + j)))].view(np.int64)) for j in orders]
+                    yield own, len(tokens), firsts, hit.tolist(), bitmap(tokens), packed(tokens)
 
-        kinds = [id_array, longs, lambda x: pa.array(x, pa.binary()), lambda x: pa.array(x, pa.list_(pa.int64()))]
-        yield from batched(rows(), ["id", "n", "bits", "tokens"], kinds, 512)
+        lists, binaries = (lambda x: pa.array(x, pa.list_(pa.int64()))), (lambda x: pa.array(x, pa.binary()))
+        yield from batched(rows(), ["id", "n", "firsts", "tokens", "bits", "set"], [id_array, longs, lists, lists, binaries, binaries], 512)
 
-    found = texts.mapInArrow(members, "id decimal(38,0), n long, bits binary, tokens array<long>").dropDuplicates(["id"])
-    found = found.join(roots, found["id"] == roots["node"], "left").withColumn("root", F.xxhash64(F.coalesce("root", "id"))).drop("node")
-    found = settle(found)
-    placed = found.select("id", "root", F.explode("tokens").alias("token"))
-    live = placed.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("g"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
-    live = live.where("l <> g").select("token", "cuts")
+    ddl = "id decimal(38,0), n long, firsts array<long>, tokens array<long>, bits binary, set binary"
+    return settle(texts.mapInArrow(members, ddl).dropDuplicates(["id"]))
+
+
+def rooted(ids: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
+    """Adds the root of an id's component, which is the id itself if nothing links to it."""
+    r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return ids.join(r, F.col(of) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", of)).drop("__node", "__root")
+
+
+def first_links(found: DataFrame, links: DataFrame | None, orders: tuple[int, ...], spec: Spec) -> DataFrame:
+    """Links found by comparing every set with one other that shares a least shingle and is of like size.
+
+    The other is the one with the fewest rare shingles of its own, most likely the text that others were copied from, ties by
+    a hash.  This connects most copies of a group at a cost in proportion to the group, and leaves the exact search little to
+    do.  Pairs that ``links`` connect already are passed over.
+    """
+    like = F.floor(F.log("n") / float(-np.log(spec.percent / 100)))
+    own = spec.prefix(F.col("n")) - F.size("tokens")
+    firsts = found.select("id", like.alias("like"), own.alias("own"), F.posexplode("firsts").alias("order", "token")).where(F.col("order").isin(*orders))
+    draw = F.struct(F.col("own"), F.xxhash64("order", "id").alias("h"), F.col("id"))
+    stars = firsts.groupBy("order", "token", "like").agg(F.min(draw).alias("one"), F.min("id").alias("l"), F.max("id").alias("g")).where("l <> g")
+    pairs = firsts.join(stars.select("order", "token", "like", F.col("one.id").alias("b")), ["order", "token", "like"]).where("id <> b")
+    pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    if links is not None:
+        roots = components(links)
+        pairs = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+    new = verified(found, pairs, spec)
+    return new if links is None else links.unionAll(new)
+
+
+def remaining_links(found: DataFrame, links: DataFrame, spec: Spec) -> DataFrame:
+    """All links between sets that ``links`` don't connect yet.
+
+    Each shared shingle makes a block.  Blocks whose sets are all connected go, and of blocks with the same sets, by 128
+    bits of hashes, one stays; the rest meet in signature trees.
+    """
+    named = rooted(found.select("id", "n", "tokens", "bits"), components(links), "id", "root").withColumn("root", F.xxhash64("root"))
+    named = settle(named)
+    placed = named.select("id", "root", F.explode("tokens").alias("token"))
+    members = [F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "id")).alias("y")]
+    live = placed.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("g"), *members).where("l <> g")
+    live = live.groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("cuts"))
     placed = placed.join(live, "token").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = placed.select("id", "token", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
-    pairs = block_pairs(cells.join(found.select("id", "n", "root", "bits"), "id"), spec)
-    return verified(texts, pairs, spec)
+    pairs = block_pairs(cells.join(named.select("id", "n", "root", "bits"), "id"), spec)
+    return verified(found, pairs, spec)
 
 
 def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -451,16 +479,16 @@ def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, perce
     spec = Spec(shingle, percent)
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     texts = base.select("text")
-    own = settle(identify(base, spec))
-    classes = own.where("n > 0").groupBy("id").agg(F.min("key").alias("least"), F.max("n").alias("n"))
-    firsts = own.where("n > 0").select("id", "n", "firsts").dropDuplicates(["id"])
-    links = first_links(settle(firsts), texts, spec)
-    roots = components(links)
-    total = own.agg(F.sum("n")).first()[0] or 0
-    bits = max(16, min(MOST_CELLS, int(total).bit_length()))
-    more = remaining_links(texts, roots, frequency(texts, spec, bits), bits, spec)
-    roots = components(links.unionAll(more))
-    classes = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("component"))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    bits = max(16, min(MOST_CELLS, int(chars // 6).bit_length()))
+    own, rare = identify(base, spec, bits)
+    found = candidates(texts, rare, bits, spec)
+    links = None
+    for orders in ORDERS:
+        links = first_links(found, links, orders, spec)
+    roots = components(links.unionAll(remaining_links(found, links, spec)))
+    classes = own.where("n > 0").groupBy("id").agg(F.min("key").alias("least"))
+    classes = rooted(classes, roots, "id", "component")
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = settle(classes.join(smallest, "component").select(F.col("id").alias("set_id"), "component", "component_id"))
     out = own.where("n > 0").withColumnRenamed("id", "set_id").join(named, "set_id")
