@@ -1,6 +1,6 @@
 """Logistic models, predictor selection, collinearity and density (L).
 
-Fits run in ``pyspark.ml``; only coefficients, p-values and a k x k matrix reach the driver.  Fitted
+Fits run as Spark jobs; only coefficients, p-values and k x k sums reach the driver.  Fitted
 models are applied as plain column expressions.  Tables that several fits read should be settled first.
 """
 from __future__ import annotations
@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -45,26 +44,82 @@ def _vectors(df: DataFrame, predictors: Sequence[str], *keep: str | Column) -> D
     return VectorAssembler(inputCols=list(predictors), outputCol="features").transform(typed).drop(*predictors)
 
 
-def balanced_fit(df: DataFrame, predictors: Sequence[str], event: str, penalty: float = 1.0, max_iter: int = 200) -> Model:
-    """L2 logistic fit with class weights n / (2 n_k).
+def balanced_fits(
+    df: DataFrame, event: str, fits: Sequence[tuple[Column | None, Sequence[str]]], penalty: float = 1.0, max_iter: int = 1000, tol: float = 1e-10
+) -> list[Model]:
+    """L2 logistic fits with class weights n / (2 n_k), one for each (training rows or None for all, predictors).
 
-    The intercept is not penalised, so coefficients differ slightly from solvers that do.
+    Newton's method on all fits at once: a step is one aggregation over rows x fits, whose sums are combined before they are
+    shuffled; the driver solves a small system per fit.  The intercept is not penalised, so coefficients differ slightly
+    from solvers that do.  Fits that are not done after ``max_iter`` steps are an error.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e")).first()
-    if not n["e"] or n["e"] == n["n"]:
-        raise ValueError("both classes are needed")
-    weight = F.when(F.col(event) == 1, n["n"] / (2.0 * n["e"])).otherwise(n["n"] / (2.0 * (n["n"] - n["e"])))
-    rows = _vectors(df, predictors, F.col(event).cast("double").alias("label"), weight.alias("w"))
-    fit = LogisticRegression(
-        weightCol="w", regParam=penalty / n["n"], elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8
-    ).fit(rows)
-    return Model(tuple(predictors), tuple(float(c) for c in fit.coefficients), float(fit.intercept))
-
-
-def p_values(df: DataFrame, predictors: Sequence[str], event: str) -> dict[str, float]:
+    names = list(dict.fromkeys(p for _, preds in fits for p in preds))
+    parts = list({id(t): t for t, _ in fits}.values())
+    part_of = [next(i for i, t in enumerate(parts) if t is train) for train, _ in fits]
+    holds = F.array(*[F.lit(True) if t is None else F.coalesce(t, F.lit(False)) for t in parts])
+    x = [F.col(p).cast("double").alias(f"x{j + 1}") for j, p in enumerate(names)]
+    rows = df.where(F.col(event).isin(0, 1)).dropna(subset=names).select(F.col(event).cast("double").alias("_y"), *x, F.posexplode(holds).alias("part", "in")).where("in").drop("in")
+    sizes = {r["part"]: (r["n"], r["e"]) for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("e")).collect()}
+    weights = []
+    for i in range(len(parts)):
+        n, e = sizes.get(i, (0, 0))
+        if not e or e == n:
+            raise ValueError("both classes are needed")
+        weights.append((n / (2.0 * e), n / (2.0 * (n - e))))
+    k = len(names) + 1
+    beta = np.zeros((len(fits), k))
+    free = [np.array([0, *(1 + names.index(p) for p in preds)]) for _, preds in fits]
+    ridge = np.diag([0.0] + [penalty] * (k - 1))
+    open_ = set(range(len(fits)))
+    for _ in range(max_iter):
+        own = [[f for f in open_ if part_of[f] == i] for i in range(len(parts))]
+        models = F.array(*[
+            F.array(*[F.struct(F.lit(f).alias("f"), *[F.lit(float(c)).alias(f"b{j}") for j, c in enumerate(beta[f])]) for f in group]).cast(
+                "array<struct<f:int," + ",".join(f"b{j}:double" for j in range(k)) + ">>"
+            )
+            for group in own
+        ])
+        wide = F.array(*[F.struct(*[F.lit(w).alias(c) for w, c in zip(ws, ("w1", "w0"), strict=True)]) for ws in weights])
+        each = rows.select("*", F.inline(models[F.col("part")])).withColumn("_w", F.when(F.col("_y") == 1, wide[F.col("part")]["w1"]).otherwise(wide[F.col("part")]["w0"]))
+        xs = [F.lit(1.0), *[F.col(f"x{j}") for j in range(1, k)]]
+        eta = sum((F.col(f"b{j}") * xs[j] for j in range(1, k)), F.col("b0"))
+        each = each.withColumn("_p", logistic(eta)).withColumn("_g", F.col("_w") * (F.col("_p") - F.col("_y"))).withColumn("_h", F.col("_w") * F.col("_p") * (1 - F.col("_p")))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = each.groupBy("f").agg(*[F.sum(F.col("_g") * xs[j]).alias(f"g{j}") for j in range(k)], *[F.sum(F.col("_h") * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in pairs])
+        for r in sums.collect():  # a row per fit
+            f, hess = r["f"], ridge.copy()
+            for i, j in pairs:
+                hess[i, j] += r[f"h{i}_{j}"]
+                hess[j, i] = hess[i, j]
+            grad = np.array([r[f"g{j}"] for j in range(k)]) + ridge @ beta[f]
+            step = np.linalg.solve(hess[np.ix_(free[f], free[f])], grad[free[f]])
+            beta[f][free[f]] -= step
+            if np.abs(step).max() < tol * max(1.0, np.abs(beta[f]).max()):
+                open_.discard(f)
+        if not open_:
+            return [Model(tuple(preds), tuple(float(beta[f][1 + names.index(p)]) for p in preds), float(beta[f][0])) for f, (_, preds) in enumerate(fits)]
+    raise RuntimeError(f"{len(open_)} logistic fits did not converge in {max_iter} iterations")
+
+
+def balanced_fit(df: DataFrame, predictors: Sequence[str], event: str, penalty: float = 1.0, max_iter: int = 1000) -> Model:
+    """One of ``balanced_fits``, on all rows."""
+    return balanced_fits(df, event, [(None, predictors)], penalty, max_iter)[0]
+
+
+class SingularDesign(ValueError):
+    """The predictors depend on each other linearly, so their coefficients have no standard errors."""
+
+
+def p_values(df: DataFrame, predictors: Sequence[str], event: str, max_iter: int = 1000) -> dict[str, float]:
     """Wald p-values of an unweighted logistic regression, and of its constant."""
+    g = gram(df.withColumn("_one", F.lit(1.0)).dropna(subset=list(predictors)), [*predictors, "_one"])
+    scale = np.sqrt(np.diag(g))
+    if (scale == 0).any() or np.linalg.matrix_rank(g / np.outer(scale, scale), hermitian=True) < len(g):
+        raise SingularDesign(" ".join(predictors))
     rows = _vectors(df, predictors, F.col(event).cast("double").alias("label"))
-    fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50).fit(rows)
+    fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter).fit(rows)
+    if fit.summary.numIterations >= max_iter:
+        raise RuntimeError(f"the regression did not converge in {max_iter} iterations")
     return dict(zip([*predictors, "const"], (float(p) for p in fit.summary.pValues), strict=True))
 
 
@@ -99,19 +154,28 @@ def stratified_splits(df: DataFrame, unique: str, event: str, n_splits: int, tra
     return out
 
 
+def _tests(df: DataFrame, event: str, keyed_models: Sequence[tuple[dict, Column, Model]]) -> DataFrame:
+    """Test rows of each model with its probability as ``value``, one pass over the rows: (keys..., value, event)."""
+    first = keyed_models[0][0]
+    scored = F.array(*[
+        F.struct(*[F.lit(v).alias(k) for k, v in keys.items()], m.probability().alias("value"), F.coalesce(~train, F.lit(False)).alias("test")) for keys, train, m in keyed_models
+    ])
+    return df.select(F.col(event).alias("event"), F.inline(scored)).where("test").select(*first, "value", "event")
+
+
 def cross_validate(df: DataFrame, unique: str, predictors: Sequence[str], event: str, splits: Sequence[Column]) -> DataFrame:
     """Best HSS and PSS over probability thresholds on each split's test part: (split, score, threshold, name)."""
-    scored = None
-    for i, train in enumerate(splits):
-        model = balanced_fit(df.where(train), predictors, event)
-        part = df.where(~train).select(F.lit(i).alias("split"), model.probability().alias("value"), F.col(event).alias("event"))
-        scored = part if scored is None else scored.unionByName(part)
-    counts = K.threshold_counts(scored, ["split"], "value", "event", PROB_STEPS, limits=(0.0, 1.0))
-    out = None
-    for name in ("hss", "pss"):
-        best = K.pick_best(K.with_score(counts, name), ["split"]).withColumn("name", F.lit(name))
-        out = best if out is None else out.unionByName(best)
-    return out
+    return cross_validate_sets(df, [predictors], event, splits).drop("predictors")
+
+
+def cross_validate_sets(df: DataFrame, sets: Sequence[Sequence[str]], event: str, splits: Sequence[Column]) -> DataFrame:
+    """The same for several predictor sets, all fitted together: (predictors, split, threshold, score, name)."""
+    asked = [({"predictors": " ".join(s), "split": i}, train, s) for s in sets for i, train in enumerate(splits)]
+    models = balanced_fits(df, event, [(train, s) for _, train, s in asked])
+    scored = _tests(df, event, [(keys, train, m) for (keys, train, _), m in zip(asked, models, strict=True)])
+    counts = K.threshold_counts(scored, ["predictors", "split"], "value", "event", PROB_STEPS, limits=(0.0, 1.0))
+    best = [K.pick_best(K.with_score(counts, name), ["predictors", "split"]).withColumn("name", F.lit(name)) for name in ("hss", "pss")]
+    return best[0].unionByName(best[1])
 
 
 def summarise_splits(scores: DataFrame) -> DataFrame:
@@ -131,20 +195,12 @@ def diagnostic_scores(df: DataFrame, params: Sequence[str], event: str, splits:
 
 
 def subset_search(
-    df: DataFrame, unique: str, predictors: Sequence[str], event: str, splits: Sequence[Column], sizes: Sequence[int], limit: int | None = None
+    df: DataFrame, unique: str, predictors: Sequence[str], event: str, splits: Sequence[Column], sizes: Sequence[int]
 ) -> DataFrame:
-    """Mean split scores of every predictor combination of the given sizes, best first.
-
-    A driver loop over distributed fits; ``limit`` bounds the number of combinations and says so by raising.
-    """
+    """Mean split scores of every predictor combination of the given sizes, best first; all are fitted together."""
     combos = [c for r in sizes for c in itertools.combinations(predictors, r)]
-    if limit is not None and len(combos) > limit:
-        raise ValueError(f"{len(combos)} combinations exceed the limit of {limit}")
-    out = None
-    for c in combos:
-        s = summarise_splits(cross_validate(df, unique, c, event, splits)).withColumn("predictors", F.lit(" ".join(c)))
-        out = s if out is None else out.unionByName(s)
-    wide = out.groupBy("predictors").agg(
+    scores = cross_validate_sets(df, combos, event, splits).groupBy("predictors", "name").agg(F.avg("score").alias("mean"), F.avg("threshold").alias("threshold"))
+    wide = scores.groupBy("predictors").agg(
         *[F.max(F.when(F.col("name") == n, F.col(v))).alias(f"{n}{t}") for n in ("hss", "pss") for v, t in (("mean", ""), ("threshold", "_thresh"))]
     )
     return wide.orderBy(F.col("hss").desc(), "predictors")
@@ -163,7 +219,8 @@ def forward_selection(
     """Add predictors while they help: least p-value, or best HSS among models whose terms are all significant.
 
     The HSS rule also asks the new score to reach the 95th bootstrap percentile of the current model's.
-    Returns one record per step with the predictor, its score and the chosen model's p-value.
+    Returns one record per step with the predictor, its score, the chosen model's p-value, and the predictors that could not be
+    tried because they depend linearly on the chosen ones.
     """
     if by not in ("pval", "hss"):
         raise ValueError(by)
@@ -171,14 +228,15 @@ def forward_selection(
     steps: list[dict] = []
     current = 0.0
     while len(chosen) < (max_steps or len(predictors)):
-        tried = []
+        tried, singular = [], []
         for p in predictors:
             if p in chosen:
                 continue
             names = [*chosen, p]
             try:
                 pv = p_values(df, names, event)
-            except Exception:  # noqa: BLE001  a singular design has no p-values
+            except SingularDesign:
+                singular.append(p)
                 continue
             rec = {"predictor": p, "pval": pv[p], "ok": all(v <= alpha for v in pv.values()), "score": None}
             if by == "hss" and rec["ok"]:
@@ -193,20 +251,20 @@ def forward_selection(
             best = max(good, key=lambda r: r["score"], default=None)
             if best is None or best["score"] <= current:
                 break
-            if chosen and best["score"] < _bootstrap_limit(df, unique, chosen, event, n_rep):
+            if chosen and best["score"] < _bootstrap_limit(df, chosen, event, n_rep):
                 break
             current = best["score"]
         chosen.append(best["predictor"])
-        steps.append({"step": len(chosen), "predictor": best["predictor"], "pval": best["pval"], "score": best["score"]})
+        steps.append({"step": len(chosen), "predictor": best["predictor"], "pval": best["pval"], "score": best["score"], "singular": singular})
     return steps
 
 
-def _bootstrap_limit(df: DataFrame, unique: str, chosen: Sequence[str], event: str, n_rep: int) -> float:
+def _bootstrap_limit(df: DataFrame, chosen: Sequence[str], event: str, n_rep: int) -> float:
     model = balanced_fit(df, chosen, event)
     _, threshold = full_sample_hss(df, model, event)
-    rows = df.select(unique, F.col(event), model.probability().alias("p"))
-    sample = K.resample_events(rows, unique, event, n_rep, None, seed="l6")
-    c = K.counts_at(sample, ["rep"], F.col("p") > threshold, event)
+    groups = K.exceedance_groups(df, event, {"yes": model.probability() > threshold})
+    sample = K.resample_groups(groups, event, n_rep, None, seed="l6")
+    c = K.resampled_contingency(sample, ["rep"], event, ["yes"])
     limit = c.select(K.score("hss", "hits", "misses", "false_alarms", "correct_negatives").alias("s"))
     return float(limit.agg(F.percentile("s", F.lit(0.95)).alias("q")).first()["q"])  # one value per replicate
 
@@ -227,16 +285,39 @@ def scaled(df: DataFrame, predictors: Sequence[str], how: str = "minmax") -> Dat
     return out.withColumns({p: (F.col(p) - F.col(f"_c_{p}")) / F.nullif(width[p], F.lit(0.0)) for p in predictors}).select(*df.columns)
 
 
-def recursive_elimination(df: DataFrame, predictors: Sequence[str], event: str, keep: int = 1, how: str = "minmax") -> list[dict]:
-    """Drop the smallest absolute coefficient each round; returns the rounds in order of removal."""
+def clipped(df: DataFrame, predictors: Sequence[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Values outside each predictor's percentiles are moved to them."""
+    q = quantiles(K.to_long(df, predictors, []), ["param"], "value", {"a": low, "t": high})
+    one = q.agg(*[F.max(F.when(F.col("param") == p, F.col(n))).alias(f"_{n}_{p}") for p in predictors for n in ("a", "t")])
+    out = df.crossJoin(F.broadcast(one))  # one row
+    return out.withColumns({p: F.greatest(F.least(F.col(p).cast("double"), F.col(f"_t_{p}")), F.col(f"_a_{p}")) for p in predictors}).select(*df.columns)
+
+
+def recursive_elimination(
+    df: DataFrame, predictors: Sequence[str], event: str, keep: int = 1, how: str = "minmax", unique: str | None = None, folds: int = 5
+) -> list[dict]:
+    """Drop the smallest absolute coefficient each round; returns the rounds in order of removal.
+
+    With ``unique`` each round also tells the mean AUC of the predictors it started from over so many folds, and ``best``
+    marks the round whose predictors do best; the last record is the set that is left.
+    """
     rows = scaled(df, predictors, how)
     left, out = list(predictors), []
+
+    def auc():
+        return {"auc": float(fold_auc(rows, unique, left, event, folds).agg(F.avg("auc")).first()[0])} if unique else {}
+
     while len(left) > keep:
         model = balanced_fit(rows, left, event)
         size = dict(zip(model.predictors, map(abs, model.coefs), strict=True))
         worst = min(left, key=lambda p: (size[p], p))
-        out.append({"round": len(out) + 1, "removed": worst, "coef": size[worst]})
+        out.append({"round": len(out) + 1, "removed": worst, "coef": size[worst], "predictors": " ".join(left)} | auc())
         left.remove(worst)
+    if unique:
+        out.append({"round": len(out) + 1, "removed": None, "coef": None, "predictors": " ".join(left)} | auc())
+        top = max(r["auc"] for r in out)
+        for r in out:
+            r["best"] = r["auc"] == top
     return out
 
 
@@ -244,12 +325,9 @@ def fold_auc(df: DataFrame, unique: str, predictors: Sequence[str], event: str,
     """AUC of each fold's held-out rows."""
     fold = F.floor(split_draw(seed, "f", unique) / HASH_SPACE * folds).cast("int")
     rows = df.withColumn("fold", fold)
-    scored = None
-    for f in range(folds):
-        model = balanced_fit(rows.where(F.col("fold") != f), predictors, event)
-        part = rows.where(F.col("fold") == f).select("fold", model.probability().alias("value"), F.col(event).alias("event"))
-        scored = part if scored is None else scored.unionByName(part)
-    return K.auc(scored, ["fold"])
+    trains = [F.col("fold") != f for f in range(folds)]
+    models = balanced_fits(rows, event, [(t, predictors) for t in trains])
+    return K.auc(_tests(rows, event, [({"fold": f}, t, m) for f, (t, m) in enumerate(zip(trains, models, strict=True))]), ["fold"])
 
 
 def gram(df: DataFrame, predictors: Sequence[str]) -> np.ndarray:
@@ -278,24 +356,23 @@ def rule_comparison(df: DataFrame, event: str, flags: dict[str, Column]) -> Data
     return K.rates(K.counts_at(rows, ["rule"], F.col("yes"), "event")).select("rule", "pod", "far", "hss")
 
 
-def density(df: DataFrame, keys: Sequence[str], value: str, points: int = 1000, fineness: int = 20) -> DataFrame:
+def density(df: DataFrame, keys: Sequence[str], value: str, points: int = 1000) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth at even points over the range widened by half on each side.
 
-    Rows collapse to bins a small part of a bandwidth wide; each bin then adds its kernel to the points.
+    Equal values are counted once; each distinct value then adds its kernel to the points.  To leave rows out, such as those
+    a model identifies, filter ``df``.
     """
     v = F.col(value).cast("double")
-    s = df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"), (F.stddev_samp(v) * F.pow(F.count(v).cast("double"), F.lit(-0.2))).alias("_h"), F.count(v).alias("_n")
-    )
-    rows = df.where(v.isNotNull()).join(s, list(keys))
-    width = F.col("_h") / fineness
-    bins = rows.groupBy(*keys, F.floor((v - F.col("_lo")) / width).alias("_b")).agg(
-        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_lo", "_hi", "_h", "_n")]
-    )
+    counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    n, s1 = F.sum("_c"), F.sum(F.col("_c") * F.col("_v"))
+    mean = counts.groupBy(*keys).agg((s1 / n).alias("_m"), n.alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    dev = F.col("_v") - F.col("_m")
+    per = counts.join(mean, list(keys)).groupBy(*keys, "_n", "_lo", "_hi").agg(F.sum(F.col("_c") * dev * dev).alias("_q"))
+    per = per.withColumn("_h", F.sqrt(F.col("_q") / (F.col("_n") - 1)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     span = F.col("_hi") - F.col("_lo")
-    grid = bins.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = counts.join(per, list(keys)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_lo") - 0.5 * span + F.col("i") * (2.0 * span / (points - 1))
-    z = (x - (F.col("_lo") + (F.col("_b") + 0.5) * width)) / F.col("_h")
+    z = (x - F.col("_v")) / F.col("_h")
     return grid.groupBy(*keys, "i").agg(
         F.first(x).alias("x"), (F.sum(F.col("_c") * F.exp(-0.5 * z * z)) / F.first(F.col("_n") * F.col("_h")) / 2.5066282746310002).alias("density")
     )

@@ -5,13 +5,16 @@ those counts; nothing is repeated per threshold.
 """
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from squallframe.functions.draws import pick
+from squallframe.functions.draws import lot, pick, picks
 from squallframe.functions.scalar import col
 from squallframe.operators.ordered import ALL, attach, count_quantiles, keyed, quantiles, row_numbers, running_counts, shared, value_counts
 
@@ -229,9 +232,13 @@ def station_scores(
     return c.select(station, "param", "events", F.when(F.col("events") > 1, s).alias("score"))
 
 
-def far_at_two_thirds(long: DataFrame, keys: Sequence[str], value: str = "value", event: str = "event", prob: float = 0.33) -> DataFrame:
-    """Threshold hit by two thirds of the events, with its false-alarm ratio and rate."""
+def far_at_two_thirds(
+    long: DataFrame, keys: Sequence[str], value: str = "value", event: str = "event", prob: float = 0.33, yes_no: Sequence[str] = ()
+) -> DataFrame:
+    """Threshold hit by two thirds of the events, with its false-alarm ratio and rate; of a ``yes_no`` parameter it is 1."""
     limit = quantiles(long.where(F.col(event) == 1), keys, value, {"threshold": prob})
+    if yes_no:
+        limit = limit.withColumn("threshold", F.when(F.col("param").isin(*yes_no), 1.0).otherwise(F.col("threshold")))
     c = counts_at(long.join(limit, list(keys)), [*keys, "threshold"], F.col(value) >= F.col("threshold"), event)
     r = rates(c)
     return r.select(*keys, "threshold", F.col("far").alias("fa_ratio"), F.col("pofd").alias("fa_rate"))
@@ -253,71 +260,118 @@ def flip_low(long: DataFrame, low_params: Sequence[str], event: str = "event") -
     return long.withColumn(event, F.when(F.col("param").isin(*low_params), 1 - F.col(event)).otherwise(F.col(event)))
 
 
-def resample_events(
-    df: DataFrame, unique: str, event: str, n_rep: int, m: int | None, share: float | None = None, seed: str = "k9", by: Sequence[float] = ()
+DRAWS = 1 << 16  # draws that are made at a time
+MOST_LABELS = 8  # questions whose answers make groups, so there are 13,122 groups at most
+
+
+def exceedance_groups(df: DataFrame, event: str, flags: dict[str, Column]) -> DataFrame:
+    """(event, flags..., n): rows of a class that answer all the yes/no questions alike; null where a value is missing."""
+    asked = df.where(F.col(event).isin(0, 1)).select(event, *[f.cast("int").alias(name) for name, f in flags.items()])
+    return asked.groupBy(event, *flags).agg(F.count(F.lit(1)).alias("n"))
+
+
+def resample_groups(
+    groups: DataFrame, event: str, n_rep: int, m: int | None, share: float | None = None, seed: str = "k9", by: Sequence[float] = ()
 ) -> DataFrame:
-    """Bootstrap rows: per replicate m events and m x ratio non-events (or a share of them), with replacement.
+    """Bootstrap of groups of like rows: (rep, [share], event, labels..., times).
 
-    ``by`` repeats the draw for several shares of non-events, adding a ``share`` column.  ``m`` of None
-    draws as many events as there are.  Rows get a position per class by a two-level count, draws are a
-    generated table, and the pick is an equi-join on (class, position).
+    Each replicate draws m rows with the event, and as many times the sample's ratio without it (or ``share`` of those there are),
+    with replacement.  ``m`` of None draws as many events as there are; ``by`` repeats the draw for several shares.
+    ``groups`` has a count n per class and labels; a group owns as many positions of its class as it has rows, in order of the labels.
+    So a draw is a number that is looked up among the groups, and no data row is numbered, moved or joined; the draws are made
+    and counted in numpy.
     """
-    spark = df.sparkSession
-    numbered = row_numbers(df.where(F.col(event).isin(0, 1)), [event], unique, "_pos")
-    sizes = df.where(F.col(event).isin(0, 1)).groupBy(F.col(event).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    wide = sizes.agg(
-        F.max(F.when(F.col("_class") == 1, F.col("_n"))).alias("_ne"), F.max(F.when(F.col("_class") == 0, F.col("_n"))).alias("_no")
-    )
-    want_e = F.col("_ne") if m is None else F.lit(m)
+    spark = groups.sparkSession
+    labels = [c for c in groups.columns if c not in (event, "n")]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"{len(labels)} labels: resample at most {MOST_LABELS} at a time")
+    # at most 2 x 3^labels rows, as a label is yes, no or missing
+    rows = groups.orderBy(event, *labels).collect()
+    of = {c: [r for r in rows if r[event] == c] for c in (0, 1)}
+    ends = {c: np.cumsum([r["n"] for r in own], dtype=np.int64) for c, own in of.items()}
+    ne, no = (int(ends[c][-1]) if len(ends[c]) else 0 for c in (1, 0))
+    names = {c: [[r[x] for x in labels] for r in own] for c, own in of.items()}
     reps = spark.range(n_rep).select(F.col("id").cast("int").alias("rep"))
+    want_e = F.lit(ne if m is None else m)
     if by:
         reps = reps.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in by])))
-        want_o = F.bround(F.col("_no") * F.col("share"))
+        want_o = F.bround(F.lit(no) * F.col("share"))
     elif share is not None:
-        want_o = F.bround(F.col("_no") * share)
+        want_o = F.bround(F.lit(no) * share)
     else:
-        want_o = want_e * F.bround((F.col("_ne") + F.col("_no")) / F.col("_ne"))
-    ask = reps.crossJoin(F.broadcast(wide))  # one row of class sizes
+        want_o = want_e * F.bround(F.lit(ne + no) / F.lit(ne)) if ne else F.lit(0)
+    keys = ["rep", *(["share"] if by else [])]
     classes = F.array(
-        F.struct(F.lit(1).alias("c"), want_e.cast("long").alias("want"), F.col("_ne").alias("size")),
-        F.struct(F.lit(0).alias("c"), want_o.cast("long").alias("want"), F.col("_no").alias("size")),
-    )
-    ask = ask.withColumn("_c", F.explode(classes)).where("_c.want > 0 AND _c.size > 0")
-    # blocks keep one replicate's draws from sitting in one task
-    block = 4096
-    ask = ask.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_c.want") - 1) / block))))
-    # the blocks are small rows; spread them before they grow into draws
-    ask = ask.repartition("rep", *(["share"] if by else []), "_c.c", "_blk")
-    last = F.least(F.col("_blk") * block + block, F.col("_c.want")) - 1
-    ask = ask.withColumn("_k", F.explode(F.sequence(F.col("_blk") * block, last)))
-    label = F.concat_ws("-", F.lit(seed), F.col("_c.c").cast("string"), *( [F.col("share").cast("string")] if by else []))
-    draws = ask.select(
-        "rep", *(["share"] if by else []), F.col("_c.c").alias(event), (pick(label, F.col("rep"), F.col("_k"), F.col("_c.size")) + 1).alias("_pos")
+        F.struct(F.lit(1).alias("c"), want_e.cast("long").alias("want"), F.lit(ne).cast("long").alias("size")),
+        F.struct(F.lit(0).alias("c"), want_o.cast("long").alias("want"), F.lit(no).cast("long").alias("size")),
     )
-    return draws.join(numbered.drop("_pos_total"), [event, "_pos"]).drop("_pos")
+    ask = reps.select(*keys, F.inline(classes)).where("want > 0 AND size > 0")
+    ask = ask.withColumn("_start", lot(F.concat_ws("-", F.lit(seed), F.col("c").cast("string"), *([F.col("share").cast("string")] if by else [])), "rep"))
+    # a replicate's draws are spread over tasks in blocks
+    ask = ask.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") - 1, F.lit(DRAWS).cast("long"))))
+    ask = ask.withColumn("_to", F.least(F.col("_from") + DRAWS, F.col("want"))).repartition(*keys, "c", "_from")
+    schema = "rep int, " + ("share double, " if by else "") + f"{event} int, " + "".join(f"{x} int, " for x in labels) + "times long"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                own = tuple(r[: len(keys)])
+                c, first, last, start, size = map(int, r[len(keys) :])
+                drawn = np.searchsorted(ends[c], picks(start, np.arange(first, last, dtype=np.int64), size), "right")
+                times = np.bincount(drawn, minlength=len(ends[c]))
+                out += [(*own, c, *names[c][g], int(times[g])) for g in np.flatnonzero(times)]
+            frame = pd.DataFrame(out, columns=columns)
+            yield frame.astype({x: "Int32" for x in labels})
+
+    asked = ask.select(*keys, "c", "_from", "_to", "_start", "size")
+    return asked.mapInPandas(draw, schema).groupBy(*keys, event, *labels).agg(F.sum("times").alias("times"))
+
+
+def resampled_contingency(sample: DataFrame, keys: Sequence[str], event: str, flags: Sequence[str]) -> DataFrame:
+    """Contingency counts per replicate and flag: (keys..., param, hits, misses, false_alarms, correct_negatives)."""
+    cell = lambda f, e, y: F.sum(F.when((F.col(event) == e) & (F.col(f) == y), F.col("times")).otherwise(0))
+    cells = [("hits", 1, 1), ("misses", 1, 0), ("false_alarms", 0, 1), ("correct_negatives", 0, 0)]
+    wide = sample.groupBy(*keys).agg(*[cell(f, e, y).alias(f"{f}_{n}") for f in flags for n, e, y in cells])
+    rows = F.array(*[F.struct(F.lit(f).alias("param"), *[F.col(f"{f}_{n}").alias(n) for n, _, _ in cells]) for f in flags])
+    return wide.select(*keys, F.inline(rows))
+
+
+def _thresholds_of(df: DataFrame, params: Sequence[str], thresholds: DataFrame, reached) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows beside each parameter's threshold, and whether they reach it."""
+    one = thresholds.agg(*[F.max(F.when(F.col("param") == p, F.col("threshold"))).alias(f"_t_{p}") for p in params])
+    return df.crossJoin(F.broadcast(one)), {p: reached(F.col(p).cast("double"), F.col(f"_t_{p}")) for p in params}  # one row
 
 
 def bootstrap_hss_bounds(
-    df: DataFrame, unique: str, params: Sequence[str], event: str, thresholds: DataFrame, n_rep: int, m: int | None,
+    df: DataFrame, params: Sequence[str], event: str, thresholds: DataFrame, n_rep: int = 1000, m: int | None = 100,
     low: float = 0.025, high: float = 0.975, **draw,
 ) -> DataFrame:
     """Percentile bounds of each parameter's HSS over the replicates."""
+    if len(params) > MOST_LABELS:
+        parts = [bootstrap_hss_bounds(df, params[i : i + MOST_LABELS], event, thresholds, n_rep, m, low, high, **draw) for i in range(0, len(params), MOST_LABELS)]
+        return functools.reduce(DataFrame.unionByName, parts)
     by = ["share"] if draw.get("by") else []
-    sample = resample_events(df, unique, event, n_rep, m, **draw)
-    long = to_long(sample.withColumnRenamed(event, "event"), params, ["rep", *by, "event"])
-    scored = hss_at(long, ["rep", *by], thresholds)
+    rows, flags = _thresholds_of(df, params, thresholds, lambda v, t: v > t)
+    sample = resample_groups(exceedance_groups(rows, event, flags), event, n_rep, m, **draw)
+    c = resampled_contingency(sample, ["rep", *by], event, params)
+    best = F.greatest(hss("hits", "misses", "false_alarms", "correct_negatives"), hss("misses", "hits", "correct_negatives", "false_alarms"))
     # one value per replicate and parameter
-    return scored.groupBy(*by, "param").agg(
+    return c.withColumn("hss", best).groupBy(*by, "param").agg(
         F.percentile("hss", F.lit(low)).alias("lower"), F.percentile("hss", F.lit(high)).alias("upper"), F.count("hss").alias("replicates")
     )
 
 
 def bootstrap_pod_bounds(
-    df: DataFrame, unique: str, params: Sequence[str], event: str, thresholds: DataFrame, n_rep: int, m: int, low: float = 0.025, high: float = 0.975
+    df: DataFrame, params: Sequence[str], event: str, thresholds: DataFrame, n_rep: int = 1000, m: int | None = 100, low: float = 0.025, high: float = 0.975
 ) -> DataFrame:
-    sample = resample_events(df, unique, event, n_rep, m)
-    long = to_long(sample.withColumnRenamed(event, "event"), params, ["rep", "event"]).join(thresholds.select("param", "threshold"), "param")
-    pod = rates(counts_at(long, ["rep", "param"], F.col("value") >= F.col("threshold"), "event"))
+    if len(params) > MOST_LABELS:
+        parts = [bootstrap_pod_bounds(df, params[i : i + MOST_LABELS], event, thresholds, n_rep, m, low, high) for i in range(0, len(params), MOST_LABELS)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    rows, flags = _thresholds_of(df, params, thresholds, lambda v, t: v >= t)
+    sample = resample_groups(exceedance_groups(rows, event, flags), event, n_rep, m)
+    pod = rates(resampled_contingency(sample, ["rep"], event, params))
     return pod.groupBy("param").agg(F.percentile("pod", F.lit(low)).alias("lower"), F.percentile("pod", F.lit(high)).alias("upper"))
 
 
@@ -325,12 +379,12 @@ def bootstrap_auc(df: DataFrame, unique: str, params: Sequence[str], event: str,
     """AUC bounds over whole-sample resamples."""
     numbered = row_numbers(df, [], unique, "_pos")
     size = df.agg(F.count(F.lit(1)).alias("_n"))
-    reps = df.sparkSession.range(n_rep).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(size))  # one row
+    reps = df.sparkSession.range(n_rep).select(F.col("id").cast("int").alias("rep")).withColumn("_start", lot(seed, "rep")).crossJoin(F.broadcast(size))  # one row
     block = 4096
     blocks = reps.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block)))).repartition("rep", "_blk")
     last = F.least(F.col("_blk") * block + block, F.col("_n")) - 1
     draws = blocks.withColumn("_k", F.explode(F.sequence(F.col("_blk") * block, last)))
-    draws = draws.select("rep", (pick(F.lit(seed), F.col("rep"), F.col("_k"), F.col("_n")) + 1).alias("_pos"))
+    draws = draws.select("rep", (pick(F.col("_start"), F.col("_k"), F.col("_n")) + 1).alias("_pos"))
     # a draw repeats rows, so carry a count instead of the repeats
     times = draws.groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("times"))
     sample = times.join(numbered.select("_pos", *params, F.col(event).alias("event")), "_pos")
@@ -345,12 +399,15 @@ def bootstrap_auc(df: DataFrame, unique: str, params: Sequence[str], event: str,
     )
 
 
-def conditional_grid_search(df: DataFrame, event: str, strong: dict[str, Sequence[float]], moderate: dict[str, Sequence[float]], winds: Sequence[float]) -> DataFrame:
+def conditional_grid_search(
+    df: DataFrame, event: str, strong: dict[str, Sequence[float]], moderate: dict[str, Sequence[float]], winds: Sequence[float], min_hit_rate: float = 0.6, max_fa_rate: float = 0.1
+) -> DataFrame:
     """CSI, hit rate and false-alarm rate of every combination of two rules that share a wind limit.
 
     strong: ml_cape > a, s06 >= b, dcape < c, mlm >= wind, dcape > d; moderate: ml_cape > a, dcape > b,
     mlm < wind.  The rules exclude each other, so their counts add: rows collapse to threshold-index
-    histograms, each rule's grid is counted alone, and the two grids meet on the wind limit.
+    histograms, each rule's grid is counted alone, and the two grids meet on the wind limit.  ``passes`` marks combinations
+    above the hit rate and below the false-alarm rate, ``best`` those of the highest CSI.
     """
 
     def passed(column, limits, test):
@@ -395,10 +452,14 @@ def conditional_grid_search(df: DataFrame, event: str, strong: dict[str, Sequenc
     full = combos.join(sf, ["wind", *sf_names], "left").join(mf, ["wind", *mf_names], "left").crossJoin(F.broadcast(total))  # one row
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     hits, fa = n("sf_e") + n("mf_e"), n("sf_o") + n("mf_o")
-    return full.select(
+    scored = full.select(
         "wind", *lists, hits.alias("hits"), fa.alias("false_alarms"),
         _ratio(hits, F.col("ne")).alias("hit_rate"), _ratio(fa, F.col("no")).alias("fa_rate"), _ratio(hits, F.col("ne") + fa).alias("csi"),
     )
+    top = scored.agg(F.max("csi").alias("_top"))
+    scored = scored.crossJoin(F.broadcast(top)).withColumn("best", F.coalesce(F.col("csi") == F.col("_top"), F.lit(False)))  # one row
+    passes = (F.col("hit_rate") > min_hit_rate) & (F.col("fa_rate") < max_fa_rate)
+    return scored.withColumn("passes", F.coalesce(passes, F.lit(False))).drop("_top")
 
 
 def curve_counts(df: DataFrame, x: str, y: str, event: str, first: tuple, second: tuple, kind: str = "log") -> DataFrame:

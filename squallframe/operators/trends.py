@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallframe import refs
-from squallframe.functions.draws import pick, unit
+from squallframe.functions.draws import lot, pick
 from squallframe.functions.stats import student_two_sided
 from squallframe.operators.ordered import quantiles, row_numbers
 from squallframe.operators.skill import spearman
@@ -26,10 +26,10 @@ def draw_counts(sizes: DataFrame, n_rep: int, label: str, size: str = "n") -> Da
     """
     block = 4096
     reps = sizes.select(F.col(size).cast("long").alias("n")).distinct().where("n > 0")
-    reps = reps.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+    reps = reps.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_start", lot(label, "rep"))
     blocks = reps.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block)))).repartition("n", "rep", "_b")
     k = F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_b") * block + block, F.col("n")) - 1))
-    draws = blocks.withColumn("_k", k).select("n", "rep", (pick(F.lit(label), F.col("rep"), F.col("_k"), F.col("n")) + 1).alias("pos"))
+    draws = blocks.withColumn("_k", k).select("n", "rep", (pick(F.col("_start"), F.col("_k"), F.col("n")) + 1).alias("pos"))
     return draws.groupBy("n", "rep", "pos").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -234,7 +234,7 @@ def permuted_correlation(
     A permutation is the order of a hash of (permutation, year): a short table of years per permutation.
     """
     years = index.select(on, idx)  # one row per year
-    perms = years.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn("_u", unit(seed, "perm", on))
+    perms = years.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn("_u", lot(seed, "perm", on))
     shuffled = perms.select("perm", idx, F.row_number().over(Window.partitionBy("perm").orderBy("_u", on)).alias("_r"))
     places = years.select(on, F.row_number().over(Window.orderBy(on)).alias("_r"))
     table = places.join(shuffled, "_r").select(on, "perm", F.col(idx).alias("_pi"))
@@ -269,7 +269,7 @@ def resampled_correlation(df: DataFrame, keys: Sequence[str], order: str, x: str
     numbered = row_numbers(df, keys, order, "pos").withColumn("n", F.col("pos_total").cast("long"))
     # x and y are drawn independently: the pair (k-th draw of x, k-th draw of y)
     reps = numbered.select(*keys, "n", "pos", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep"))
-    asked = reps.select(*keys, "rep", *[(pick(F.lit(f"{seed}-{c}"), F.col("rep"), F.col("pos") - 1, F.col("n")) + 1).alias(f"_p{c}") for c in "xy"])
+    asked = reps.select(*keys, "rep", *[(pick(lot(f"{seed}-{c}", "rep"), F.col("pos") - 1, F.col("n")) + 1).alias(f"_p{c}") for c in "xy"])
     xs = numbered.select(*keys, F.col("pos").alias("_px"), F.col(x).alias("_vx"))
     ys = numbered.select(*keys, F.col("pos").alias("_py"), F.col(y).alias("_vy"))
     fake = asked.join(xs, [*keys, "_px"]).join(ys, [*keys, "_py"]).groupBy(*keys, "rep").agg(F.corr("_vx", "_vy").alias("_r"))

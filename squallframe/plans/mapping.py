@@ -25,14 +25,14 @@ def curve_sql(src, keys, name):
 
 MAP_CELL = f"""
 f AS (SELECT model, experiment, i, j, CAST(MONTH(time) AS INT) AS month, time, v FROM v_field),
-ob AS (SELECT * FROM f WHERE model = 1 AND experiment = 'historical'), hi AS (SELECT * FROM f WHERE model IN (2, 3) AND experiment = 'historical'),
+ob AS (SELECT * FROM f WHERE model = 1 AND experiment = 'historical'), hi AS (SELECT * FROM f WHERE model <> 1 AND experiment = 'historical'),
 {curve_sql('hi', ['model', 'i', 'j', 'month'], 'mc')}, {curve_sql('ob', ['i', 'j', 'month'], 'oc')},
 o2 AS (SELECT i, j, month, pl AS p, x, LEAD(pl) OVER w AS pn, LEAD(x) OVER w AS xn, FIRST_VALUE(x) OVER w AS x0 FROM oc1 WINDOW w AS (PARTITION BY i, j, month ORDER BY pl)),
 fl AS (SELECT model, i, j, month, MIN(pl) AS p0, MIN(x) AS x0 FROM mc1 GROUP BY ALL), ol AS (SELECT i, j, month, MIN(x) AS x0 FROM oc1 GROUP BY ALL),
-q AS (SELECT DISTINCT model, experiment, i, j, month, v FROM f WHERE model IN (2, 3)),
+q AS (SELECT model, experiment, i, j, month, time, v FROM f WHERE model <> 1),
 a AS (SELECT q.*, CASE WHEN q.v < fl.x0 THEN fl.p0 WHEN mc.xn IS NULL OR mc.x = q.v THEN mc.p ELSE mc.p + (mc.pn - mc.p) / (mc.xn - mc.x) * (q.v - mc.x) END AS pr
  FROM q LEFT JOIN fl USING (model, i, j, month) ASOF LEFT JOIN mc ON q.model = mc.model AND q.i = mc.i AND q.j = mc.j AND q.month = mc.month AND q.v >= mc.x)
-SELECT a.model, a.experiment, a.i, a.j, a.month, a.v, ROUND(CASE WHEN a.v = {{zero}} THEN {{zero}} WHEN a.pr IS NULL THEN NULL WHEN o2.p IS NULL THEN ol.x0 WHEN o2.pn IS NULL OR o2.p = a.pr THEN o2.x ELSE o2.x + (o2.xn - o2.x) / (o2.pn - o2.p) * (a.pr - o2.p) END, 6) AS mapped
+SELECT a.model, a.experiment, a.i, a.j, a.time, a.v, ROUND(CASE WHEN a.v = {{zero}} THEN {{zero}} WHEN a.pr IS NULL THEN NULL WHEN o2.p IS NULL THEN ol.x0 WHEN o2.pn IS NULL OR o2.p = a.pr THEN o2.x ELSE o2.x + (o2.xn - o2.x) / (o2.pn - o2.p) * (a.pr - o2.p) END, 6) AS mapped
 FROM a LEFT JOIN ol USING (i, j, month) ASOF LEFT JOIN o2 ON a.i = o2.i AND a.j = o2.j AND a.month = o2.month AND a.pr >= o2.p"""
 
 
@@ -41,47 +41,46 @@ def _(t):
     f = _hist(t)
     hist = F.col("experiment") == "historical"
     observed = f.where((F.col("model") == 1) & hist)
-    models = f.where(F.col("model").isin(2, 3))
-    # the map is a function of the value: distinct values are mapped once per cell and month
-    asked = models.select("model", "experiment", *CELL, "v").distinct()
-    out = M.quantile_map(asked, models.where(hist), observed, ["model", *CELL], CELL, "v", unique=True)
-    return out.select("model", "experiment", *CELL, "v", r6("mapped").alias("mapped"))
+    models = f.where(F.col("model") != 1)
+    # a cell's month hardly repeats a value, so every row is looked up
+    out = M.quantile_map(models, models.where(hist), observed, ["model", *CELL], CELL, "v", unique=True)
+    return out.select("model", "experiment", "i", "j", "time", "v", r6("mapped").alias("mapped"))
 
 
 POOL = f"""
-f AS (SELECT model, experiment, i, j, time, v FROM v_field), ob AS (SELECT v FROM f WHERE model = 1 AND experiment = 'historical'), hi AS (SELECT v FROM f WHERE model = 2),
-{curve_sql('hi', [], 'mc')},
+f AS (SELECT model, experiment, i, j, time, v FROM v_field), ob AS (SELECT v FROM f WHERE model = 1 AND experiment = 'historical'), hi AS (SELECT model, v FROM f WHERE model <> 1),
+{curve_sql('hi', ['model'], 'mc')},
 o1 AS (SELECT ROW_NUMBER() OVER (ORDER BY v) / CAST(COUNT(*) OVER () AS DOUBLE) AS p, v AS x FROM ob),
 o2 AS (SELECT p, x, LEAD(p) OVER w AS pn, LEAD(x) OVER w AS xn FROM o1 WINDOW w AS (ORDER BY p)),
-q AS (SELECT DISTINCT experiment, v FROM f WHERE model = 2),
-a AS (SELECT q.*, mc.p AS pr FROM q JOIN mc ON q.v = mc.x)
-SELECT a.experiment, a.v, ROUND(CASE WHEN o2.p IS NULL THEN (SELECT MIN(v) FROM ob) WHEN o2.pn IS NULL OR o2.p = a.pr THEN o2.x ELSE o2.x + (o2.xn - o2.x) / (o2.pn - o2.p) * (a.pr - o2.p) END, 6) AS mapped
+q AS (SELECT DISTINCT model, experiment, v FROM f WHERE model <> 1),
+a AS (SELECT q.*, mc.p AS pr FROM q JOIN mc ON q.model = mc.model AND q.v = mc.x)
+SELECT a.model, a.experiment, a.v, ROUND(CASE WHEN o2.p IS NULL THEN (SELECT MIN(v) FROM ob) WHEN o2.pn IS NULL OR o2.p = a.pr THEN o2.x ELSE o2.x + (o2.xn - o2.x) / (o2.pn - o2.p) * (a.pr - o2.p) END, 6) AS mapped
 FROM a ASOF LEFT JOIN o2 ON a.pr >= o2.p"""
 
 
 @query("quantile_map_pooled", "M2,G5", sql("v_field", POOL))
 def _(t):
     f = _hist(t)
-    model = f.where("model = 2")
+    model = f.where("model <> 1")
     observed = f.where("model = 1 AND experiment = 'historical'")
-    asked = model.select("experiment", "v").distinct()
-    out = M.quantile_map(asked, model, observed, [], [], "v", keep_zero=False, pooled=True, unique=True)
-    return out.select("experiment", "v", r6("mapped").alias("mapped"))
+    asked = model.select("model", "experiment", "v").distinct()
+    out = M.quantile_map(asked, model, observed, ["model"], [], "v", keep_zero=False, pooled=True, unique=True)
+    return out.select("model", "experiment", "v", r6("mapped").alias("mapped"))
 
 
 
 
 @query("quantile_map_zero_preservation", "M3", sql("v_field", """
-f AS (SELECT model, i, CASE WHEN v < 10 THEN 0E0 ELSE v END AS v FROM v_field), ob AS (SELECT i, v FROM f WHERE model = 1), hi AS (SELECT model, i, v FROM f WHERE model = 4),
-""" + curve_sql("hi", ["i"], "mc") + ", " + curve_sql("ob", ["i"], "oc") + """,
+f AS (SELECT model, i, CASE WHEN v < 10 THEN 0E0 ELSE v END AS v FROM v_field), ob AS (SELECT i, v FROM f WHERE model = 1), hi AS (SELECT model, i, v FROM f WHERE model <> 1),
+""" + curve_sql("hi", ["model", "i"], "mc") + ", " + curve_sql("ob", ["i"], "oc") + """,
 o2 AS (SELECT i, pl AS p, x, LEAD(pl) OVER w AS pn, LEAD(x) OVER w AS xn FROM oc1 WINDOW w AS (PARTITION BY i ORDER BY pl)),
-a AS (SELECT DISTINCT hi.i, hi.v, mc.p AS pr FROM hi JOIN mc ON hi.i = mc.i AND hi.v = mc.x)
-SELECT a.i, a.v, ROUND(CASE WHEN a.v = 0 THEN 0 WHEN o2.pn IS NULL OR o2.p = a.pr THEN o2.x ELSE o2.x + (o2.xn - o2.x) / (o2.pn - o2.p) * (a.pr - o2.p) END, 6) AS mapped FROM a ASOF JOIN o2 ON a.i = o2.i AND a.pr >= o2.p"""))
+a AS (SELECT DISTINCT hi.model, hi.i, hi.v, mc.p AS pr FROM hi JOIN mc ON hi.model = mc.model AND hi.i = mc.i AND hi.v = mc.x)
+SELECT a.model, a.i, a.v, ROUND(CASE WHEN a.v = 0 THEN 0 WHEN o2.pn IS NULL OR o2.p = a.pr THEN o2.x ELSE o2.x + (o2.xn - o2.x) / (o2.pn - o2.p) * (a.pr - o2.p) END, 6) AS mapped FROM a ASOF JOIN o2 ON a.i = o2.i AND a.pr >= o2.p"""))
 def _(t):
     f = t.field.select("model", "i", F.when(F.col("v") < 10, 0.0).otherwise(F.col("v")).alias("v"))
-    model, observed = f.where("model = 4"), f.where("model = 1")
-    out = M.quantile_map(model.select("i", "v").distinct(), model, observed, ["i"], ["i"], "v", unique=True)
-    return out.select("i", "v", r6("mapped").alias("mapped"))
+    model, observed = f.where("model <> 1"), f.where("model = 1")
+    out = M.quantile_map(model.select("model", "i", "v").distinct(), model, observed, ["model", "i"], ["i"], "v", unique=True)
+    return out.select("model", "i", "v", r6("mapped").alias("mapped"))
 
 
 @query("station_gust_quantile_match", "M4", sql("v_obs v_points", """

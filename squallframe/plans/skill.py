@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from squallframe import refs
 from squallframe.functions import composites as X
+from squallframe.functions.draws import lot_sql, pick_sql
 from squallframe.operators import cleaning as C
 from squallframe.operators import joins as J
 from squallframe.operators import sequence as E
@@ -132,11 +133,14 @@ def _(t):
 
 
 @query("false_alarms_at_two_thirds_hits", "K5", sql("v_obs v_points", f"""{events_cte()}, {long_cte('is_sta')},
-q AS (SELECT param, QUANTILE_CONT(value, 0.33) AS threshold FROM lg WHERE event = 1 GROUP BY 1),
-c AS (SELECT param, threshold, SUM(CASE WHEN event = 1 AND value >= threshold THEN 1 ELSE 0 END) h, SUM(CASE WHEN event = 0 AND value >= threshold THEN 1 ELSE 0 END) f, SUM(CASE WHEN event = 0 THEN 1 ELSE 0 END) o FROM lg JOIN q USING (param) GROUP BY 1, 2)
+l2 AS (SELECT param, value, event FROM lg UNION ALL SELECT 'rule', CASE WHEN t_totals >= 47.4E0 AND s06 >= 25 THEN 1E0 ELSE 0E0 END, is_sta FROM ev),
+q AS (SELECT param, CASE WHEN param = 'rule' THEN 1E0 ELSE QUANTILE_CONT(value, 0.33) END AS threshold FROM l2 WHERE event = 1 GROUP BY 1),
+c AS (SELECT param, threshold, SUM(CASE WHEN event = 1 AND value >= threshold THEN 1 ELSE 0 END) h, SUM(CASE WHEN event = 0 AND value >= threshold THEN 1 ELSE 0 END) f, SUM(CASE WHEN event = 0 THEN 1 ELSE 0 END) o FROM l2 JOIN q USING (param) GROUP BY 1, 2)
 SELECT param, ROUND(threshold, 6) AS threshold, ROUND(f / CAST(h + f AS DOUBLE), 6) AS fa_ratio, ROUND(f / CAST(o AS DOUBLE), 6) AS fa_rate FROM c"""))
 def _(t):
-    out = K.far_at_two_thirds(_long(_events(t), "is_sta"), ["param"])
+    ev = _events(t).withColumn("rule", ((F.col("t_totals") >= 47.4) & (F.col("s06") >= 25)).cast("double"))
+    long = K.to_long(ev.withColumnRenamed("is_sta", "event"), [*PARAMS, "rule"], ["event"])
+    out = K.far_at_two_thirds(long, ["param"], yes_no=["rule"])
     return out.select("param", *[r6(c).alias(c) for c in ("threshold", "fa_ratio", "fa_rate")])
 
 
@@ -200,68 +204,63 @@ def _(t):
     return c.select("value", r6(F.col("hits") / F.col("n_events")).alias("pod"), r6(F.col("false_alarms") / F.col("n_other")).alias("pofd"))
 
 
-_DRAW = "CAST('0x' || SUBSTR(MD5({text}), 1, 8) AS BIGINT)"
-
-
-def draw_ctes(event, reps, m, shares=None, base="ev"):
-    """CTEs numbering both classes and drawing rows by the hash of (label, replicate, k)."""
+def draw_ctes(event, reps, m, op, shares=None, base="ev"):
+    """CTEs that group rows by what they exceed, give each group positions in order, and look up draws by the hash of (label, replicate, k)."""
+    flags = ", ".join(f"f_{p}" for p in PARAMS)
+    ask = ", ".join(f"CASE WHEN {p} {op} {LIMITS[p]}E0 THEN 1 ELSE 0 END AS f_{p}" for p in PARAMS)
     share_col = ", share" if shares else ""
     label = "'k9-' || c" + (" || '-' || CAST(share AS VARCHAR)" if shares else "")
-    share_src = f" CROSS JOIN (VALUES {', '.join(f'({s}E0)' for s in shares)}) sh(share)" if shares else ""
+    share_src = f" CROSS JOIN (VALUES {', '.join(f'({s!r}::DOUBLE)' for s in shares)}) sh(share)" if shares else ""
     want_e = "ne" if m is None else str(m)
     want_o = "ROUND_EVEN(no * share, 0)" if shares else f"{want_e} * ROUND_EVEN((ne + no) / CAST(ne AS DOUBLE), 0)"
-    return f"""num AS (SELECT *, {event} AS event, ROW_NUMBER() OVER (PARTITION BY {event} ORDER BY event_id) AS pos FROM {base}),
+    cells = ", ".join(f"SUM(CASE WHEN event = {e} AND f_{p} = {y} THEN times ELSE 0 END) AS {n}_{p}" for p in PARAMS for n, e, y in (("h", 1, 1), ("m", 1, 0), ("f", 0, 1), ("n", 0, 0)))
+    return f"""gr AS (SELECT {event} AS event, {ask}, COUNT(*) AS n FROM {base} GROUP BY ALL),
+rg AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY event ORDER BY {flags}) AS BIGINT) - n AS lo FROM gr),
 sz AS (SELECT SUM({event}) ne, COUNT(*) - SUM({event}) no FROM {base}),
 ask AS (SELECT rep{share_col}, 1 AS c, CAST({want_e} AS BIGINT) AS want, ne AS size FROM sz CROSS JOIN RANGE({reps}) r(rep){share_src} UNION ALL SELECT rep{share_col}, 0, CAST({want_o} AS BIGINT), no FROM sz CROSS JOIN RANGE({reps}) r(rep){share_src}),
-dr AS (SELECT rep{share_col}, c, size, UNNEST(RANGE(want)) AS k FROM ask),
-pk AS (SELECT rep{share_col}, c, {_DRAW.format(text=f"{label} || ':' || rep || ':' || k")} % size + 1 AS pos FROM dr),
-smp AS (SELECT pk.rep{', pk.share' if shares else ''}, num.* FROM pk JOIN num ON num.event = pk.c AND num.pos = pk.pos)"""
-
-
-def _boot_long(shares=False):
-    sh = ", share" if shares else ""
-    return "lg AS (" + " UNION ALL ".join(f"SELECT rep{sh}, '{p}' AS param, CAST({p} AS DOUBLE) AS value, event FROM smp" for p in PARAMS) + ")"
-
-
-def _boot_counts(op, shares=False):
-    sh = "share, " if shares else ""
-    return f"""c AS (SELECT rep, {sh}param, SUM(CASE WHEN event = 1 AND value {op} threshold THEN 1 ELSE 0 END) h, SUM(CASE WHEN event = 1 AND NOT value {op} threshold THEN 1 ELSE 0 END) m,
- SUM(CASE WHEN event = 0 AND value {op} threshold THEN 1 ELSE 0 END) f, SUM(CASE WHEN event = 0 AND NOT value {op} threshold THEN 1 ELSE 0 END) n FROM lg JOIN lim USING (param) GROUP BY ALL)"""
+dr AS (SELECT rep{share_col}, c, size, {lot_sql(f"{label} || ':' || rep")} AS st, UNNEST(RANGE(want)) AS k FROM ask),
+pk AS ({pick_sql('dr', 'st', 'k', 'size', 'pos', f'rep{share_col}, c')}),
+smp AS (SELECT pk.rep{', pk.share' if shares else ''}, rg.event, {flags}, COUNT(*) AS times FROM pk ASOF JOIN rg ON pk.c = rg.event AND pk.pos >= rg.lo GROUP BY ALL),
+wd AS (SELECT rep{share_col}, {cells} FROM smp GROUP BY ALL),
+c AS ({' UNION ALL '.join(f"SELECT rep{share_col}, '{p}' AS param, h_{p} AS h, m_{p} AS m, f_{p} AS f, n_{p} AS n FROM wd" for p in PARAMS)})"""
 
 
 _BEST_HSS = f"GREATEST({HSS.format(h='h', m='m', f='f', n='n')}, {HSS.format(h='m', m='h', f='n', n='f')})"
 
 
-@query("bootstrap_skill_bounds", "K9", sql("v_obs v_points", f"""{events_cte()}, {draw_ctes('is_sta', 20, 50)}, {_boot_long()}, {LIMIT_CTE}, {_boot_counts('>')}
+@query("bootstrap_skill_bounds", "K9", sql("v_obs v_points", f"""{events_cte()}, {draw_ctes('is_sta', 1000, 100, '>')}
 SELECT param, ROUND(QUANTILE_CONT({_BEST_HSS}, 0.025), 6) + 0E0 AS lower, ROUND(QUANTILE_CONT({_BEST_HSS}, 0.975), 6) + 0E0 AS upper, COUNT(*) AS replicates FROM c GROUP BY 1"""))
 def _(t):
-    out = K.bootstrap_hss_bounds(_events(t), "event_id", PARAMS, "is_sta", _limits(t), 20, 50)
+    out = K.bootstrap_hss_bounds(_events(t), PARAMS, "is_sta", _limits(t), 1000, 100)
     return out.select("param", r6("lower").alias("lower"), r6("upper").alias("upper"), "replicates")
 
 
-@query("skill_by_share_of_null_events", "K10", sql("v_obs v_points", f"""{events_cte()}, {draw_ctes('is_sta', 10, None, [1.0, 0.25, 0.0625])}, {_boot_long(True)}, {LIMIT_CTE}, {_boot_counts('>', True)}
+NULL_SHARES = [round(10 ** (-3 * i / 19), 6) for i in range(20)]  # 1 down to a thousandth, evenly on a log scale
+
+
+@query("skill_by_share_of_null_events", "K10", sql("v_obs v_points", f"""{events_cte()}, {draw_ctes('is_sta', 1000, None, '>', NULL_SHARES)}
 SELECT share, param, ROUND(QUANTILE_CONT({_BEST_HSS}, 0.025), 6) + 0E0 AS lower, ROUND(QUANTILE_CONT({_BEST_HSS}, 0.975), 6) + 0E0 AS upper FROM c GROUP BY 1, 2"""))
 def _(t):
-    out = K.bootstrap_hss_bounds(_events(t), "event_id", PARAMS, "is_sta", _limits(t), 10, None, by=[1.0, 0.25, 0.0625])
+    out = K.bootstrap_hss_bounds(_events(t), PARAMS, "is_sta", _limits(t), 1000, None, by=NULL_SHARES)
     return out.select("share", "param", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
-@query("bootstrap_detection_bounds", "K11", sql("v_obs v_points", f"""{events_cte()}, {draw_ctes('is_sta', 20, 50)}, {_boot_long()}, {LIMIT_CTE}, {_boot_counts('>=')}
+@query("bootstrap_detection_bounds", "K11", sql("v_obs v_points", f"""{events_cte()}, {draw_ctes('is_sta', 1000, 100, '>=')}
 SELECT param, ROUND(QUANTILE_CONT(h / CAST(h + m AS DOUBLE), 0.025), 6) AS lower, ROUND(QUANTILE_CONT(h / CAST(h + m AS DOUBLE), 0.975), 6) AS upper FROM c GROUP BY 1"""))
 def _(t):
-    out = K.bootstrap_pod_bounds(_events(t), "event_id", PARAMS, "is_sta", _limits(t), 20, 50)
+    out = K.bootstrap_pod_bounds(_events(t), PARAMS, "is_sta", _limits(t), 1000, 100)
     return out.select("param", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
 @query("bootstrap_auc_bounds", "K8", sql("v_obs v_points", f"""{events_cte()}, num AS (SELECT *, ROW_NUMBER() OVER (ORDER BY event_id) AS pos, COUNT(*) OVER () AS n FROM ev),
-dr AS (SELECT rep, n, UNNEST(RANGE(n)) AS k FROM (SELECT ANY_VALUE(n) AS n FROM num) CROSS JOIN RANGE(10) r(rep)),
-pk AS (SELECT rep, {_DRAW.format(text="'k8:' || rep || ':' || k")} % n + 1 AS pos FROM dr), smp AS (SELECT rep, num.* FROM pk JOIN num USING (pos)),
-lg AS (SELECT rep, 't_totals' AS param, t_totals AS value, is_sta AS event FROM smp UNION ALL SELECT rep, 's06', s06, is_sta FROM smp),
+dr AS (SELECT rep, n, {lot_sql("'k8:' || rep")} AS st, UNNEST(RANGE(n)) AS k FROM (SELECT ANY_VALUE(n) AS n FROM num) CROSS JOIN RANGE(10) r(rep)),
+pk AS (SELECT rep, p0 + 1 AS pos FROM ({pick_sql('dr', 'st', 'k', 'n', 'p0', 'rep')})), smp AS (SELECT rep, num.* FROM pk JOIN num USING (pos)),
+lg AS ({' UNION ALL '.join(f"SELECT rep, '{p}' AS param, CAST({p} AS DOUBLE) AS value, is_sta AS event FROM smp" for p in PARAMS)}),
 r AS (SELECT rep, param, event, RANK() OVER (PARTITION BY rep, param ORDER BY value) + (COUNT(*) OVER (PARTITION BY rep, param, value) - 1) / 2E0 AS rk FROM lg),
 a AS (SELECT rep, param, (SUM(CASE WHEN event = 1 THEN rk END) - SUM(event) * (SUM(event) + 1) / 2E0) / (SUM(event) * CAST(COUNT(*) - SUM(event) AS DOUBLE)) AS auc FROM r GROUP BY 1, 2)
 SELECT param, ROUND(QUANTILE_CONT(auc, 0.005), 6) AS lower, ROUND(QUANTILE_CONT(auc, 0.995), 6) AS upper FROM a GROUP BY 1"""))
 def _(t):
-    out = K.bootstrap_auc(_events(t), "event_id", ["t_totals", "s06"], "is_sta", 10)
+    out = K.bootstrap_auc(_events(t), "event_id", PARAMS, "is_sta", 10)
     return out.select("param", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
@@ -280,15 +279,24 @@ def _(t):
     return out.select("hits", "false_alarms", *[r6(c).alias(c) for c in ("pod", "pofd", "csi")])
 
 
-GRID = {"sf": {"ml_cape": [-1, 0], "s06": [25, 30, 35], "dcape_below": [250, 500, 750], "dcape_above": [-1, 0]}, "mf": {"ml_cape": [0, 100, 200], "dcape": [0, 250, 500]}, "w": [15, 20, 25]}
+def _steps(first, stop, by):
+    return [first + by * i for i in range(round((stop - first) / by))]
+
+
+GRID = {
+    "sf": {"ml_cape": [-1, 0], "s06": _steps(25, 40, 5), "dcape_below": _steps(250, 800, 50), "dcape_above": [-1, 0]},
+    "mf": {"ml_cape": _steps(0, 425, 25), "dcape": _steps(0, 525, 25)},
+    "w": _steps(20, 32.5, 2.5),
+}
 
 
 @query("conditional_threshold_search", "K13", sql("v_obs v_points", f"""{events_cte()}, r AS (SELECT ml_cape, s06, dcape, umean06 * 3 AS mlm, is_sta AS e FROM ev),
 g AS (SELECT * FROM {' CROSS JOIN '.join(f"(VALUES {', '.join(f'({v}E0)' for v in vs)}) t{n}({n})" for n, vs in (('wind', GRID['w']), ('sf_ml', GRID['sf']['ml_cape']), ('sf_s06', GRID['sf']['s06']), ('sf_dcape_below', GRID['sf']['dcape_below']), ('sf_dcape_above', GRID['sf']['dcape_above']), ('mf_ml', GRID['mf']['ml_cape']), ('mf_dcape', GRID['mf']['dcape'])))}),
 z AS (SELECT SUM(e) ne, COUNT(*) - SUM(e) no FROM r),
-h AS (SELECT wind, sf_ml, sf_s06, sf_dcape_below, sf_dcape_above, mf_ml, mf_dcape, SUM(e) hits, SUM(1 - e) fa FROM g JOIN r ON (ml_cape > sf_ml AND s06 >= sf_s06 AND dcape < sf_dcape_below AND mlm >= wind AND dcape > sf_dcape_above) OR (ml_cape > mf_ml AND dcape > mf_dcape AND mlm < wind) GROUP BY ALL)
-SELECT g.*, CAST(COALESCE(hits, 0) AS BIGINT) AS hits, CAST(COALESCE(fa, 0) AS BIGINT) AS false_alarms, ROUND(COALESCE(hits, 0) / CAST(ne AS DOUBLE), 6) AS hit_rate, ROUND(COALESCE(fa, 0) / CAST(no AS DOUBLE), 6) AS fa_rate, ROUND(COALESCE(hits, 0) / CAST(ne + COALESCE(fa, 0) AS DOUBLE), 6) AS csi
-FROM g LEFT JOIN h USING (wind, sf_ml, sf_s06, sf_dcape_below, sf_dcape_above, mf_ml, mf_dcape), z"""))
+h AS (SELECT wind, sf_ml, sf_s06, sf_dcape_below, sf_dcape_above, mf_ml, mf_dcape, SUM(e) hits, SUM(1 - e) fa FROM g JOIN r ON (ml_cape > sf_ml AND s06 >= sf_s06 AND dcape < sf_dcape_below AND mlm >= wind AND dcape > sf_dcape_above) OR (ml_cape > mf_ml AND dcape > mf_dcape AND mlm < wind) GROUP BY ALL),
+o AS (SELECT g.*, CAST(COALESCE(hits, 0) AS BIGINT) AS hits, CAST(COALESCE(fa, 0) AS BIGINT) AS false_alarms, COALESCE(hits, 0) / CAST(ne AS DOUBLE) AS hit_rate, COALESCE(fa, 0) / CAST(no AS DOUBLE) AS fa_rate, COALESCE(hits, 0) / CAST(ne + COALESCE(fa, 0) AS DOUBLE) AS csi
+FROM g LEFT JOIN h USING (wind, sf_ml, sf_s06, sf_dcape_below, sf_dcape_above, mf_ml, mf_dcape), z)
+SELECT * REPLACE (ROUND(hit_rate, 6) AS hit_rate, ROUND(fa_rate, 6) AS fa_rate, ROUND(csi, 6) AS csi), csi = MAX(csi) OVER () AS best, hit_rate > 0.6E0 AND fa_rate < 0.1E0 AS passes FROM o"""))
 def _(t):
     ev = _events(t).withColumn("mlm", F.col("umean06") * 3)
     out = K.conditional_grid_search(ev, "is_sta", GRID["sf"], GRID["mf"], GRID["w"])

@@ -1,10 +1,13 @@
 """Scan queries (A): raw text rows derived from the events and orders tables, through the typed cleaners."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from squallframe import refs
 from squallframe.functions import scalar as S
 from squallframe.operators import cleaning as C
 from squallframe.plans.registry import query, r6, sql
+from squallframe.session import shared_folder
 from squallframe.sources import scans, sinks
 
 STATES = "array('WA','NT','SA','QLD','NSW','VIC','TAS')"
@@ -198,13 +201,13 @@ def _(t):
 
 
 @query("runs_covering_times", "A14", """
-WITH r AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS run_time FROM orders WHERE o_custkey % 3 = 0),
-q AS (SELECT DISTINCT ts AS time FROM (SELECT o_orderdate + INTERVAL 9 HOUR AS ts FROM orders WHERE o_totalprice > 400000 AND o_custkey % 5 = 0))
+WITH r AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS run_time FROM orders),
+q AS (SELECT DISTINCT ts AS time FROM (SELECT o_orderdate + INTERVAL 9 HOUR AS ts FROM orders WHERE o_totalprice > 400000))
 SELECT run_time FROM r WHERE EXISTS (SELECT 1 FROM q WHERE q.time BETWEEN r.run_time + INTERVAL 6 HOUR AND r.run_time + INTERVAL 10 DAY)""")
 def _(t):
     orders = t.raw("orders")
-    runs = orders.where("o_custkey % 3 = 0").select(F.date_trunc("day", "o_orderdate").alias("run_time"))
-    times = orders.where("o_totalprice > 400000 AND o_custkey % 5 = 0").select((F.col("o_orderdate") + F.expr("INTERVAL 9 HOURS")).alias("time"))
+    runs = orders.select(F.date_trunc("day", "o_orderdate").alias("run_time"))
+    times = orders.where("o_totalprice > 400000").select((F.col("o_orderdate") + F.expr("INTERVAL 9 HOURS")).alias("time"))
     return scans.runs_covering(runs, times)
 
 
@@ -216,22 +219,67 @@ def _(t):
     return kept.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _store(t, name):
+    """A new folder for a query's own files, in the folder that all executors share."""
+    return f"{shared_folder(t.spark)}/squallframe/{name}-{uuid.uuid4().hex}"
+
+
 @query("append_derived_variable", "A17,J22", sql("v_levels", """
 c AS (SELECT col_id, MAX(CASE WHEN p = 850 THEN ta END) t850, MAX(CASE WHEN p = 850 THEN dp END) d850, MAX(CASE WHEN p = 700 THEN ta END) t700 FROM v_levels GROUP BY 1)
-SELECT col_id, ROUND(t850 + d850 - 1.7 * t700, 6) AS tq FROM c"""))
+SELECT col_id, CAST(col_id % 4 AS INT) AS part, ROUND(t850 + d850 - 1.7 * t700, 6) AS tq FROM c"""))
 def _(t):
     at = lambda c, p: F.max(F.when(F.col("p") == p, F.col(c)))
     cols = t.levels.groupBy("col_id").agg(at("ta", 850).alias("t850"), at("dp", 850).alias("d850"), at("ta", 700).alias("t700"))
-    return cols.select("col_id", r6(F.col("t850") + F.col("d850") - 1.7 * F.col("t700")).alias("tq"))
+    stored, filled = _store(t, "cube"), _store(t, "filled")
+    sinks.write_partitioned(cols.withColumn("part", (F.col("col_id") % 4).cast("int")), stored, ["part"])
+    sinks.append_variable(t.spark, stored, filled, {"tq": F.col("t850") + F.col("d850") - 1.7 * F.col("t700")}, ["part"])
+    return t.spark.read.parquet(filled).select("col_id", "part", r6("tq").alias("tq"))
+
+
+@query("partitioned_write_and_overwrite", "A16", sql("v_obs", """
+d AS (SELECT loc_id, CAST(gust_time AS DATE) AS day, MAX(wind_gust) AS g FROM v_obs GROUP BY 1, 2)
+SELECT CAST(YEAR(day) AS INT) AS year, loc_id, COUNT(*) AS days, ROUND(MAX(CASE WHEN MONTH(day) = 1 THEN -g ELSE g END), 6) + 0E0 AS top FROM d GROUP BY 1, 2"""))
+def _(t):
+    days = t.obs.groupBy("loc_id", F.to_date("gust_time").alias("day")).agg(F.max("wind_gust").alias("g"))
+    days = days.withColumns({"year": F.year("day"), "month": F.month("day")})
+    path = _store(t, "days")
+    sinks.write_partitioned(days, path, ["year", "month"], ["loc_id"], {"g": "m s-1"})
+    # a second write replaces the January partitions and no others
+    sinks.write_partitioned(days.where("month = 1").withColumn("g", -F.col("g")), path, ["year", "month"])
+    back = t.spark.read.parquet(path)
+    return back.groupBy("year", "loc_id").agg(F.count(F.lit(1)).alias("days"), r6(F.max("g")).alias("top"))
+
+
+@query("text_table_export", "A19", sql("v_obs", """
+SELECT loc_id, COUNT(*) AS n, CAST(SUM(CASE WHEN wind_gust IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, ROUND(SUM(wind_gust), 4) AS total FROM v_obs GROUP BY 1"""))
+def _(t):
+    path = _store(t, "text")
+    sinks.write_text_table(t.obs.select("loc_id", "gust_time", "wind_gust"), path, ";", header=True)
+    back = t.spark.read.schema("loc_id int, gust_time timestamp, wind_gust double").csv(path, sep=";", header=True, nullValue="NA")
+    total = F.round(F.sum("wind_gust"), 4).alias("total")
+    return back.groupBy("loc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wind_gust").isNull().cast("int")).alias("missing"), total)
+
+
+@query("compute_or_load", "A20", sql("v_field", """
+SELECT model, ROUND(AVG(v), 6) AS mean, COUNT(*) AS n FROM v_field GROUP BY 1"""))
+def _(t):
+    path = _store(t, "means")
+    build = lambda: t.field.groupBy("model").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    sinks.load_or_build(t.spark, path, build)
+
+    def again():
+        raise RuntimeError("the stored table was not found")
+
+    return sinks.load_or_build(t.spark, path, again).withColumn("mean", r6("mean"))
 
 
 @query("homogenisation_export", "A18", sql("v_obs", """
-d AS (SELECT loc_id, CAST(gust_time AS DATE) AS day, MAX(wind_gust) AS g FROM v_obs WHERE loc_id IN (1, 5, 9) GROUP BY 1, 2),
-a AS (SELECT DISTINCT day FROM d), s(station) AS (VALUES (1), (5), (9))
+d AS (SELECT loc_id, CAST(gust_time AS DATE) AS day, MAX(wind_gust) AS g FROM v_obs GROUP BY 1, 2),
+a AS (SELECT DISTINCT day FROM d), s AS (SELECT station FROM RANGE(35) r(station))
 SELECT a.day, CAST(station AS VARCHAR) AS station, g AS wind_gust FROM a CROSS JOIN s LEFT JOIN d ON d.day = a.day AND d.loc_id = station"""))
 def _(t):
-    stations = [1, 5, 9]
-    daily = t.obs.where(F.col("loc_id").isin(stations)).select("loc_id", F.to_date("gust_time").alias("day"), "wind_gust")
+    stations = list(range(35))
+    daily = t.obs.select("loc_id", F.to_date("gust_time").alias("day"), "wind_gust")
     wide = sinks.wide_gusts(daily, "loc_id", "day", "wind_gust", stations)
     return sinks.homogenisation_long(wide, "day", stations)
 

@@ -251,8 +251,44 @@ def test_logistic_fit_separates_and_reproduces(spark):
     n = {r["e"]: r["n"] for r in df.where(train).groupBy("e").agg(F.count("id").alias("n")).collect()}
     total = {r["e"]: r["n"] for r in df.groupBy("e").agg(F.count("id").alias("n")).collect()}
     assert n == {k: math.floor(v * 0.8) for k, v in total.items()}
-    with pytest.raises(ValueError, match="combinations"):
-        L.subset_search(df, "id", ["a", "b"], "e", [train], [1, 2], limit=2)
+    found = {r["predictors"]: r["hss"] for r in L.subset_search(df, "id", ["a", "b"], "e", [train], [1, 2]).collect()}
+    assert set(found) == {"a", "b", "a b"} and found["a b"] >= found["b"]
+    both = L.balanced_fits(df, "e", [(None, ["a", "b"]), (train, ["b"])])
+    assert both[0] == m and both[1].predictors == ("b",)
+
+
+def test_dependent_predictors_are_named_and_other_failures_raise(spark, monkeypatch):
+    rows = [(i, float(i % 10), float(2 * (i % 10)), float((i * 7919) % 101), 1 if i % 10 > 6 or i % 37 == 0 else 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, twice double, noise double, e int")
+    steps = L.forward_selection(df, "id", ["a", "twice", "noise"], "e", alpha=1.0, max_steps=2)
+    assert len({s["predictor"] for s in steps} & {"a", "twice"}) == 1 and set(steps[1]["singular"]) <= {"a", "twice"} and steps[1]["singular"]
+
+    def lost(*args):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(L, "p_values", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        L.forward_selection(df, "id", ["a", "noise"], "e")
+
+
+def test_fits_that_do_not_converge_raise(spark):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "a double, e int")
+    with pytest.raises(RuntimeError, match="converge"):
+        L.balanced_fits(df, "e", [(None, ["a"])], max_iter=1)
+
+
+def test_draws_reach_positions_above_32_bits(spark):
+    from squallframe.functions.draws import lot, pick
+
+    big = 1 << 40
+    draws = spark.range(20_000).select("id", pick(lot("x", "id"), 0, F.lit(big)).alias("a"), pick(lot("x", F.lit(1)), F.col("id"), F.lit(big)).alias("b"))
+    for c in "ab":  # over series, and within one
+        got = draws.agg(F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.countDistinct(F.floor(F.col(c) * 1000 / big)).alias("cells")).first()
+        assert got["hi"] > 0.99 * big and abs(got["mean"] / big - 0.5) < 0.01 and abs(got["std"] / big - 12**-0.5) < 0.01 and got["cells"] == 1000
+    pair = draws.agg(F.corr("a", "b").alias("r"), F.corr("id", "b").alias("s")).first()
+    assert abs(pair["r"]) < 0.03 and abs(pair["s"]) < 0.03
+    few = [r["count"] for r in spark.range(70_000).select(pick(lot("y", F.lit(3)), F.col("id"), F.lit(7)).alias("p")).groupBy("p").count().collect()]
+    assert len(few) == 7 and all(abs(n - 10_000) < 450 for n in few)
 
 
 def test_hss_forward_selection_stops(spark):
@@ -264,8 +300,14 @@ def test_hss_forward_selection_stops(spark):
 
 def test_resample_counts_follow_the_ratio(spark):
     df = spark.createDataFrame([(i, 1 if i < 10 else 0) for i in range(100)], "id long, e int")
-    out = K.resample_events(df, "id", "e", 3, 5).groupBy("rep", "e").agg(F.count("id").alias("n")).collect()
-    assert {(r["rep"], r["e"]): r["n"] for r in out} == {(r, e): (5 if e else 50) for r in range(3) for e in (0, 1)}
+    groups = K.exceedance_groups(df, "e", {"odd": F.col("id") % 2 == 1, "late": F.when(F.col("id") > 5, F.col("id") > 50)})
+    rows = K.resample_groups(groups, "e", 300, 5).collect()
+    total = {}
+    for r in rows:
+        total[(r["rep"], r["e"])] = total.get((r["rep"], r["e"]), 0) + r["times"]
+    assert total == {(r, e): (5 if e else 50) for r in range(300) for e in (0, 1)}
+    share = sum(r["times"] for r in rows if r["e"] == 0 and r["late"] == 1) / (300 * 50)
+    assert abs(share - 49 / 90) < 0.02 and any(r["late"] is None for r in rows)
 
 
 def test_right_closed_intervals(spark):
