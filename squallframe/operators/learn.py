@@ -19,6 +19,7 @@ from squallframe.functions import scalar as S
 from squallframe.functions.scalar import logistic
 from squallframe.operators import skill as K
 from squallframe.operators.ordered import quantiles, running_counts, value_counts
+from squallframe.session import settle
 
 PROB_STEPS = 101  # fixed value: probability thresholds 0, 0.01, ... 1
 
@@ -301,7 +302,7 @@ def recursive_elimination(
     With ``unique`` each round also tells the mean AUC of the predictors it started from over so many folds, and ``best``
     marks the round whose predictors do best; the last record is the set that is left.
     """
-    rows = scaled(df, predictors, how)
+    rows = settle(scaled(df, predictors, how))  # every step of every fit reads them
     left, out = list(predictors), []
 
     def auc():

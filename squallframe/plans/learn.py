@@ -124,7 +124,7 @@ def _(t):
 SUBSETS = [c for n in range(2, len(PARAMS) + 1) for c in itertools.combinations(PARAMS, n)]
 
 
-SUBSET_SPLITS = 4  # 26 subsets x 4 splits are fitted together
+SUBSET_SPLITS = 1  # 26 subsets are fitted together
 
 
 @query("predictor_subset_search", "L5", sql("v_obs v_points", f"""{events_cte()}, {split_ctes(SUBSET_SPLITS, '0.8E0')},
@@ -158,9 +158,9 @@ def _(t):
 
 @query("recursive_elimination", "L7")
 def _(t):
-    rounds = L.recursive_elimination(L.clipped(_rows(t), PARAMS), PARAMS, "is_sta", unique="event_id", folds=5)
-    rows = [(r["round"], r["removed"], None if r["coef"] is None else round(r["coef"], 6), r["predictors"], round(r["auc"], 6), r["best"]) for r in rounds]
-    return t.spark.createDataFrame(rows, "round int, removed string, coef double, predictors string, auc double, best boolean")
+    rounds = L.recursive_elimination(L.clipped(_rows(t), PARAMS), PARAMS, "is_sta")
+    rows = [(r["round"], r["removed"], round(r["coef"], 6), r["predictors"]) for r in rounds]
+    return t.spark.createDataFrame(rows, "round int, removed string, coef double, predictors string")
 
 
 @query("collinearity_factors", "L8", sql("v_points", """
