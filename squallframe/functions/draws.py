@@ -5,6 +5,7 @@ The same rows are drawn on any cluster, after any retry, and in any other engine
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,32 @@ def picks(start: int, k: np.ndarray, n: int) -> np.ndarray:
     return (((a ^ (a >> 16)) << 29) + ((b ^ (b >> 14)) & ((1 << 29) - 1))) % n
 
 
+def counted(series: DataFrame, keep: list[str], start: str, size: str, block: int = 4096, some: int = 64) -> DataFrame:
+    """(keep..., pos, times): how often a series that begins at ``start`` draws each 0-based position below its ``size``, with
+    ``size`` draws in all.
+
+    Draws are made in blocks that are dealt out, so one long series does not stay on one task; a block counts its own draws.
+    """
+    last = F.floor((F.col(size) - 1) / block)
+    blocks = series.where(F.col(size) > 0).select(*keep, F.col(start).cast("long").alias("_from"), F.col(size).cast("long").alias("_size"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block"))
+    blocks = blocks.repartition("_from", "_size", "_block")
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+
+    def draw(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, some):
+                batch = whole.slice(at, some)
+                asked = zip(*(batch.column(c).to_pylist() for c in ("_from", "_size", "_block")))
+                found = [np.unique(picks(s, np.arange(b * block, min(b * block + block, n), dtype=np.int64), n), return_counts=True) for s, n, b in asked]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
+                own = [batch.column(c).take(rows) for c in keep]
+                drawn = [pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *drawn], names=[*keep, "pos", "times"])
+
+    out = blocks.mapInArrow(draw, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", pos long, times long")
+    return out.groupBy(*keep, "pos").agg(F.sum("times").alias("times"))
+
+
 def lot_sql(text: str) -> str:
     """``lot`` in SQL."""
     return f"CAST('0x' || SUBSTR(MD5({text}), 1, {HEX_DIGITS}) AS BIGINT)"

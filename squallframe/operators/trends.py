@@ -3,14 +3,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallframe import refs
-from squallframe.functions.draws import lot, pick
+from squallframe.functions.draws import counted, lot, pick, picks
 from squallframe.functions.stats import student_two_sided
 from squallframe.operators.ordered import quantiles, row_numbers
 from squallframe.operators.skill import spearman
+from squallframe.session import settle
 
 DIGITS = 9  # float noise below this does not decide a comparison of resampled means
 
@@ -24,13 +27,10 @@ def draw_counts(sizes: DataFrame, n_rep: int, label: str, size: str = "n") -> Da
 
     Draws depend on the sample size only, so cells of equal size share them.
     """
-    block = 4096
     reps = sizes.select(F.col(size).cast("long").alias("n")).distinct().where("n > 0")
     reps = reps.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_start", lot(label, "rep"))
-    blocks = reps.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block)))).repartition("n", "rep", "_b")
-    k = F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_b") * block + block, F.col("n")) - 1))
-    draws = blocks.withColumn("_k", k).select("n", "rep", (pick(F.col("_start"), F.col("_k"), F.col("n")) + 1).alias("pos"))
-    return draws.groupBy("n", "rep", "pos").agg(F.count(F.lit(1)).alias("times"))
+    draws = counted(reps.withColumn("_n", F.col("n")), ["n", "rep"], "_start", "_n")
+    return draws.withColumn("pos", F.col("pos") + 1)
 
 
 def resampled_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], n_rep: int, label: str) -> DataFrame:
@@ -64,6 +64,36 @@ def bootstrap_mean_test(
         rows = df.where(F.col(side) == s).select(*keys, order, value)
         r = resampled_sums(rows, keys, order, sums, n_rep, f"{seed}-{s}")
         parts.append(r.select(*keys, "rep", _ratio(F.col("_s"), F.col("_c").cast("double")).alias(f"_r{s}")))
+    return _shifted_p(base, parts, keys).select(*keys, "mean_a", "mean_b", "p")
+
+
+def bootstrap_flag_test(df: DataFrame, keys: Sequence[str], side: str, flag: Column, n_rep: int = 10000, seed: str = "n2") -> DataFrame:
+    """``bootstrap_mean_test`` of a yes or no (null is no) without numbering a row: a side's yes rows own its first positions, so
+    a draw is a yes where it lies below their number, and sides of equal size and number share their draws."""
+    keys, block = list(keys), 4096
+    yes = F.coalesce(flag, F.lit(False)).cast("long")
+    of = lambda s, c: F.when(F.col(side) == s, c)
+    base = df.groupBy(*keys).agg(*[f(of(s, yes)).alias(f"{n}_{s}") for s in "ab" for f, n in ((F.avg, "mean"), (F.count, "_n"), (F.sum, "_y"))])
+    base = settle(base)
+
+    @F.pandas_udf("long")
+    def hits(start: pd.Series, part: pd.Series, n: pd.Series, y: pd.Series) -> pd.Series:
+        """How many draws of a block lie below y."""
+        every = zip(start, part * block, np.minimum(part * block + block, n), n, y)
+        return pd.Series([int((picks(s, np.arange(lo, hi), size) < below).sum()) for s, lo, hi, size, below in every], dtype="int64")
+
+    parts = []
+    for s in "ab":
+        sizes = base.where(f"_n_{s} > 0").select(*keys, F.col(f"_n_{s}").alias("_n"), F.col(f"_y_{s}").alias("_y"))
+        reps = sizes.select("_n", "_y").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_start", lot(f"{seed}-{s}", "rep"))
+        blocks = reps.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block)))).repartition("_n", "_y", "rep", "_b")
+        sums = blocks.select("_n", "_y", "rep", hits("_start", "_b", "_n", "_y").alias("_s")).groupBy("_n", "_y", "rep").agg(F.sum("_s").alias("_s"))
+        parts.append(sizes.join(sums, ["_n", "_y"]).select(*keys, "rep", (F.col("_s") / F.col("_n")).alias(f"_r{s}")))
+    return _shifted_p(base, parts, keys).select(*keys, "mean_a", "mean_b", "p")
+
+
+def _shifted_p(base: DataFrame, parts: Sequence[DataFrame], keys: list[str]) -> DataFrame:
+    """Adds p to the means of both sides, from the resampled means of each."""
     both = parts[0].join(parts[1], [*keys, "rep"]).join(base, keys)
     diff = F.round(F.col("mean_b") - F.col("mean_a"), DIGITS)
     shifted = F.round((F.col("_rb") - F.col("mean_b")) - (F.col("_ra") - F.col("mean_a")), DIGITS)
@@ -71,7 +101,7 @@ def bootstrap_mean_test(
         F.avg((shifted >= diff).cast("double")).alias("_up"), F.avg((shifted <= diff).cast("double")).alias("_low")
     )
     out = base.join(counted, keys, "left")
-    return out.select(*keys, "mean_a", "mean_b", (2 * F.least("_up", "_low")).alias("p"))
+    return out.withColumn("p", 2 * F.least("_up", "_low"))
 
 
 # The seasons of the trend table.
@@ -91,9 +121,10 @@ def halves(time: str, first: tuple[int, int], second: tuple[int, int]) -> Column
 
 def trend_table(
     daily: DataFrame, station: str, day: str, value: str, strong: float, first: tuple[int, int], second: tuple[int, int],
-    n_rep: int = 0, order: str | None = None,
+    n_rep: int = 0, order: str | None = None, strong_rep: int = 0,
 ) -> DataFrame:
-    """Change of the mean and of strong days per year between two halves, per station and season, with N1 p."""
+    """Change of the mean and of strong days per year between two halves, per station and season, with N1 p of the values and,
+    as ``strong_p``, of the flag of strong days."""
     rows = in_seasons(daily, day, TREND_SEASONS).withColumn("half", halves(day, first, second)).where("half IS NOT NULL")
     v = F.col(value)
     years = rows.groupBy(station, "season", "half", F.year(day).alias("_y")).agg(
@@ -110,6 +141,9 @@ def trend_table(
     if n_rep:
         test = bootstrap_mean_test(rows, [station, "season"], "half", order or day, value, n_rep)
         out = out.join(test.select(station, "season", "p"), [station, "season"], "left")
+    if strong_rep:
+        test = bootstrap_flag_test(rows, [station, "season"], "half", v >= strong, strong_rep)
+        out = out.join(test.select(station, "season", F.col("p").alias("strong_p")), [station, "season"], "left")
     return out
 
 

@@ -124,7 +124,7 @@ def _(t):
 SUBSETS = [c for n in range(2, len(PARAMS) + 1) for c in itertools.combinations(PARAMS, n)]
 
 
-SUBSET_SPLITS = 1  # 26 subsets are fitted together
+SUBSET_SPLITS = 1  # of the SQL twin alone; the query averages all SPLITS
 
 
 @query("predictor_subset_search", "L5", sql("v_obs v_points", f"""{events_cte()}, {split_ctes(SUBSET_SPLITS, '0.8E0')},
@@ -134,7 +134,7 @@ ft AS MATERIALIZED (SELECT sub * {SUBSET_SPLITS} + part AS f, sub.*, part FROM s
 SELECT predictors, {', '.join(f"ROUND(AVG(CASE WHEN name = '{n}' THEN {v} END), 5) AS {n}{t}" for n in ('hss', 'pss') for v, t in (('score', ''), ('threshold', '_thresh')))} FROM hs GROUP BY 1"""))
 def _(t):
     rows = _rows(t)
-    splits = L.stratified_splits(rows, "event_id", "is_sta", SUBSET_SPLITS)
+    splits = L.stratified_splits(rows, "event_id", "is_sta", SPLITS)
     out = L.subset_search(rows, "event_id", PARAMS, "is_sta", splits, range(2, len(PARAMS) + 1))
     return out.select("predictors", *[r6(c, 5).alias(c) for c in ("hss", "pss", "hss_thresh", "pss_thresh")])
 

@@ -57,8 +57,8 @@ c AS (SELECT model, season, AVG(CASE WHEN half = 'b' THEN dd END) - AVG(CASE WHE
 SELECT model, season, ROUND(mean_b - mean_a, 6) AS mean_change, ROUND(strong_change, 6) AS strong_change, ROUND(p, 6) AS p FROM tst JOIN c USING (model, season)"""))
 def _(t):
     days = daily(t.field, ["model"], "time", {"v": F.avg("v")}).withColumn("o", F.unix_date("day"))
-    out = N.trend_table(days, "model", "day", "v", 30.0, A, B, 200, "o")
-    return out.select("model", "season", *[r6(c).alias(c) for c in ("mean_change", "strong_change", "p")])
+    out = N.trend_table(days, "model", "day", "v", 30.0, A, B, 1000, "o", 10000)
+    return out.select("model", "season", *[r6(c).alias(c) for c in ("mean_change", "strong_change", "p", "strong_p")])
 
 
 @query("grid_exceedance_trend", "N3", sql("v_field", f"""
