@@ -59,14 +59,15 @@ def added(before: str, after: str) -> tuple[str, int]:
     return after[same:], len(before) - same
 
 
-def locate(template: Template, history: list[Turn], turn: Turn) -> tuple[str, int, int, int]:
+def locate(template: Template, history: list[Turn], turn: Turn, before: str | None = None, after: str | None = None) -> tuple[str, int, int, int]:
     """(piece, text start, text end, characters rewritten) of a turn after a history.
 
+    ``before`` and ``after`` are the outputs without and with the turn, where they are known.
     Two more outputs, with the texts ``a`` and ``b``, show what stands around the text whatever it is.  A template that
     shows no text gets an empty span.
     """
-    before = template(history)
-    piece, rewritten = added(before, template([*history, turn]))
+    before = template(history) if before is None else before
+    piece, rewritten = added(before, template([*history, turn]) if after is None else after)
     a, _ = added(before, template([*history, (turn[0], "a")]))
     b, _ = added(before, template([*history, (turn[0], "b")]))
     head = len(os.path.commonprefix([a, b]))
@@ -84,30 +85,37 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
 
-def format_chats(rows: DataFrame, template: Template = marked, history: int = 4) -> DataFrame:
+def format_chats(rows: DataFrame, template: Template = marked, history: int | None = None) -> DataFrame:
     """A row per turn, in order: its piece of the output and where that starts, the text's span in the output, and
     how many characters of the earlier output this turn rewrote.
 
     ``rows`` has conv_id, turn, role, text; more columns are not looked at.  Turns go by number (null first), ties by role and
     text; null roles and texts are empty; null ids are one conversation; repeated rows are turns of their own.  The output
-    of a conversation is the pieces joined, as long as no turn rewrites anything.
+    of a conversation is the pieces joined, as long as no turn rewrites anything; a piece that rewrites starts where the
+    outputs part, and what stands before the first turn is of its piece.
 
-    Each turn is rendered after the ``history`` turns before it, so a conversation streams through its task with a few
-    turns in memory, whatever its length.  That finds every span of templates that format a turn by at most so many
-    earlier ones; rewriting further back than that isn't seen.
+    Each turn is rendered after all turns before it, whatever the template does with them; work grows with the square of a
+    conversation's length, and one conversation at a time is held.  A template known to format a turn by at most ``history``
+    earlier ones is rendered after those alone, so conversations stream.  ``marked`` formats each turn alone and needs none.
     """
+    if history is None and template is marked:
+        history = 0
     schema = schema_of(FORMATTED)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, past, place, start = object(), deque(maxlen=history), 0, 0
+        own, past, place, start, before = object(), deque(maxlen=history), 0, 0, ""
         for batch in batches:
             out = []
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if conv != own:
-                    own, place, start = conv, 0, 0
+                    own, place, start, before = conv, 0, 0, ""
                     past.clear()
                 turn = (role or "", text or "")
-                piece, head, tail, rewritten = locate(template, list(past), turn)
+                after = template([*past, turn])
+                piece, head, tail, rewritten = locate(template, list(past), turn, before, after)
+                if history is None:
+                    start = len(before) - rewritten
+                before = after if history is None else None
                 out.append((conv, place, turn[0], piece, start, start + head, start + tail, rewritten))
                 past.append(turn)
                 place, start = place + 1, start + len(piece)
