@@ -44,8 +44,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its window of 2048 tokens and its place there."""
-    cut = packing.pieces(docs, "doc_id", "text", window=2048, end_id=1)
+    """A row per piece of a document, with its token ids, its window of 2048 tokens and its place there."""
+    cut = packing.pieces(docs, "doc_id", "text", window=2048, end_id=1, keep_ids=True)
     return packing.pack(cut, window=2048).withColumnRenamed("key", "doc_id")
 
 

@@ -1,4 +1,7 @@
 """Parts of the training-data operators that once were left out."""
+import zlib
+
+import numpy as np
 import pytest
 
 from squallframe.llm import chats
@@ -37,3 +40,17 @@ def test_the_default_template_needs_no_earlier_turn(spark):
     rows = spark.createDataFrame(turns, TURNS)
     whole = lambda t: chats.marked(t)  # noqa: E731  the same, but not known to be
     assert sorted(chats.format_chats(rows).collect()) == sorted(chats.format_chats(rows, whole).collect())
+
+
+def test_packed_windows_hold_their_tokens(spark, docs):
+    import corpus_pipeline as C
+    from squallframe.llm import packing
+
+    rows = C.packed(spark, docs, "").collect()
+    assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    encode, joined = packing.public_encoder(), {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        if r["doc_id"] in (7, 8, 9):
+            joined.setdefault(r["doc_id"], []).extend(r["ids"])
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id in (7, 8, 9)").collect()}
+    assert joined == {k: [*encode(t), 1] for k, t in texts.items()}
