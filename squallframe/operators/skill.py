@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from squallframe.functions.draws import lot, pick, picks
+from squallframe.functions.draws import counted, lot, picks
 from squallframe.functions.scalar import col
 from squallframe.operators.ordered import ALL, attach, count_quantiles, keyed, quantiles, row_numbers, running_counts, shared, value_counts
+from squallframe.session import settle
 
 MIN_POD = 0.66  # fixed value
 
@@ -376,18 +377,22 @@ def bootstrap_pod_bounds(
 
 
 def bootstrap_auc(df: DataFrame, unique: str, params: Sequence[str], event: str, n_rep: int, low: float = 0.005, high: float = 0.995, seed: str = "k8") -> DataFrame:
-    """AUC bounds over whole-sample resamples."""
-    numbered = row_numbers(df, [], unique, "_pos")
+    """AUC bounds over whole-sample resamples.
+
+    Rows count by where they stand among the distinct values that events have: with one of them or between two.  Order among
+    others between the same two does not change the AUC, so a replicate sorts no more than these places.
+    """
+    numbered = row_numbers(df, [], unique, "_pos").select("_pos", *params, F.col(event).alias("event"))
+    long = settle(to_long(numbered, params, ["_pos", "event"]))
+    marks = long.groupBy("param", "value").agg(F.max("event").cast("long").alias("n"))
+    marks = running_counts(marks, ["param"], "value", ("n",)).select("param", "value", (2 * F.col("n_lt") + F.col("n")).cast("double").alias("_place"))
+    placed = long.join(marks, ["param", "value"]).groupBy("_pos").agg(F.max("event").alias("event"), *[F.max(F.when(F.col("param") == p, F.col("_place"))).alias(p) for p in params])
+    placed = settle(placed)  # small when draws meet it
     size = df.agg(F.count(F.lit(1)).alias("_n"))
     reps = df.sparkSession.range(n_rep).select(F.col("id").cast("int").alias("rep")).withColumn("_start", lot(seed, "rep")).crossJoin(F.broadcast(size))  # one row
-    block = 4096
-    blocks = reps.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block)))).repartition("rep", "_blk")
-    last = F.least(F.col("_blk") * block + block, F.col("_n")) - 1
-    draws = blocks.withColumn("_k", F.explode(F.sequence(F.col("_blk") * block, last)))
-    draws = draws.select("rep", (pick(F.col("_start"), F.col("_k"), F.col("_n")) + 1).alias("_pos"))
     # a draw repeats rows, so carry a count instead of the repeats
-    times = draws.groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("times"))
-    sample = times.join(numbered.select("_pos", *params, F.col(event).alias("event")), "_pos")
+    times = counted(reps, ["rep"], "_start", "_n").select("rep", (F.col("pos") + 1).alias("_pos"), "times")
+    sample = times.join(placed, "_pos")
     long = to_long(sample, params, ["rep", "event", "times"])
     vc = long.groupBy("rep", "param", "value").agg(F.sum("times").alias("n"), F.sum(F.col("event") * F.col("times")).alias("e"))
     rc = running_counts(vc, ["rep", "param"], "value", ("n",))

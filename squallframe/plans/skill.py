@@ -260,7 +260,7 @@ r AS (SELECT rep, param, event, RANK() OVER (PARTITION BY rep, param ORDER BY va
 a AS (SELECT rep, param, (SUM(CASE WHEN event = 1 THEN rk END) - SUM(event) * (SUM(event) + 1) / 2E0) / (SUM(event) * CAST(COUNT(*) - SUM(event) AS DOUBLE)) AS auc FROM r GROUP BY 1, 2)
 SELECT param, ROUND(QUANTILE_CONT(auc, 0.005), 6) AS lower, ROUND(QUANTILE_CONT(auc, 0.995), 6) AS upper FROM a GROUP BY 1"""))
 def _(t):
-    out = K.bootstrap_auc(_events(t), "event_id", PARAMS, "is_sta", 10)
+    out = K.bootstrap_auc(_events(t), "event_id", PARAMS, "is_sta", 1000)
     return out.select("param", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
@@ -350,7 +350,7 @@ def _(t):
 SELECT param, ROUND(a.score, 6) AS score_floor, ROUND(b.score, 6) AS score_floor2, ROUND(c.score, 6) AS score_ceil, CAST(ROW_NUMBER() OVER (ORDER BY a.score DESC NULLS LAST, param) AS INT) AS place
 FROM bestfloor a FULL JOIN bestfloor2 b USING (param) FULL JOIN bestceil c USING (param)"""))
 def _(t):
-    tables = {m: K.best_thresholds(_long(_events(t, m), "is_sta"), ["param"], "value", "event", "pss", 200) for m in ("floor", "floor2", "ceil")}
+    tables = {m: K.best_thresholds(_long(_events(t, m), "is_sta"), ["param"], "value", "event", "pss") for m in ("floor", "floor2", "ceil")}
     out = K.join_scores(tables, ["param"], "floor")
     return out.select("param", *[r6(f"score_{m}").alias(f"score_{m}") for m in tables], "place")
 
@@ -359,8 +359,8 @@ def _(t):
     f"{events_cte(m, 'ev' + m)}, {long_cte('is_sta', 'ev' + m, 'lg' + m)}, {sweep_ctes('pss', 'lg' + m, 'param', m, 200)}" for m in ("floor", "ceil")) + """
 SELECT param, ROUND(CASE WHEN param = 'umean06' THEN c.score ELSE a.score END, 6) AS score, ROUND(a.threshold, 6) AS threshold FROM bestfloor a FULL JOIN bestceil c USING (param)"""))
 def _(t):
-    a = K.best_thresholds(_long(_events(t), "is_sta"), ["param"], "value", "event", "pss", 200)
-    c = K.best_thresholds(_long(_events(t, "ceil"), "is_sta"), ["param"], "value", "event", "pss", 200).select("param", F.col("score").alias("ceil_score"))
+    a = K.best_thresholds(_long(_events(t), "is_sta"), ["param"], "value", "event", "pss")
+    c = K.best_thresholds(_long(_events(t, "ceil"), "is_sta"), ["param"], "value", "event", "pss").select("param", F.col("score").alias("ceil_score"))
     out = a.join(c, "param", "full")
     s = F.when(F.col("param") == "umean06", F.col("ceil_score")).otherwise(F.col("score"))
     return out.select("param", r6(s).alias("score"), r6("threshold").alias("threshold")).orderBy(F.col("score").desc())

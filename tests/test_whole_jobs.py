@@ -66,3 +66,59 @@ def test_trend_table_has_a_p_of_strong_days(spark):
 def test_subset_search_averages_all_splits(spark, monkeypatch):
     args, _ = asked(monkeypatch, spark, L, "stratified_splits", "predictor_subset_search")
     assert args[3] == PL.SPLITS == 16
+
+
+LARGER = "/root/testdata/sf0.01"  # the smallest tables have a variant without events
+
+
+def twin_rows(text):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("events", "lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{LARGER}/{t}.parquet')")
+    return con.execute(text).fetchall()
+
+
+def test_auc_bounds_from_places_equal_those_from_values(spark):
+    """Ties, several events on one value, and a null; against every replicate by hand."""
+    from squallframe.operators import skill as K
+
+    rows = [(i, v, float(i % 4), e) for i, (v, e) in enumerate([(1.0, 0), (2.0, 1), (2.0, 0), (3.0, 1), (None, 1), (0.5, 0), (2.5, 0), (2.6, 0), (2.0, 1), (9.0, 0)] * 3)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, e int")
+    got = {r["param"]: (r["lower"], r["upper"]) for r in K.bootstrap_auc(df, "id", ["a", "b"], "e", 200).collect()}
+    starts = [r[0] for r in spark.range(200).select(K.lot("k8", F.col("id").cast("int"))).collect()]
+    for c, name in ((1, "a"), (2, "b")):
+        areas = []
+        for s in starts:
+            took = [rows[i] for i in picks(s, np.arange(len(rows)), len(rows)) if rows[i][c] is not None]
+            yes, no = ([r[c] for r in took if r[3] == e] for e in (1, 0))
+            areas.append(np.mean([(x > y) + (x == y) / 2 for x in yes for y in no]))
+        assert got[name] == pytest.approx((np.percentile(areas, 0.5), np.percentile(areas, 99.5)))
+
+
+@tables
+def test_auc_bounds_draw_a_thousand_replicates(spark, monkeypatch):
+    from squallframe.operators import skill as K
+
+    args, _ = asked(monkeypatch, spark, K, "bootstrap_auc", "bootstrap_auc_bounds")
+    assert args[4] == 1000
+
+
+@tables
+@pytest.mark.parametrize("name, modes", [("ranked_skill_table", ["floor", "ceil"]), ("proximity_definition_comparison", ["floor", "floor2", "ceil"])])
+def test_sweeps_go_over_a_thousand_thresholds(spark, name, modes):
+    from squallframe.plans.registry import sql
+    from squallframe.plans.skill import events_cte, long_cte, sweep_ctes
+
+    want = {}
+    for m in modes:
+        body = f"{events_cte(m)}, {long_cte('is_sta')}, {sweep_ctes('pss')} SELECT param, ROUND(score, 6), ROUND(threshold, 6) FROM best"
+        want[m] = {p: (s, t) for p, s, t in twin_rows(sql("v_obs v_points", body))}
+    for r in entry.queries()[name](spark, LARGER).collect():
+        p = r["param"]
+        if name == "ranked_skill_table":
+            assert r["threshold"] == pytest.approx(want["floor"][p][1], abs=2e-6)
+            assert r["score"] == pytest.approx(want["ceil" if p == "umean06" else "floor"][p][0], abs=2e-6)
+        else:
+            assert [r[f"score_{m}"] for m in modes] == pytest.approx([want[m][p][0] for m in modes], abs=2e-6)
