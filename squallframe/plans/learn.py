@@ -158,9 +158,9 @@ def _(t):
 
 @query("recursive_elimination", "L7")
 def _(t):
-    rounds = L.recursive_elimination(L.clipped(_rows(t), PARAMS), PARAMS, "is_sta")
-    rows = [(r["round"], r["removed"], round(r["coef"], 6), r["predictors"]) for r in rounds]
-    return t.spark.createDataFrame(rows, "round int, removed string, coef double, predictors string")
+    rounds = L.recursive_elimination(L.clipped(_rows(t), PARAMS), PARAMS, "is_sta", unique="event_id")
+    rows = [(r["round"], r["removed"], None if r["coef"] is None else round(r["coef"], 6), r["predictors"], round(r["auc"], 6), r["best"]) for r in rounds]
+    return t.spark.createDataFrame(rows, "round int, removed string, coef double, predictors string, auc double, best boolean")
 
 
 @query("collinearity_factors", "L8", sql("v_points", """

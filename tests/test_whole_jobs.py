@@ -122,3 +122,11 @@ def test_sweeps_go_over_a_thousand_thresholds(spark, name, modes):
             assert r["score"] == pytest.approx(want["ceil" if p == "umean06" else "floor"][p][0], abs=2e-6)
         else:
             assert [r[f"score_{m}"] for m in modes] == pytest.approx([want[m][p][0] for m in modes], abs=2e-6)
+
+
+@tables
+def test_elimination_asks_for_the_folds(spark, monkeypatch):
+    rounds = [{"round": 1, "removed": "s06", "coef": 0.25, "predictors": "s06 dcape", "auc": 0.75, "best": False}, {"round": 2, "removed": None, "coef": None, "predictors": "dcape", "auc": 0.8, "best": True}]
+    monkeypatch.setattr(L, "clipped", lambda rows, params: rows)
+    monkeypatch.setattr(L, "recursive_elimination", lambda *args, unique=None, **more: rounds if unique == "event_id" else [])
+    assert [r.asDict() for r in entry.queries()["recursive_elimination"](spark, FOLDER).collect()] == rounds
