@@ -468,6 +468,8 @@ def remaining_links(found: DataFrame, links: DataFrame, spec: Spec) -> DataFrame
 def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, set_id, component, component_id) of every document.
 
+    Gives components, not the links of the join: pairs inside a component that is connected already are not tested.
+
     A document's set are the hashes of its distinct shingles, over lower-cased A-Z; documents of equal sets are one class.
     Classes link when percent * union <= 100 * intersection.  component is the same for all that links connect, and component_id the
     smallest key among them (null if all are null).  A document without words has an empty set, no component, and its own key
