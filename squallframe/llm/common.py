@@ -30,6 +30,12 @@ def plain_key(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit("null"))
 
 
+def finite(vec: Column) -> Column:
+    """Vectors that are not null and hold neither null nor non-finite entries."""
+    every = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vec.isNotNull() & F.coalesce(every, F.lit(False))
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Gapless numbers from 0 within each group, in the given order, without a group in one task.
 

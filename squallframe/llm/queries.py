@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm import chats, fingerprints, jaccard, language, mixing, neighbours, packing, pii, sharding, substrings
+from squallframe.llm import chats, fingerprints, jaccard, language, mixing, neighbours, packing, pii, sharding, substrings, whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,10 @@ def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     linked = jaccard.link_documents(docs, "doc_id", "text", shingle=4, percent=85)
     return linked.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op11_whiten_embeddings")
+def whiten_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    done = whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", k=8)
+    each = done.select(F.col("key").alias("vec_id"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
