@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm import chats, fingerprints, jaccard, language, mixing, neighbours, packing, pii, sharding, substrings, whitening
+from squallframe.llm import chats, fingerprints, jaccard, language, mixing, neighbours, packing, pii, quality, sharding, substrings, whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,34 @@ def whiten_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     done = whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", k=8)
     each = done.select(F.col("key").alias("vec_id"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
     return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+QUALITY_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         len(regexp_extract_all(text, '\p{L}[^\x20\x09-\x0D]*')) AS lettered
+  FROM docs),
+windows AS (SELECT rid, unnest(range(1, len(w) - 6)) AS i, w FROM split WHERE len(w) > 8),
+counted AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(list_slice(w, i, i + 7), ' ')) AS times FROM windows),
+gaps AS (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS words FROM counted WHERE times > 1),
+again AS (SELECT rid, CAST(sum(words) AS BIGINT) AS n FROM gaps GROUP BY rid),
+found AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, lettered
+  FROM split LEFT JOIN again USING (rid)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM found)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words OR 10 * lettered < 8 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+FROM based
+"""
+
+
+@query("op12_quality_cascade", QUALITY_SQL)
+def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    report = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality.judge(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", report=report)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select(F.col("key").alias("doc_id"), *report, failed.alias("base_failed"), "kept")
