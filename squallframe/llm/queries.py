@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm import chats, fingerprints, jaccard, language, mixing, neighbours, packing, pii, quality, sharding, substrings, whitening
+from squallframe.llm import chats, fingerprints, jaccard, language, mixing, negatives, neighbours, packing, pii, quality, sharding, substrings, whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +187,31 @@ def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", report=report)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select(F.col("key").alias("doc_id"), *report, failed.alias("base_failed"), "kept")
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS alike, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+found AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+  WHERE NOT s.alike AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0)
