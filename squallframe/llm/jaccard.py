@@ -20,10 +20,10 @@ U = np.uint64
 ID = pa.decimal128(38, 0)  # 126 bits of a hash of the whole set
 LEAF, FAN = 32, 8
 BLOCK = 4096  # rows of a block that are held at a time; longer ones are cut and met in pairs
-ORDERS = ((0, 1),)  # rounds of orders, the least shingles by which pick a document's first partners
+HOT, SALTS = 1024, 64  # rows from which a star is met in several groups, and how many
 MOST_CELLS, MOST_FLAGS = 22, 27  # bits of the places in the frequency sketch and in a filter of flags
 PROBES = 4  # bits of a value in such a filter
-KEPT_BYTES = 6  # of the hash of a shingle, where sets are compared
+ROLES = FOUND, STAR, LEADER, HOT_STAR = range(4)  # what a filter says of a text or star, in the lowest two bits of its hash
 
 
 @dataclass(frozen=True)
@@ -147,17 +147,26 @@ def flagged(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
 # --- passes over the texts
 
 
-def each_set(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[tuple[bytes, np.ndarray]]:
-    """(id, shingles) of the non-empty sets that a task reads, the same set only once."""
-    powers, seen = Powers(), set()
+def each_set(batches: Iterator[pa.RecordBatch], spec: Spec, wanted=None) -> Iterator[tuple[bytes, int, np.ndarray]]:
+    """(id, hash of the text, shingles) of the non-empty sets that a task reads, the same set only once.
+
+    ``wanted``, if given, tells from an array of text hashes which texts to look at.
+    """
+    powers, seen, read = Powers(), set(), set()
     for batch in batches:
-        for text in texts_of(batch):
-            tokens = shingles(text, spec, powers)
+        bodies = batch.column(batch.num_columns - 1).cast(pa.binary())
+        hashes = np.fromiter((text_hash(t.as_py()) for t in bodies), np.int64, len(bodies))
+        look = np.ones(len(hashes), bool) if wanted is None else wanted(hashes)
+        for at in np.flatnonzero(look):
+            if int(hashes[at]) in read:
+                continue
+            read.add(int(hashes[at]))
+            tokens = shingles(bodies[int(at)].as_py(), spec, powers)
             if len(tokens):
                 own = set_id(tokens)
                 if own not in seen:
                     seen.add(own)
-                    yield own, tokens
+                    yield own, int(hashes[at]), tokens
 
 
 def batched(rows: Iterator[tuple], names: list[str], arrays, most: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -209,19 +218,12 @@ def identify(docs: DataFrame, spec: Spec, bits: int) -> tuple[DataFrame, np.ndar
     return both.where("slice is null").select("key", "n", "id"), table
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """The upper bytes of sorted hashes."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes()
-
-
 def unpacked(body: pa.Scalar) -> np.ndarray:
-    out = np.zeros((len(body.as_buffer()) // KEPT_BYTES, 8), np.uint8)
-    out[:, 8 - KEPT_BYTES :] = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, KEPT_BYTES)
-    return out.view(U).ravel()
+    return np.frombuffer(body.as_buffer(), U)
 
 
 def verified(found: DataFrame, pairs: DataFrame, spec: Spec) -> DataFrame:
-    """Of the candidate pairs (a, b) those that link, by the whole sets in ``found`` (id, set)."""
+    """Of the candidate pairs (a, b) those that link, by the whole sets in ``found`` (id, set), shingle by shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +236,7 @@ def verified(found: DataFrame, pairs: DataFrame, spec: Spec) -> DataFrame:
 
     left = found.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = found.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    met = settle(pairs).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return settle(met.mapInArrow(run, "a decimal(38,0), b decimal(38,0)"))
 
 
@@ -345,115 +347,186 @@ def tree_pairs(n: np.ndarray, maps: list[bytes], side: np.ndarray, spec: Spec) -
                 yield rows[0][at[a]], rows[1][other_at[b]]
 
 
-def block_pairs(blocks: DataFrame, spec: Spec) -> DataFrame:
-    """Candidate pairs (a, b) of rows (token, lo, hi, side, id, n, root, bits) that stream by block by block."""
+def block_pairs(blocks: DataFrame, spec: Spec, one_of_each: bool) -> DataFrame:
+    """Candidate pairs (a, b) of rows (token, lo, hi, side, id, n, root, bits) that stream by block by block.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        own, held = None, []
+    With ``one_of_each`` a block gives one pair for any two roots, the nearest in size, and of all blocks' pairs one stays.
+    """
 
-        def run():
-            if len(held) > 1:
-                side, ids, n, root, maps = zip(*held)
-                n, root = np.array(n), np.array(root)
-                for a, b in tree_pairs(n, list(maps), np.array(side), spec):
-                    for i, j in zip(a, b):
-                        if root[i] != root[j]:
-                            yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+    def found(held: list) -> Iterator[tuple]:
+        side, ids, n, root, maps = zip(*held)
+        n, root = np.array(n), np.array(root)
+        best = {}
+        for a, b in tree_pairs(n, list(maps), np.array(side), spec):
+            apart = root[a] != root[b]
+            for i, j in zip(a[apart], b[apart]):
+                i, j = (i, j) if (root[i], ids[i]) < (root[j], ids[j]) else (j, i)
+                pair = (abs(int(n[i]) - int(n[j])), ids[i], ids[j])
+                of = (int(root[i]), int(root[j]))
+                if not one_of_each:
+                    yield (*of, *pair)
+                elif of not in best or pair < best[of]:
+                    best[of] = pair
+        for of, pair in best.items():
+            yield (*of, *pair)
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        own, held = None, []
         for batch in batches:
             for token, lo, hi, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if (token, lo, hi) != own:
-                    yield from run()
+                    if len(held) > 1:
+                        yield from found(held)
                     own, held = (token, lo, hi), []
                 held.append(rest)
-        yield from run()
+        if len(held) > 1:
+            yield from found(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimals = lambda x: pa.array(x, ID)
-        yield from batched(pairs(batches), ["a", "b"], [decimals, decimals])
+        yield from batched(pairs(batches), ["ra", "rb", "apart", "a", "b"], [longs, longs, longs, decimals, decimals])
 
     where = ["token", "lo", "hi"]
     rows = blocks.select(*where, "side", "id", "n", "root", "bits").repartition(*where).sortWithinPartitions(*where)
-    return rows.mapInArrow(run, "a decimal(38,0), b decimal(38,0)").distinct()
+    made = rows.mapInArrow(run, "ra long, rb long, apart long, a decimal(38,0), b decimal(38,0)")
+    if one_of_each:
+        return made.groupBy("ra", "rb").agg(F.min(F.struct("apart", "a", "b")).alias("one")).select("one.a", "one.b")
+    return made.select("a", "b").distinct()
 
 
 # --- the join
 
 
+def text_hash(text: bytes | None) -> int:
+    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+
+
+def star_of(tokens: np.ndarray, spec: Spec) -> int:
+    """A hash of the least shingle by an order of its own and of the class of size: most near copies have it in common."""
+    like = int(np.floor(np.log(len(tokens)) / -np.log(spec.percent / 100))) if spec.percent < 100 else len(tokens)
+    least = tokens[np.argmin(mixed(tokens + U(1)))]
+    return xxhash.xxh3_64_intdigest(least.tobytes() + like.to_bytes(8, "little")) - (1 << 63)
+
+
 def candidates(texts: DataFrame, rare: np.ndarray, bits: int, spec: Spec) -> DataFrame:
-    """The sets that may link at all: (id, n, firsts, tokens, bits, set), a row per set.
+    """The sets that may link at all: (id, text, n, star, tokens, bits), a row per set.
 
     Shingles are ordered from rare to frequent.  Sets that link share one of the first of each, so only sets with a shared one
-    matter; ``tokens`` are those, ``firsts`` the least shingles by some orders, ``bits`` the signature and ``set`` all hashes.
+    matter; ``tokens`` are those, ``text`` the hash of a text with this set, ``star`` as by ``star_of``, ``bits`` the signature.
     """
     order = texts.sparkSession.sparkContext.broadcast(rare)
 
-    def prefixes(batches):
-        for own, tokens in each_set(batches, spec):
-            level = order.value[place(tokens, bits)]
-            yield own, tokens, tokens[np.lexsort((tokens, level))[: spec.prefix(len(tokens))]].view(np.int64)
+    def prefix(tokens):
+        level = order.value[place(tokens, bits)]
+        return tokens[np.lexsort((tokens, level))[: spec.prefix(len(tokens))]].view(np.int64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((p, np.full(len(p), np.frombuffer(own, np.int64)[0])) for own, _, p in prefixes(batches))
+        rows = ((p, np.full(len(p), np.frombuffer(own, np.int64)[0])) for own, _, tokens in each_set(batches, spec) for p in [prefix(tokens)])
         yield from batched(rows, ["token", "h"], [longs, longs], 256)
 
     shared = texts.mapInArrow(keys, "token long, h long").groupBy("token").agg(F.min("h").alias("l"), F.max("h").alias("g")).where("l <> g").select("token")
     shared = settle(shared)
     known = texts.sparkSession.sparkContext.broadcast(flags(shared, shared.count()))
-    orders = [j for group in ORDERS for j in group]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, width = known.value
 
         def rows():
-            for own, tokens, p in prefixes(batches):
+            for own, text, tokens in each_set(batches, spec):
+                p = prefix(tokens)
                 hit = p[flagged(table, width, p.view(U))]
                 if len(hit):
-                    firsts = [int(tokens[np.argmin(mixed(tokens + U(1 + j)))].view(np.int64)) for j in orders]
-                    yield own, len(tokens), firsts, hit.tolist(), bitmap(tokens), packed(tokens)
+                    yield own, text, len(tokens), star_of(tokens, spec), hit.tolist(), bitmap(tokens)
 
         lists, binaries = (lambda x: pa.array(x, pa.list_(pa.int64()))), (lambda x: pa.array(x, pa.binary()))
-        yield from batched(rows(), ["id", "n", "firsts", "tokens", "bits", "set"], [id_array, longs, lists, lists, binaries, binaries], 512)
+        yield from batched(rows(), ["id", "text", "n", "star", "tokens", "bits"], [id_array, longs, longs, longs, lists, binaries], 512)
 
-    ddl = "id decimal(38,0), n long, firsts array<long>, tokens array<long>, bits binary, set binary"
+    ddl = "id decimal(38,0), text long, n long, star long, tokens array<long>, bits binary"
     return settle(texts.mapInArrow(members, ddl).dropDuplicates(["id"]))
 
 
+def tagged(value: str, role: int):
+    return F.col(value).bitwiseAND(-4).bitwiseOR(role).alias("value")
+
+
+def has_role(known: tuple[np.ndarray, int], value: int, role: int) -> bool:
+    return bool(flagged(*known, np.array([(value & -4) | role], np.int64).view(U))[0])
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
+    """(id, set): whole sets of the texts whose hashes ``wanted`` (one column of longs) holds."""
+    known = texts.sparkSession.sparkContext.broadcast(flags(wanted, wanted.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((own, tokens.tobytes()) for own, _, tokens in each_set(batches, spec, lambda hashes: flagged(*known.value, hashes.view(U))))
+        yield from batched(rows, ["id", "set"], [id_array, lambda x: pa.array(x, pa.binary())], 128)
+
+    return settle(texts.mapInArrow(run, "id decimal(38,0), set binary").dropDuplicates(["id"]))
+
+
 def rooted(ids: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
     """Adds the root of an id's component, which is the id itself if nothing links to it."""
     r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     return ids.join(r, F.col(of) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", of)).drop("__node", "__root")
 
 
-def first_links(found: DataFrame, links: DataFrame | None, orders: tuple[int, ...], spec: Spec) -> DataFrame:
-    """Links found by comparing every set with one other that shares a least shingle and is of like size.
+def first_links(texts: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """Links found by comparing every set with one other of its star.
 
-    The other is the one with the fewest rare shingles of its own, most likely the text that others were copied from, ties by
-    a hash.  This connects most copies of a group at a cost in proportion to the group, and leaves the exact search little to
-    do.  Pairs that ``links`` connect already are passed over.
+    The other, the star's leader, is the set with the fewest rare shingles of its own, most likely the text that others were copied from.
+    This connects most copies of a group at a cost in proportion to the group, and leaves the exact search little to
+    do.  Every set is sent once, to its star; a hot star is met in ``SALTS`` groups, each of which gets the leader.  Who
+    leads and what is hot stands in a filter of bounded size, whose errors only send more.
     """
-    like = F.floor(F.log("n") / float(-np.log(spec.percent / 100)))
     own = spec.prefix(F.col("n")) - F.size("tokens")
-    firsts = found.select("id", like.alias("like"), own.alias("own"), F.posexplode("firsts").alias("order", "token")).where(F.col("order").isin(*orders))
-    draw = F.struct(F.col("own"), F.xxhash64("order", "id").alias("h"), F.col("id"))
-    stars = firsts.groupBy("order", "token", "like").agg(F.min(draw).alias("one"), F.min("id").alias("l"), F.max("id").alias("g")).where("l <> g")
-    pairs = firsts.join(stars.select("order", "token", "like", F.col("one.id").alias("b")), ["order", "token", "like"]).where("id <> b")
-    pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    if links is not None:
-        roots = components(links)
-        pairs = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
-    new = verified(found, pairs, spec)
-    return new if links is None else links.unionAll(new)
-
-
-def remaining_links(found: DataFrame, links: DataFrame, spec: Spec) -> DataFrame:
-    """All links between sets that ``links`` don't connect yet.
-
-    Each shared shingle makes a block.  Blocks whose sets are all connected go, and of blocks with the same sets, by 128
-    bits of hashes, one stays; the rest meet in signature trees.
+    stars = found.groupBy("star").agg(F.min(F.struct(own.alias("own"), F.xxhash64("id").alias("h"), "text")).alias("one"), F.count(F.lit(1)).alias("rows"))
+    stars = settle(stars.where("rows > 1").select("star", "rows", F.col("one.text").alias("leader")))
+    marks = found.select(tagged("text", FOUND)).unionAll(stars.select(tagged("star", STAR))).unionAll(stars.select(tagged("leader", LEADER)))
+    marks = settle(marks.unionAll(stars.where(F.col("rows") > HOT).select(tagged("star", HOT_STAR))))
+    known = texts.sparkSession.sparkContext.broadcast(flags(marks, marks.count()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
+
+        def rows():
+            for own, text, tokens in each_set(batches, spec, lambda hashes: flagged(*table, ((hashes & -4) | FOUND).view(U))):
+                star = star_of(tokens, spec)
+                if has_role(table, star, STAR):
+                    leads, body = has_role(table, text, LEADER), tokens.tobytes()
+                    salts = [0] if not has_role(table, star, HOT_STAR) else range(SALTS) if leads else [text % SALTS]
+                    for salt in salts:
+                        yield star, salt, int(not leads), own, body
+
+        yield from batched(rows(), ["star", "salt", "follows", "id", "set"], [longs, longs, longs, id_array, lambda x: pa.array(x, pa.binary())], 128)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links():
+            at = None
+            for batch in batches:
+                for star, salt, follows, own, body in zip(*batch.columns):
+                    if (star, salt) != at:
+                        at, leader = (star, salt), None
+                        if not follows.as_py():
+                            leader, tokens = own.as_py(), unpacked(body).copy()
+                    elif leader is not None and own.as_py() != leader:
+                        other = unpacked(body)
+                        if spec.linked(min(len(tokens), len(other)), len(tokens), len(other)) and spec.linked(len(np.intersect1d(tokens, other, assume_unique=True)), len(tokens), len(other)):
+                            yield tuple(sorted((own.as_py(), leader)))
+
+        decimals = lambda x: pa.array(x, ID)
+        yield from batched(links(), ["a", "b"], [decimals, decimals])
+
+    where = ["star", "salt"]
+    sent = texts.mapInArrow(send, "star long, salt long, follows long, id decimal(38,0), set binary")
+    met = sent.repartition(*where).sortWithinPartitions(*where, "follows", "id")
+    return settle(met.mapInArrow(compare, "a decimal(38,0), b decimal(38,0)").distinct())
+
+
+def blocks_between(named: DataFrame) -> DataFrame:
+    """Rows for ``block_pairs``: each shared shingle makes a block of (id, n, root, bits).
+
+    Blocks whose sets are all connected go, and of blocks with the same sets, by 128 bits of hashes, one stays.
     """
-    named = rooted(found.select("id", "n", "tokens", "bits"), components(links), "id", "root").withColumn("root", F.xxhash64("root"))
-    named = settle(named)
     placed = named.select("id", "root", F.explode("tokens").alias("token"))
     members = [F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "id")).alias("y")]
     live = placed.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("g"), *members).where("l <> g")
@@ -461,8 +534,26 @@ def remaining_links(found: DataFrame, links: DataFrame, spec: Spec) -> DataFrame
     placed = placed.join(live, "token").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = placed.select("id", "token", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
-    pairs = block_pairs(cells.join(named.select("id", "n", "root", "bits"), "id"), spec)
-    return verified(found, pairs, spec)
+    return cells.join(named.select("id", "n", "root", "bits"), "id")
+
+
+def remaining_links(texts: DataFrame, found: DataFrame, links: DataFrame, spec: Spec) -> DataFrame:
+    """All links between sets that ``links`` don't connect yet, except those that would connect what others of them connect.
+
+    Blocks of sets that share a rare shingle meet in signature trees.  A first pass verifies one pair for any two components that meet,
+    which joins the parts of large groups of near copies at a cost in proportion to the parts; a second one verifies all
+    pairs of what is still apart.
+    """
+    light = found.select("id", "n", "tokens", "bits")
+    for one_of_each in (True, False):
+        named = settle(rooted(light, components(links), "id", "root").withColumn("root", F.xxhash64("root")))
+        pairs = settle(block_pairs(blocks_between(named), spec, one_of_each))
+        if pairs.isEmpty():
+            break
+        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = settle(found.select("id", "text").join(ids, "id").select("text"))
+        links = links.unionAll(verified(sets_of(texts, wanted, spec), pairs, spec))
+    return links
 
 
 def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -485,10 +576,7 @@ def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, perce
     bits = max(16, min(MOST_CELLS, int(chars // 6).bit_length()))
     own, rare = identify(base, spec, bits)
     found = candidates(texts, rare, bits, spec)
-    links = None
-    for orders in ORDERS:
-        links = first_links(found, links, orders, spec)
-    roots = components(links.unionAll(remaining_links(found, links, spec)))
+    roots = components(remaining_links(texts, found, first_links(texts, found, spec), spec))
     classes = own.where("n > 0").groupBy("id").agg(F.min("key").alias("least"))
     classes = rooted(classes, roots, "id", "component")
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))

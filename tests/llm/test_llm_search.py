@@ -183,7 +183,7 @@ def test_no_link_is_lost(table, monkeypatch):
 
 
 def test_the_exact_search_needs_no_first_links(table, monkeypatch):
-    monkeypatch.setattr(jaccard, "first_links", lambda found, links, orders, spec: found.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "first_links", lambda texts, found, spec: found.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     texts = near_copies()
     rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
     got = [(r["key"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(table(rows), "doc_id", "text").collect()]
