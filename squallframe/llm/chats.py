@@ -94,12 +94,10 @@ def format_chats(rows: DataFrame, template: Template = marked, history: int | No
     of a conversation is the pieces joined, as long as no turn rewrites anything; a piece that rewrites starts where the
     outputs part, and what stands before the first turn is of its piece.
 
-    Each turn is rendered after all turns before it, whatever the template does with them; work grows with the square of a
-    conversation's length, and one conversation at a time is held.  A template known to format a turn by at most ``history``
-    earlier ones is rendered after those alone, so conversations stream.  ``marked`` formats each turn alone and needs none.
+    Each prefix of a conversation is rendered whole and compared with the output before, whatever the template does; work grows with
+    the square of a conversation's length, and one conversation at a time is held.  A caller who knows that a template formats a
+    turn by at most ``history`` earlier ones can say so: it is then rendered after those alone, and conversations stream.
     """
-    if history is None and template is marked:
-        history = 0
     schema = schema_of(FORMATTED)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

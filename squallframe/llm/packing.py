@@ -19,6 +19,7 @@ from squallframe.session import settle
 PIECES = "key long, start long, length long, ids_crc32 long, doc_tokens long"
 SPACES = re.compile(r"\s\s")
 SPECIAL = "<|endoftext|>"
+HELD = 1 << 18  # tokens that a task holds before it hands pieces on
 
 
 class Encoder:
@@ -30,16 +31,19 @@ class Encoder:
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=table, special_tokens={})
-        self.exact = Tokenizer.from_file(tokenizer)
+        self.tokenizer, self.exact = tokenizer, None
 
     def __call__(self, text: str) -> list[int]:
         if SPECIAL in text:
+            if self.exact is None:  # few texts need it
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.tokenizer)
             return self.exact.encode(text, add_special_tokens=False).ids
         return (self.full if SPACES.search(text) else self.plain).encode_ordinary(text)
 
@@ -53,7 +57,9 @@ def public_encoder() -> Encoder:
 def pieces(docs: DataFrame, key: str, text: str, encoder=public_encoder, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Each document's ids, closed by ``end_id``, cut at multiples of the window: (key, start, length, ids_crc32, doc_tokens).
 
-    A null text is empty and gives the end id alone.  ``keep_ids`` adds the ids themselves.  Repeated rows give pieces of their own.
+    A null or empty text gives the end id alone.  ``keep_ids`` adds the ids themselves.  Repeated rows give pieces of their own, null keys
+    stay, an empty table gives an empty result; keys have to be whole numbers, and other columns are not looked at.  A text is
+    encoded whole, one at a time, and its pieces are handed on as they come, so a very long one takes the memory of its ids.
     """
     ddl = PIECES
     schema = schema_of(ddl)
@@ -61,20 +67,31 @@ def pieces(docs: DataFrame, key: str, text: str, encoder=public_encoder, window:
         schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
         ddl += ", ids array<int>"
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(list(zip(*rows))[: len(PIECES.split(", "))], schema)]
+        if keep_ids:  # one flat array and where each piece ends in it
+            parts = [r[-1] for r in rows]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
+        held, tokens = [], 0
         for batch in batches:
-            out = []
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k, body in zip(batch.column(0), batch.column(1)):
                 ids = encode(body.as_py() or "")
                 ids.append(end_id)
                 ids = np.array(ids, dtype="<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
-                    row = (k, start, len(part), zlib.crc32(part.tobytes()), len(ids))
-                    out.append((*row, part.astype(np.int32)) if keep_ids else row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    held.append((k.as_py(), start, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32) if keep_ids else None))
+                    tokens += len(part)
+                    if tokens >= HELD:
+                        yield made(held)
+                        held, tokens = [], 0
+        if held:
+            yield made(held)
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, ddl)
 
@@ -150,10 +167,13 @@ def seats(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 def pack(cut: DataFrame, window: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces with the columns of ``pieces``.
 
+    Equal pieces (repeated rows) get places of their own, and an empty table gives an empty result.  Columns beside those of ``pieces``
+    and ``ids`` go along, but for ``__number``, sequence_id and offset, which are replaced.
+
     Pieces are numbered within their length; only the histogram of lengths, at most ``window`` numbers, comes to the driver,
     and the seats it plans go back.  Every piece then finds its window by its number alone, whatever the length of the list.
     """
-    cut = settle(cut)
+    cut = settle(cut.drop("__number", "sequence_id", "offset"))
     numbered = number_rows(cut, ["length"], ["key", "start", "ids_crc32", "doc_tokens"], "__number")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = seats(plan(histogram, window))

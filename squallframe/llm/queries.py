@@ -123,6 +123,8 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
         *[count(k) for k in pii.BASE],
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
+        pii.scores(F.col("found")).alias("scores"),
     )
 
 
