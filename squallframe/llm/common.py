@@ -14,6 +14,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_PATTERN = re.compile(WORD)
 
 
+TEXTS = 1000  # of a batch that goes to a Python worker at most
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session is told to hand Python workers at most ``TEXTS`` rows at a time.
+
+    Spark's own 10,000 texts, held on both sides, take a good part of a small executor.  The setting stays, as plans run
+    later; a lower one is kept.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= TEXTS:
+        conf.set(ARROW_ROWS, str(TEXTS))
+    return df
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

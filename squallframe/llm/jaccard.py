@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from squallframe.llm.common import components
+from squallframe.llm.common import components, short_batches
 from squallframe.llm.substrings import Powers, mixed, rolling
 from squallframe.session import settle
 
@@ -570,7 +570,7 @@ def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, perce
     order of shingles comes from a sketch of fixed size; a coarser one makes larger blocks, but any order finds all links.
     """
     spec = Spec(shingle, percent)
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    base = short_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     texts = base.select("text")
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     bits = max(16, min(MOST_CELLS, int(chars // 6).bit_length()))

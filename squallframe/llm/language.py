@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from squallframe.llm.common import short_batches
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SLICE = 1 << 20  # code points that are hashed at a time, so that memory is bounded for any text
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, sample_per_lang: int =
     where there are fewer): a documented bound, as a few million n-grams settle a language.  Tasks add up their counts in
     numpy and send one row per feature seen; the sums, at most languages x 2^bits numbers, make the matrix.
     """
-    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    labelled = short_batches(docs).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if len(langs) << bits > MOST_CELLS:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squallframe.llm.chats import schema_of
-from squallframe.llm.common import number_rows
+from squallframe.llm.common import number_rows, short_batches
 from squallframe.session import settle
 
 PIECES = "key long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, key: str, text: str, encoder=public_encoder, window:
         if held:
             yield made(held)
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, ddl)
+    return short_batches(docs).select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, ddl)
 
 
 @dataclass(frozen=True)
