@@ -6,10 +6,11 @@ models are applied as plain column expressions.  Tables that several fits read s
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -50,58 +51,83 @@ def balanced_fits(
 ) -> list[Model]:
     """L2 logistic fits with class weights n / (2 n_k), one for each (training rows or None for all, predictors).
 
-    Newton's method on all fits at once: a step is one aggregation over rows x fits, whose sums are combined before they are
-    shuffled; the driver solves a small system per fit.  The intercept is not penalised, so coefficients differ slightly
+    Newton's method on all fits at once: a step is one pass of ``newton_sums``, and the driver solves a small system per fit.  The intercept is not penalised, so coefficients differ slightly
     from solvers that do.  Fits that are not done after ``max_iter`` steps are an error.
     """
     names = list(dict.fromkeys(p for _, preds in fits for p in preds))
     parts = list({id(t): t for t, _ in fits}.values())
-    part_of = [next(i for i, t in enumerate(parts) if t is train) for train, _ in fits]
+    part_of = np.array([next(i for i, t in enumerate(parts) if t is train) for train, _ in fits])
     holds = F.array(*[F.lit(True) if t is None else F.coalesce(t, F.lit(False)) for t in parts])
-    x = [F.col(p).cast("double").alias(f"x{j + 1}") for j, p in enumerate(names)]
-    rows = df.where(F.col(event).isin(0, 1)).dropna(subset=names).select(F.col(event).cast("double").alias("_y"), *x, F.posexplode(holds).alias("part", "in")).where("in").drop("in")
-    sizes = {r["part"]: (r["n"], r["e"]) for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("e")).collect()}
-    weights = []
+    x = F.array(*[F.col(p).cast("double") for p in names])
+    rows = settle(df.where(F.col(event).isin(0, 1)).dropna(subset=names).select(F.col(event).cast("double").alias("y"), x.alias("x"), holds.alias("holds")))
+    inside = [F.sum(F.col("holds")[i].cast("long")).alias(f"n{i}") for i in range(len(parts))]
+    inside += [F.sum(F.when(F.col("holds")[i], F.col("y"))).alias(f"e{i}") for i in range(len(parts))]
+    sizes = rows.agg(*inside).first()
+    weights = np.zeros((len(parts), 2))
     for i in range(len(parts)):
-        n, e = sizes.get(i, (0, 0))
+        n, e = sizes[f"n{i}"] or 0, sizes[f"e{i}"] or 0
         if not e or e == n:
             raise ValueError("both classes are needed")
-        weights.append((n / (2.0 * e), n / (2.0 * (n - e))))
+        weights[i] = n / (2.0 * e), n / (2.0 * (n - e))
     k = len(names) + 1
     beta = np.zeros((len(fits), k))
     free = [np.array([0, *(1 + names.index(p) for p in preds)]) for _, preds in fits]
     ridge = np.diag([0.0] + [penalty] * (k - 1))
-    open_ = set(range(len(fits)))
+    open_ = list(range(len(fits)))
+    upper = np.triu_indices(k)
     for _ in range(max_iter):
-        own = [[f for f in open_ if part_of[f] == i] for i in range(len(parts))]
-        models = F.array(*[
-            F.array(*[F.struct(F.lit(f).alias("f"), *[F.lit(float(c)).alias(f"b{j}") for j, c in enumerate(beta[f])]) for f in group]).cast(
-                "array<struct<f:int," + ",".join(f"b{j}:double" for j in range(k)) + ">>"
-            )
-            for group in own
-        ])
-        wide = F.array(*[F.struct(*[F.lit(w).alias(c) for w, c in zip(ws, ("w1", "w0"), strict=True)]) for ws in weights])
-        each = rows.select("*", F.inline(models[F.col("part")])).withColumn("_w", F.when(F.col("_y") == 1, wide[F.col("part")]["w1"]).otherwise(wide[F.col("part")]["w0"]))
-        xs = [F.lit(1.0), *[F.col(f"x{j}") for j in range(1, k)]]
-        eta = sum((F.col(f"b{j}") * xs[j] for j in range(1, k)), F.col("b0"))
-        each = each.withColumn("_p", logistic(eta)).withColumn("_g", F.col("_w") * (F.col("_p") - F.col("_y"))).withColumn("_h", F.col("_w") * F.col("_p") * (1 - F.col("_p")))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = each.groupBy("f").agg(*[F.sum(F.col("_g") * xs[j]).alias(f"g{j}") for j in range(k)], *[F.sum(F.col("_h") * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in pairs])
-        for r in sums.collect():  # a row per fit
-            f, hess = r["f"], ridge.copy()
-            for i, j in pairs:
-                hess[i, j] += r[f"h{i}_{j}"]
-                hess[j, i] = hess[i, j]
-            grad = np.array([r[f"g{j}"] for j in range(k)]) + ridge @ beta[f]
+        sums = newton_sums(rows, beta[open_], part_of[open_], weights)
+        left = []
+        for f, own in zip(open_, sums):
+            hess = ridge.copy()
+            hess[upper] += own[k:]
+            hess.T[upper] = hess[upper]
+            grad = own[:k] + ridge @ beta[f]
             step = np.linalg.solve(hess[np.ix_(free[f], free[f])], grad[free[f]])
             beta[f][free[f]] -= step
-            if np.abs(step).max() < tol * max(1.0, np.abs(beta[f]).max()):
-                open_.discard(f)
+            if not np.abs(step).max() < tol * max(1.0, np.abs(beta[f]).max()):
+                left.append(f)
+        open_ = left
         if not open_:
             return [Model(tuple(preds), tuple(float(beta[f][1 + names.index(p)]) for p in preds), float(beta[f][0])) for f, (_, preds) in enumerate(fits)]
     raise RuntimeError(f"{len(open_)} logistic fits did not converge in {max_iter} iterations")
 
 
+CELLS = 1 << 20  # rows x fits that are held at a time
+
+
+def newton_sums(rows: DataFrame, beta: np.ndarray, part_of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row per fit: X'W(p - y), then the upper triangle of X'WP(1 - p)X, over the rows (y, x, holds) of the fit's part.
+
+    A batch is one matrix X; the probabilities of all fits are one product with their coefficients, and so are the sums,
+    so no row is repeated for a fit.  Tasks send a number per fit and coefficient pair, which Spark adds up.
+    """
+    k = beta.shape[1]
+    pairs = np.triu_indices(k)
+    width = k + len(pairs[0])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(beta), width))
+        for batch in batches:
+            step = max(1, CELLS // len(beta))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                y = part.column("y").to_numpy()
+                x = np.column_stack([np.ones(len(y)), part.column("x").flatten().to_numpy().reshape(len(y), -1)])
+                inside = part.column("holds").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+                w = np.where(inside, np.where(y[:, None] == 1, weights[:, 0], weights[:, 1]), 0.0)[:, part_of]
+                p = 0.5 * (1.0 + np.tanh(0.5 * (x @ beta.T)))
+                total[:, :k] += (w * (p - y[:, None])).T @ x
+                total[:, k:] += (w * p * (1.0 - p)).T @ (x[:, pairs[0]] * x[:, pairs[1]])
+        fit, at = np.divmod(np.arange(total.size), width)
+        yield pa.RecordBatch.from_arrays([pa.array(fit, pa.int32()), pa.array(at, pa.int32()), pa.array(total.ravel())], names=["fit", "at", "v"])
+
+    out = np.zeros((len(beta), width))
+    for r in rows.mapInArrow(add, "fit int, at int, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).collect():
+        out[r["fit"], r["at"]] = r["v"]
+    return out
+
+
 def balanced_fit(df: DataFrame, predictors: Sequence[str], event: str, penalty: float = 1.0, max_iter: int = 1000) -> Model:
     """One of ``balanced_fits``, on all rows."""
     return balanced_fits(df, event, [(None, predictors)], penalty, max_iter)[0]
@@ -286,14 +312,6 @@ def scaled(df: DataFrame, predictors: Sequence[str], how: str = "minmax") -> Dat
     return out.withColumns({p: (F.col(p) - F.col(f"_c_{p}")) / F.nullif(width[p], F.lit(0.0)) for p in predictors}).select(*df.columns)
 
 
-def clipped(df: DataFrame, predictors: Sequence[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Values outside each predictor's percentiles are moved to them."""
-    q = quantiles(K.to_long(df, predictors, []), ["param"], "value", {"a": low, "t": high})
-    one = q.agg(*[F.max(F.when(F.col("param") == p, F.col(n))).alias(f"_{n}_{p}") for p in predictors for n in ("a", "t")])
-    out = df.crossJoin(F.broadcast(one))  # one row
-    return out.withColumns({p: F.greatest(F.least(F.col(p).cast("double"), F.col(f"_t_{p}")), F.col(f"_a_{p}")) for p in predictors}).select(*df.columns)
-
-
 def recursive_elimination(
     df: DataFrame, predictors: Sequence[str], event: str, keep: int = 1, how: str = "minmax", unique: str | None = None, folds: int = 5
 ) -> list[dict]:

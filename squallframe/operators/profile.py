@@ -132,7 +132,8 @@ def lapse_rate_height(t: str, bottom, top) -> Column:
 
 
 def lapse_rate_pressure(t: str, z: str, bottom, top) -> Column:
-    return -(at_pressure(t, top) - at_pressure(t, bottom)) / ((at_pressure(z, top) - at_pressure(z, bottom)) / 1000.0)
+    depth = (at_pressure(z, top) - at_pressure(z, bottom)) / 1000.0
+    return -(at_pressure(t, top) - at_pressure(t, bottom)) / F.nullif(depth, F.lit(0.0))
 
 
 def storm_motion(u: str, v: str, top: float = 6000.0) -> dict[str, Column]:

@@ -6,6 +6,7 @@ those counts; nothing is repeated per threshold.
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -376,32 +377,75 @@ def bootstrap_pod_bounds(
     return pod.groupBy("param").agg(F.percentile("pod", F.lit(low)).alias("lower"), F.percentile("pod", F.lit(high)).alias("upper"))
 
 
-def bootstrap_auc(df: DataFrame, unique: str, params: Sequence[str], event: str, n_rep: int, low: float = 0.005, high: float = 0.995, seed: str = "k8") -> DataFrame:
-    """AUC bounds over whole-sample resamples.
+STRETCH = 4096  # rows of a block of values, about
 
-    Rows count by where they stand among the distinct values that events have: with one of them or between two.  Order among
-    others between the same two does not change the AUC, so a replicate sorts no more than these places.
+
+def draws_below(series: str, n: int, places: Sequence[int], n_rep: int) -> np.ndarray:
+    """places x replicates: how many of n draws with replacement from the positions 0 to n - 1 fall below each place.
+
+    The draws come down a binary tree: those of a stretch of positions split binomially between its halves, all replicates at once.
+    A node's numbers come from a hash of the series and the stretch, so whoever asks for a place, and however often, sees the
+    same draws, and no draw is made by itself.
     """
-    numbered = row_numbers(df, [], unique, "_pos").select("_pos", *params, F.col(event).alias("event"))
-    long = settle(to_long(numbered, params, ["_pos", "event"]))
-    marks = long.groupBy("param", "value").agg(F.max("event").cast("long").alias("n"))
-    marks = running_counts(marks, ["param"], "value", ("n",)).select("param", "value", (2 * F.col("n_lt") + F.col("n")).cast("double").alias("_place"))
-    placed = long.join(marks, ["param", "value"]).groupBy("_pos").agg(F.max("event").alias("event"), *[F.max(F.when(F.col("param") == p, F.col("_place"))).alias(p) for p in params])
-    placed = settle(placed)  # small when draws meet it
-    size = df.agg(F.count(F.lit(1)).alias("_n"))
-    reps = df.sparkSession.range(n_rep).select(F.col("id").cast("int").alias("rep")).withColumn("_start", lot(seed, "rep")).crossJoin(F.broadcast(size))  # one row
-    # a draw repeats rows, so carry a count instead of the repeats
-    times = counted(reps, ["rep"], "_start", "_n").select("rep", (F.col("pos") + 1).alias("_pos"), "times")
-    sample = times.join(placed, "_pos")
-    long = to_long(sample, params, ["rep", "event", "times"])
-    vc = long.groupBy("rep", "param", "value").agg(F.sum("times").alias("n"), F.sum(F.col("event") * F.col("times")).alias("e"))
-    rc = running_counts(vc, ["rep", "param"], "value", ("n",))
-    rank = F.col("n_lt") + (F.col("n") + 1) / 2.0
-    g = rc.groupBy("rep", "param").agg(F.sum(F.col("e") * rank).alias("r"), F.sum("e").alias("n1"), F.sum(F.col("n") - F.col("e")).alias("n0"))
-    area = (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0) / F.nullif((F.col("n1") * F.col("n0")).cast("double"), F.lit(0.0))
-    return g.withColumn("auc", area).groupBy("param").agg(
-        F.percentile("auc", F.lit(low)).alias("lower"), F.percentile("auc", F.lit(high)).alias("upper")
-    )
+    out = np.zeros((len(places), n_rep), np.int64)
+
+    def down(lo, hi, draws, before, asked):
+        for i in asked:
+            if places[i] >= hi:
+                out[i] = before + draws
+            elif places[i] <= lo:
+                out[i] = before
+        asked = [i for i in asked if lo < places[i] < hi]
+        if asked:
+            middle = (lo + hi) // 2
+            number = int.from_bytes(hashlib.md5(f"{series}:{lo}:{hi}".encode()).digest(), "little")
+            left = np.random.Generator(np.random.Philox(number)).binomial(draws, (middle - lo) / (hi - lo))
+            down(lo, middle, left, before, [i for i in asked if places[i] <= middle])
+            down(middle, hi, draws - left, before + left, [i for i in asked if places[i] > middle])
+
+    down(0, n, np.full(n_rep, n, np.int64), np.zeros(n_rep, np.int64), range(len(places)))
+    return out
+
+
+def drawn_areas(series: str, total: int, start: int, n: np.ndarray, e: np.ndarray, n_rep: int, some: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a block of ascending values with n rows and e events each, whose rows stand from ``start`` on in the order of values:
+    events and others that each replicate draws, and the pairs of them within the block that stand in order, ties half."""
+    below = draws_below(series, total, [start, start + int(n.sum())], n_rep)
+    shares = np.concatenate([e, n - e]) / n.sum()
+    number = int.from_bytes(hashlib.md5(f"{series}:{start}:rows".encode()).digest(), "little")
+    rng = np.random.Generator(np.random.Philox(number))
+    out = []
+    for at in range(0, n_rep, some):
+        drawn = rng.multinomial((below[1] - below[0])[at : at + some], shares)
+        events, others = drawn[:, : len(n)], drawn[:, len(n) :]
+        area = (events * (np.cumsum(others, axis=1) - others / 2.0)).sum(axis=1)
+        out.append((events.sum(axis=1), others.sum(axis=1), area))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def bootstrap_auc(df: DataFrame, params: Sequence[str], event: str, n_rep: int, low: float = 0.005, high: float = 0.995, seed: str = "k8") -> DataFrame:
+    """AUC bounds over whole-sample resamples, for each parameter by itself.
+
+    Rows count by value.  A replicate's draws come down a binary tree over the rows in order of value to blocks of values, and
+    within a block to the values at once, so work goes with replicates x distinct values and a row per block and replicate is all
+    that is moved; no draw becomes a row.  A replicate without events or without others has no AUC.
+    """
+    values = to_long(df, params, [event]).groupBy("param", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e"))
+    placed = running_counts(values, ["param"], "value", ("n",)).withColumn("block", F.floor(F.col("n_lt") / STRETCH))
+
+    def draw(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("value")
+        first = block.iloc[0]
+        e, o, area = drawn_areas(f"{seed}:{key[0]}", int(first["n_total"]), int(first["n_lt"]), block["n"].to_numpy(), block["e"].to_numpy(), n_rep)
+        return pd.DataFrame({"param": key[0], "block": key[1], "rep": np.arange(n_rep), "e": e, "o": o, "area": area})
+
+    kinds = "param string, block long, rep int, e long, o long, area double"
+    drawn = placed.select("param", "block", "value", "n", "e", "n_lt", "n_total").groupBy("param", "block").applyInPandas(draw, kinds)
+    before = Window.partitionBy("param", "rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("area", F.col("area") + F.col("e") * F.coalesce(F.sum("o").over(before), F.lit(0)))
+    g = drawn.groupBy("param", "rep").agg(F.sum("area").alias("area"), F.sum("e").alias("e"), F.sum("o").alias("o"))
+    g = g.withColumn("auc", _ratio(F.col("area"), F.col("e").cast("double") * F.col("o")))
+    return g.groupBy("param").agg(F.percentile("auc", F.lit(low)).alias("lower"), F.percentile("auc", F.lit(high)).alias("upper"))
 
 
 def conditional_grid_search(

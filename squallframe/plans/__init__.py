@@ -9,6 +9,7 @@ FAMILIES = [
     "resample",
     "indices",
     "profile",
+    "diagnostics",
     "skill",
     "mapping",
     "trends",

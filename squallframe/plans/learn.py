@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from squallframe.functions import composites as X
 from squallframe.operators import learn as L
+from squallframe.operators.cleaning import clip_to_percentiles
 from squallframe.plans.registry import query, r6, sql
 from squallframe.plans.skill import PARAMS, SCORES, _events, events_cte
 from squallframe.refs import literal_table
@@ -124,19 +125,16 @@ def _(t):
 SUBSETS = [c for n in range(2, len(PARAMS) + 1) for c in itertools.combinations(PARAMS, n)]
 
 
-SUBSET_SPLITS = 1  # of the SQL twin alone; the query averages all SPLITS
-
-
-@query("predictor_subset_search", "L5", sql("v_obs v_points", f"""{events_cte()}, {split_ctes(SUBSET_SPLITS, '0.8E0')},
+@query("predictor_subset_search", "L5", sql("v_obs v_points", f"""{events_cte()}, {split_ctes(SPLITS, '0.8E0')},
 sub AS ({' UNION ALL '.join(f"SELECT {i} AS sub, '{' '.join(c)}' AS predictors, {', '.join(f'{int(p in c)} AS m_{p}' for p in PARAMS)}" for i, c in enumerate(SUBSETS))}),
-ft AS MATERIALIZED (SELECT sub * {SUBSET_SPLITS} + part AS f, sub.*, part FROM sub CROSS JOIN RANGE({SUBSET_SPLITS}) r(part)),
+ft AS MATERIALIZED (SELECT sub * {SPLITS} + part AS f, sub.*, part FROM sub CROSS JOIN RANGE({SPLITS}) r(part)),
 {newton_ctes('trn', 'ft')}, prob AS (SELECT g.predictors, s.part, {probability_sql()} AS v, y FROM spl s JOIN ft g USING (part) JOIN fit b USING (f) WHERE NOT train), {split_score_ctes('predictors, part')}
-SELECT predictors, {', '.join(f"ROUND(AVG(CASE WHEN name = '{n}' THEN {v} END), 5) AS {n}{t}" for n in ('hss', 'pss') for v, t in (('score', ''), ('threshold', '_thresh')))} FROM hs GROUP BY 1"""))
+SELECT predictors, {', '.join(f"ROUND(AVG(CASE WHEN name = '{n}' THEN {v} END), {d}) AS {n}{t}" for n in ('hss', 'pss') for v, t, d in (('score', '', 5), ('threshold', '_thresh', 6)))} FROM hs GROUP BY 1"""))
 def _(t):
     rows = _rows(t)
     splits = L.stratified_splits(rows, "event_id", "is_sta", SPLITS)
     out = L.subset_search(rows, "event_id", PARAMS, "is_sta", splits, range(2, len(PARAMS) + 1))
-    return out.select("predictors", *[r6(c, 5).alias(c) for c in ("hss", "pss", "hss_thresh", "pss_thresh")])
+    return out.select("predictors", *[r6(c, 5).alias(c) for c in ("hss", "pss")], *[r6(c).alias(c) for c in ("hss_thresh", "pss_thresh")])
 
 
 @query("forward_selection", "L6")
@@ -158,7 +156,7 @@ def _(t):
 
 @query("recursive_elimination", "L7")
 def _(t):
-    rounds = L.recursive_elimination(L.clipped(_rows(t), PARAMS), PARAMS, "is_sta", unique="event_id")
+    rounds = L.recursive_elimination(settle(clip_to_percentiles(_rows(t), PARAMS)), PARAMS, "is_sta", unique="event_id")
     rows = [(r["round"], r["removed"], None if r["coef"] is None else round(r["coef"], 6), r["predictors"], round(r["auc"], 6), r["best"]) for r in rounds]
     return t.spark.createDataFrame(rows, "round int, removed string, coef double, predictors string, auc double, best boolean")
 

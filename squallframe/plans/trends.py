@@ -30,6 +30,20 @@ pp AS (SELECT {k}, AVG(CASE WHEN ROUND((rsb.r - mean_b) - (rsa.r - mean_a), 9) >
 tst AS (SELECT {k}, mean_a, mean_b, 2 * LEAST(up, low) AS p FROM bs LEFT JOIN pp USING ({k}))"""
 
 
+def flag_test_ctes(src, keys, flag, reps, seed="n2"):
+    """CTEs ending in ftst(keys, p): as ``mean_test_ctes`` for a 0/1 flag, whose ones own the first positions of their side."""
+    k = ", ".join(keys)
+    sides = []
+    for s in "ab":
+        starts = f"(SELECT n, rep, {lot_sql(f"'{seed}-{s}:' || rep")} AS st FROM (SELECT DISTINCT n FROM y{s}) CROSS JOIN RANGE({reps}) r(rep))"
+        sides.append(f"""y{s} AS MATERIALIZED (SELECT {k}, COUNT(*) AS n, SUM({flag}) AS y FROM {src} WHERE half = '{s}' GROUP BY {k}),
+p{s} AS MATERIALIZED ({pick_sql(f"(SELECT n, rep, st, UNNEST(RANGE(n)) AS k FROM {starts})", 'st', 'k', 'n', 'pos', 'n, rep')}),
+q{s} AS MATERIALIZED (SELECT n, y, rep, SUM(CASE WHEN pos < y THEN 1E0 ELSE 0E0 END) / n AS r FROM (SELECT DISTINCT n, y FROM y{s}) JOIN p{s} USING (n) GROUP BY n, y, rep)""")
+    up, low = (f"AVG(CASE WHEN ROUND((b.r - yb.y / yb.n::DOUBLE) - (a.r - ya.y / ya.n::DOUBLE), 9) {op} ROUND(yb.y / yb.n::DOUBLE - ya.y / ya.n::DOUBLE, 9) THEN 1E0 ELSE 0E0 END)" for op in (">=", "<="))
+    return f"""{', '.join(sides)},
+ftst AS (SELECT {k}, 2 * LEAST({up}, {low}) AS p FROM ya JOIN yb USING ({k}) JOIN qa a ON a.n = ya.n AND a.y = ya.y JOIN qb b ON b.n = yb.n AND b.y = yb.y AND b.rep = a.rep GROUP BY {k})"""
+
+
 HALF = "CASE WHEN YEAR({t}) BETWEEN 1995 AND 1997 THEN 'a' WHEN YEAR({t}) BETWEEN 1998 AND 2000 THEN 'b' END"
 A, B = (1995, 1997), (1998, 2000)
 
@@ -53,8 +67,8 @@ d AS (SELECT model, CAST(time AS DATE) AS day, AVG(v) AS v FROM v_field GROUP BY
 s AS (SELECT model, season, day, v, {HALF.format(t='day')} AS half FROM d JOIN sv ON sv.month = MONTH(day) WHERE YEAR(day) BETWEEN 1995 AND 2000),
 y AS (SELECT model, season, half, YEAR(day) AS y, SUM(CASE WHEN v >= 30 THEN 1 ELSE 0 END) AS dd FROM s GROUP BY 1, 2, 3, 4),
 c AS (SELECT model, season, AVG(CASE WHEN half = 'b' THEN dd END) - AVG(CASE WHEN half = 'a' THEN dd END) AS strong_change FROM y GROUP BY 1, 2),
-{mean_test_ctes('s', ['model', 'season'], 'day', 'v', 200)}
-SELECT model, season, ROUND(mean_b - mean_a, 6) AS mean_change, ROUND(strong_change, 6) AS strong_change, ROUND(p, 6) AS p FROM tst JOIN c USING (model, season)"""))
+{mean_test_ctes('s', ['model', 'season'], 'day', 'v', 1000)}, {flag_test_ctes('s', ['model', 'season'], 'CASE WHEN v >= 30 THEN 1 ELSE 0 END', 10000)}
+SELECT model, season, ROUND(mean_b - mean_a, 6) AS mean_change, ROUND(strong_change, 6) AS strong_change, ROUND(tst.p, 6) AS p, ROUND(ftst.p, 6) AS strong_p FROM tst JOIN c USING (model, season) LEFT JOIN ftst USING (model, season)"""))
 def _(t):
     days = daily(t.field, ["model"], "time", {"v": F.avg("v")}).withColumn("o", F.unix_date("day"))
     out = N.trend_table(days, "model", "day", "v", 30.0, A, B, 1000, "o", 10000)

@@ -80,21 +80,48 @@ def twin_rows(text):
     return con.execute(text).fetchall()
 
 
-def test_auc_bounds_from_places_equal_those_from_values(spark):
-    """Ties, several events on one value, and a null; against every replicate by hand."""
+def test_draws_of_a_tree_are_a_resample():
+    """Whoever asks for whichever places sees the same draws, and counts are multinomial."""
     from squallframe.operators import skill as K
 
-    rows = [(i, v, float(i % 4), e) for i, (v, e) in enumerate([(1.0, 0), (2.0, 1), (2.0, 0), (3.0, 1), (None, 1), (0.5, 0), (2.5, 0), (2.6, 0), (2.0, 1), (9.0, 0)] * 3)]
-    df = spark.createDataFrame(rows, "id long, a double, b double, e int")
-    got = {r["param"]: (r["lower"], r["upper"]) for r in K.bootstrap_auc(df, "id", ["a", "b"], "e", 200).collect()}
-    starts = [r[0] for r in spark.range(200).select(K.lot("k8", F.col("id").cast("int"))).collect()]
-    for c, name in ((1, "a"), (2, "b")):
+    places = [0, 3, 10, 11, 40, 100]
+    below = K.draws_below("t", 100, places, 4000)
+    assert (below[0] == 0).all() and (below[-1] == 100).all() and (np.diff(below, axis=0) >= 0).all()
+    for i, p in enumerate(places):
+        assert (K.draws_below("t", 100, [p], 4000)[0] == below[i]).all()
+        share = p / 100
+        assert below[i].mean() == pytest.approx(100 * share, abs=0.5) and below[i].std() == pytest.approx(np.sqrt(100 * share * (1 - share)), abs=0.3)
+    # counts of two stretches that don't meet are correlated as those of one resample
+    a, b = below[1], below[3] - below[2]
+    assert np.cov(a, b)[0, 1] == pytest.approx(-100 * 0.03 * 0.01, abs=0.1)
+
+
+@pytest.mark.parametrize("stretch", [3, 4096])
+def test_auc_bounds_equal_plain_resampling(spark, monkeypatch, stretch):
+    """Ties, several events on one value, and a null; in distribution, with values in one block and in many."""
+    from squallframe.operators import skill as K
+
+    monkeypatch.setattr(K, "STRETCH", stretch)
+    rows = [(v, float(i % 4), e) for i, (v, e) in enumerate([(1.0, 0), (2.0, 1), (2.0, 0), (3.0, 1), (None, 1), (0.5, 0), (2.5, 0), (2.6, 0), (2.0, 1), (9.0, 0)] * 6)]
+    df = spark.createDataFrame(rows, "a double, b double, e int")
+    got = {r["param"]: (r["lower"], r["upper"]) for r in K.bootstrap_auc(df, ["a", "b"], "e", 4000, 0.1, 0.9).collect()}
+    rng = np.random.default_rng(0)
+    for c, name in ((0, "a"), (1, "b")):
+        have = np.array([(r[c], r[2]) for r in rows if r[c] is not None])
         areas = []
-        for s in starts:
-            took = [rows[i] for i in picks(s, np.arange(len(rows)), len(rows)) if rows[i][c] is not None]
-            yes, no = ([r[c] for r in took if r[3] == e] for e in (1, 0))
-            areas.append(np.mean([(x > y) + (x == y) / 2 for x in yes for y in no]))
-        assert got[name] == pytest.approx((np.percentile(areas, 0.5), np.percentile(areas, 99.5)))
+        for _ in range(4000):
+            took = have[rng.integers(0, len(have), len(have))]
+            yes, no = took[took[:, 1] == 1, 0], took[took[:, 1] == 0, 0]
+            areas.append(((yes[:, None] > no) + (yes[:, None] == no) / 2).mean())
+        assert got[name] == pytest.approx(np.quantile(areas, [0.1, 0.9]), abs=0.012)
+
+
+def test_auc_needs_both_classes(spark):
+    from squallframe.operators import skill as K
+
+    df = spark.createDataFrame([(1.0, 0), (2.0, 0)], "a double, e int")
+    assert [tuple(r) for r in K.bootstrap_auc(df, ["a"], "e", 20).collect()] == [("a", None, None)]
+    assert K.bootstrap_auc(df.limit(0), ["a"], "e", 20).count() == 0
 
 
 @tables
@@ -102,7 +129,24 @@ def test_auc_bounds_draw_a_thousand_replicates(spark, monkeypatch):
     from squallframe.operators import skill as K
 
     args, _ = asked(monkeypatch, spark, K, "bootstrap_auc", "bootstrap_auc_bounds")
-    assert args[4] == 1000
+    assert args[3] == 1000
+
+
+def test_many_fits_equal_fits_one_by_one(spark):
+    from squallframe.operators import learn as L
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 3)) * [1, 5, 0.2] + [0, 3, 0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -0.4, 3.0] + 1)))).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(e)) for i, (r, e) in enumerate(zip(x, y))], "id int, a double, b double, c double, e int").repartition(5)
+    odd, asked_ = F.col("id") % 2 == 1, [("a",), ("a", "b"), ("c", "b", "a")]
+    fits = L.balanced_fits(df, "e", [(t, p) for t in (None, odd) for p in asked_])
+    for m, (part, names) in zip(fits, [(t, p) for t in (np.ones(400, bool), np.arange(400) % 2 == 1) for p in asked_]):
+        own, e = np.column_stack([x[part][:, ["abc".index(p)]] for p in names]), y[part]
+        w = np.where(e == 1, len(e) / (2 * e.sum()), len(e) / (2 * (len(e) - e.sum())))
+        p = 1 / (1 + np.exp(-(own @ np.array(m.coefs) + m.intercept)))
+        slope = np.column_stack([np.ones(len(e)), own]).T @ (w * (p - e)) + np.array([0.0, *m.coefs])
+        assert np.abs(slope).max() < 1e-7  # the gradient of the penalised likelihood vanishes
 
 
 @tables
@@ -127,6 +171,6 @@ def test_sweeps_go_over_a_thousand_thresholds(spark, name, modes):
 @tables
 def test_elimination_asks_for_the_folds(spark, monkeypatch):
     rounds = [{"round": 1, "removed": "s06", "coef": 0.25, "predictors": "s06 dcape", "auc": 0.75, "best": False}, {"round": 2, "removed": None, "coef": None, "predictors": "dcape", "auc": 0.8, "best": True}]
-    monkeypatch.setattr(L, "clipped", lambda rows, params: rows)
+    monkeypatch.setattr(PL, "clip_to_percentiles", lambda rows, params: rows)
     monkeypatch.setattr(L, "recursive_elimination", lambda *args, unique=None, **more: rounds if unique == "event_id" else [])
     assert [r.asDict() for r in entry.queries()["recursive_elimination"](spark, FOLDER).collect()] == rounds
