@@ -89,6 +89,7 @@ def balanced_fits(
                 left.append(f)
         open_ = left
         if not open_:
+            beta = np.array([[float(f"{b:.12g}") for b in own] for own in beta])  # digits beyond follow the order of sums
             return [Model(tuple(preds), tuple(float(beta[f][1 + names.index(p)]) for p in preds), float(beta[f][0])) for f, (_, preds) in enumerate(fits)]
     raise RuntimeError(f"{len(open_)} logistic fits did not converge in {max_iter} iterations")
 
@@ -123,7 +124,9 @@ def newton_sums(rows: DataFrame, beta: np.ndarray, part_of: np.ndarray, weights:
         yield pa.RecordBatch.from_arrays([pa.array(fit, pa.int32()), pa.array(at, pa.int32()), pa.array(total.ravel())], names=["fit", "at", "v"])
 
     out = np.zeros((len(beta), width))
-    for r in rows.mapInArrow(add, "fit int, at int, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).collect():
+    # a number per task, added in order of size, so that a rerun gives the same bits
+    ordered = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda a, v: a + v)
+    for r in rows.mapInArrow(add, "fit int, at int, v double").groupBy("fit", "at").agg(ordered.alias("v")).collect():
         out[r["fit"], r["at"]] = r["v"]
     return out
 
