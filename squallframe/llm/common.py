@@ -84,13 +84,12 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) ->
 def components(links: DataFrame) -> DataFrame:
     """Smallest member of each node's component: (node, root) for every node that has a link in (a, b).
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until no link changes.  A step groups by node
-    with a plain minimum, so nothing of a component is gathered in one place; each step is a written table.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until every component is a star around its smallest
+    member, which one count by node shows.  A step groups by node with a plain minimum, so nothing of a component is gathered
+    in one place; each step is a written table.
     """
-    edges = links.where("a <> b").selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo").distinct()
-    edges = settle(edges)
-    seen = None
-    while True:
+    edges = settle(links.where("a <> b").selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo").distinct())
+    while not _stars(edges):
         both = edges.selectExpr("hi AS u", "lo AS v").unionAll(edges.selectExpr("lo AS u", "hi AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.where("v > u").join(least, "u").selectExpr("v AS hi", "m AS lo").where("hi <> lo").distinct()
@@ -99,7 +98,27 @@ def components(links: DataFrame) -> DataFrame:
         edges = settle(
             small.selectExpr("hi", "m AS lo").unionAll(small.where("lo <> m").selectExpr("lo AS hi", "m AS lo")).where("hi <> lo").distinct()
         )
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.selectExpr("hi AS node", "lo AS root").unionAll(edges.selectExpr("lo AS node", "lo AS root").distinct())
-        seen = now
+    return edges.selectExpr("hi AS node", "lo AS root").unionAll(edges.selectExpr("lo AS node", "lo AS root").distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or both a smaller and a larger one."""
+    ends = edges.selectExpr("hi AS u", "1 AS up", "0 AS down").unionAll(edges.selectExpr("lo AS u", "0 AS up", "1 AS down"))
+    of_node = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not of_node.agg(F.max(F.expr("up > 1 OR (up = 1 AND down = 1)"))).first()[0]
+
+
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of what ``roots`` (node, root) connects already and of further links (a, b).
+
+    Only the roots at the ends of the further links meet, so the work goes with those.
+    """
+
+    def lifted(df: DataFrame, of: str) -> DataFrame:
+        r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+        return df.join(r, F.col(of) == F.col("__node"), "left").withColumn(of, F.coalesce("__root", of)).drop("__node", "__root")
+
+    more = settle(components(lifted(lifted(links.select("a", "b"), "a"), "b")))
+    above = more.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    moved = roots.join(above, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    return settle(moved.unionAll(more.join(roots, "node", "left_anti").select("node", "root")))

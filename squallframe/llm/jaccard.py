@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from squallframe.llm.common import components, short_batches
+from squallframe.llm.common import components, joined_components, short_batches
 from squallframe.llm.substrings import Powers, mixed, rolling
 from squallframe.session import settle
 
@@ -537,23 +537,24 @@ def blocks_between(named: DataFrame) -> DataFrame:
     return cells.join(named.select("id", "n", "root", "bits"), "id")
 
 
-def remaining_links(texts: DataFrame, found: DataFrame, links: DataFrame, spec: Spec) -> DataFrame:
-    """All links between sets that ``links`` don't connect yet, except those that would connect what others of them connect.
+def connected(texts: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
+    """(node, root) of all sets that links connect; a set without a link may be left out.
 
-    Blocks of sets that share a rare shingle meet in signature trees.  A first pass verifies one pair for any two components that meet,
-    which joins the parts of large groups of near copies at a cost in proportion to the parts; a second one verifies all
-    pairs of what is still apart.
+    What ``first_links`` finds connects most.  Then blocks of sets that share a rare shingle meet in signature trees: a first pass
+    verifies one pair for any two components that meet, which joins the parts of large groups of near copies at a cost
+    in proportion to the parts; a second one verifies all pairs of what is still apart.
     """
+    roots = settle(components(first_links(texts, found, spec)))
     light = found.select("id", "n", "tokens", "bits")
     for one_of_each in (True, False):
-        named = settle(rooted(light, components(links), "id", "root").withColumn("root", F.xxhash64("root")))
+        named = settle(rooted(light, roots, "id", "root").withColumn("root", F.xxhash64("root")))
         pairs = settle(block_pairs(blocks_between(named), spec, one_of_each))
         if pairs.isEmpty():
             break
         ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = settle(found.select("id", "text").join(ids, "id").select("text"))
-        links = links.unionAll(verified(sets_of(texts, wanted, spec), pairs, spec))
-    return links
+        roots = joined_components(roots, verified(sets_of(texts, wanted, spec), pairs, spec))
+    return roots
 
 
 def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -576,7 +577,7 @@ def link_documents(docs: DataFrame, key: str, text: str, shingle: int = 4, perce
     bits = max(16, min(MOST_CELLS, int(chars // 6).bit_length()))
     own, rare = identify(base, spec, bits)
     found = candidates(texts, rare, bits, spec)
-    roots = components(remaining_links(texts, found, first_links(texts, found, spec), spec))
+    roots = connected(texts, found, spec)
     classes = own.where("n > 0").groupBy("id").agg(F.min("key").alias("least"))
     classes = rooted(classes, roots, "id", "component")
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
