@@ -15,6 +15,7 @@ FAMILIES = [
     "trends",
     "space",
     "learn",
+    "streaming",
 ]
 
 
