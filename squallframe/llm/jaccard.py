@@ -79,7 +79,7 @@ def place(values: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
 
 def gathered(parts: DataFrame, bits: int, dtype, add, finish, out) -> np.ndarray:
     """Merge slices (slice, cells) that tasks have sent: slices of one place are added up as they stream by, and the finished
-    ones, 2^bits numbers of type ``out`` at most, make one array."""
+    ones, 2^bits numbers of type ``out`` at most, make one array.  Their bound is that of the broadcast, so one job fetches them."""
     step = min(16, bits)
     schema = pa.schema([("slice", pa.int32()), ("cells", pa.binary())])
 
@@ -104,7 +104,7 @@ def gathered(parts: DataFrame, bits: int, dtype, add, finish, out) -> np.ndarray
     merged = np.zeros((1 << bits) if out != np.bool_ else (1 << bits) // 8, np.uint8)
     size = len(merged) >> (bits - step)
     rows = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, cells binary")
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         merged[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["cells"]), np.uint8)
     return merged
 
