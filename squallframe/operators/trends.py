@@ -215,8 +215,10 @@ def welch(groups: DataFrame, keys: Sequence[str], value: str, side: str, pooled:
     """Mean difference b - a with t, degrees of freedom and p; unequal variances unless ``pooled``."""
     of = lambda s, f: f(F.when(F.col(side) == s, F.col(value).cast("double")))
     g = groups.groupBy(*keys).agg(
-        *[of(s, f).alias(f"{n}{s}") for s in "ab" for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
+        *[of(s, f).alias(f"{n}{s}") for s in "ab" for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count), ("lo", F.min), ("hi", F.max))]
     )
+    # merging partial variances of equal values can leave a trace above zero
+    g = g.withColumns({f"v{s}": F.when((F.col(f"n{s}") > 1) & (F.col(f"lo{s}") == F.col(f"hi{s}")), 0.0).otherwise(F.col(f"v{s}")) for s in "ab"})
     va, vb = _ratio(F.col("va"), F.col("na").cast("double")), _ratio(F.col("vb"), F.col("nb").cast("double"))
     if pooled:
         dof = F.col("na") + F.col("nb") - 2.0

@@ -228,6 +228,14 @@ def test_thermodynamics(spark):
     assert one(spark, T.theta_v_k(F.lit(290.0), F.lit(90000.0), F.lit(1200.0))) > one(spark, T.theta_k(F.lit(290.0), F.lit(90000.0)))
 
 
+def test_welch_of_equal_values_in_partitions(spark):
+    # partial variances of 49 ones each used to merge to more than zero, so that t was 0 and p 1 in place of null
+    ones = spark.range(0, 49 * 6, 1, 6).select(F.lit("k").alias("k"), F.lit(1.0).alias("n"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("side"))
+    skewed = spark.range(0, 49 * 6, 1, 6).select(F.lit("m").alias("k"), F.lit(1.0).alias("n"), F.lit("a").alias("side"))
+    both = ones.unionByName(skewed).unionByName(skewed.withColumn("side", F.lit("b")))
+    assert [(r["t"], r["dof"], r["p"]) for r in N.welch(both, ["k"], "n", "side").collect()] == [(None, None, None)] * 2
+
+
 def test_welch_needs_two_rows_a_side(spark):
     df = spark.createDataFrame([("x", "a", 1.0), ("x", "b", 2.0), ("x", "b", 4.0)], "k string, side string, n double")
     r = N.welch(df, ["k"], "n", "side").first()
