@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from squallframe import refs
-from squallframe.functions.scalar import clamp, col, linear, logistic, ms_to_knots, speed
+from squallframe.functions.scalar import angle, clamp, col, linear, logistic, ms_to_knots, speed
 
 
 
@@ -78,7 +78,7 @@ def esp(ml_cape, lr03):
 def sweat(td850, t_totals, u850, v850, u500, v500):
     """Wind in m/s; the direction terms use each level's own wind, the zeroing rules keep their order."""
     s850, s500 = speed(u850, v850), speed(u500, v500)
-    d850, d500 = F.degrees(F.atan2(col(v850), col(u850))), F.degrees(F.atan2(col(v500), col(u500)))
+    d850, d500 = angle(col(v850), col(u850)), angle(col(v500), col(u500))
     moist = 12.0 * floor0(col(td850))
     totals = F.when(col(t_totals) < 49, 0.0).otherwise(20.0 * (col(t_totals) - 49.0))
     turn = floor0(125.0 * (F.sin(F.radians(d500 - d850)) + 0.2))

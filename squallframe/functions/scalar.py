@@ -1,8 +1,12 @@
 """Scalar column expressions: calendar, units, geometry, wind."""
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from squallframe import refs
 
@@ -94,6 +98,17 @@ def speed(u, v):
     return F.sqrt(F.pow(col(u), 2) + F.pow(col(v), 2))
 
 
+@F.pandas_udf(DoubleType())
+def angle(y: pd.Series, x: pd.Series) -> pd.Series:
+    """atan2 of the C library, in degrees; null where a value is.
+
+    It is right to the last bit nearly always, Spark's own is not: rules that ask which of two angles is larger fall either way
+    where the angles are equal but for that bit.
+    """
+    ok = y.notna() & x.notna()
+    return pd.Series([math.degrees(math.atan2(b, a)) for b, a in zip(y, x)], index=y.index, dtype="float64").where(ok, None)
+
+
 def sector(direction) -> Column:
     """Index 0..15 of the 16 compass sectors."""
     return (F.floor(col(direction) / 22.5 + 0.5) % 16).cast("int")

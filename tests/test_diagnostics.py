@@ -1,10 +1,12 @@
 """The registry of named diagnostics: resolution, one shuffle, and columns computed by hand."""
+import math
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from squallframe.functions import composites as X
 from squallframe.operators import diagnostics as D
 
 NAMES = "col long, lev int, p double, z double, ta double, dp double, ua double, va double, parcel_sb double, parcel_ml double, parcel_mu double, parcel_down double"
@@ -104,3 +106,18 @@ def test_wrong_names_and_circles(monkeypatch):
 def test_levels_and_marks_are_no_results(levels):
     with pytest.raises(ValueError, match="not a value"):
         D.diagnose(levels, ["col"], ["te"])
+
+
+def test_equal_wind_directions_are_told_apart_as_the_c_library_does(spark):
+    # the same direction at both levels but for the last bit of an arc tangent
+    rng = np.random.default_rng(3)
+    u, v, k = rng.uniform(-15, 15, 4000), rng.uniform(-15, 15, 4000), rng.uniform(0.5, 2.0, 4000)
+    rows = [(i, 5.0, 40.0, float(a), float(b), float(a * c), float(b * c)) for i, (a, b, c) in enumerate(zip(u, v, k))]
+    df = spark.createDataFrame(rows, "i int, dp850 double, t_totals double, u850 double, v850 double, u500 double, v500 double")
+    got = {r["i"]: r for r in df.select("*", X.sweat("dp850", "t_totals", "u850", "v850", "u500", "v500").alias("s")).collect()}
+    for i, _, _, u8, v8, u5, v5 in rows:
+        d8, d5 = math.degrees(math.atan2(v8, u8)), math.degrees(math.atan2(v5, u5))
+        s8, s5 = math.hypot(u8, v8), math.hypot(u5, v5)
+        off = 130 <= d8 <= 250 or 210 <= d5 <= 310 or d5 - d8 > 0 or (s8 >= 7.71 and s5 >= 7.71)
+        want = 60.0 + 2 * 1.944 * s8 + 1.944 * s5 + (0.0 if off else max(0.0, 125 * (math.sin(math.radians(d5 - d8)) + 0.2)))
+        assert got[i]["s"] == pytest.approx(want, abs=1e-6)
