@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from squallframe import refs
-from squallframe.functions.scalar import angle, clamp, col, linear, logistic, ms_to_knots, speed
+from squallframe.functions.scalar import angle, clamp, col, linear, logistic, ms_to_knots, power, speed
 
 
 
@@ -149,7 +149,7 @@ def moshe(lr03, s01, ebwd, max_tevv):
 
 
 def cape_shear(cape, s06):
-    return col(cape) * F.pow(col(s06), F.lit(1.67))
+    return col(cape) * power(col(s06), F.lit(1.67))
 
 
 def dmgwind(dcape, wind):

@@ -109,6 +109,14 @@ def angle(y: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series([math.degrees(math.atan2(b, a)) for b, a in zip(y, x)], index=y.index, dtype="float64").where(ok, None)
 
 
+@F.pandas_udf(DoubleType())
+def power(x: pd.Series, e: pd.Series) -> pd.Series:
+    """Power of a value that is not negative, by the C library, which is nearer than Spark's own; null where a value is."""
+    ok = x.notna() & e.notna()
+    out = [math.pow(b, n) if b >= 0 else math.nan for b, n in zip(x, e)]
+    return pd.Series(out, index=x.index, dtype="float64").where(ok, None)
+
+
 def sector(direction) -> Column:
     """Index 0..15 of the 16 compass sectors."""
     return (F.floor(col(direction) / 22.5 + 0.5) % 16).cast("int")

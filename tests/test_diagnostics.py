@@ -121,3 +121,8 @@ def test_equal_wind_directions_are_told_apart_as_the_c_library_does(spark):
         off = 130 <= d8 <= 250 or 210 <= d5 <= 310 or d5 - d8 > 0 or (s8 >= 7.71 and s5 >= 7.71)
         want = 60.0 + 2 * 1.944 * s8 + 1.944 * s5 + (0.0 if off else max(0.0, 125 * (math.sin(math.radians(d5 - d8)) + 0.2)))
         assert got[i]["s"] == pytest.approx(want, abs=1e-6)
+
+
+def test_power_next_to_a_rounding_tie(spark):
+    one = spark.createDataFrame([(1681.9888961463098, 15.94351139352795), (1.0, None)], "cape double, s06 double")
+    assert [r[0] for r in one.select(X.cape_shear("cape", "s06")).collect()] == [171450.34569449996, None]
