@@ -200,14 +200,66 @@ def cross_validate(df: DataFrame, unique: str, predictors: Sequence[str], event:
 
 def cross_validate_sets(df: DataFrame, sets: Sequence[Sequence[str]], event: str, splits: Sequence[Column]) -> DataFrame:
     """The same for several predictor sets, all fitted together: (predictors, split, threshold, score, name)."""
-    asked = [({"predictors": " ".join(s), "split": i}, train, s) for s in sets for i, train in enumerate(splits)]
-    models = balanced_fits(df, event, [(train, s) for _, train, s in asked])
-    scored = _tests(df, event, [(keys, train, m) for (keys, train, _), m in zip(asked, models, strict=True)])
-    counts = K.threshold_counts(scored, ["predictors", "split"], "value", "event", PROB_STEPS, limits=(0.0, 1.0))
+    models = balanced_fits(df, event, [(train, s) for s in sets for train in splits])
+    counts = probability_counts(df, event, models, splits)
+    names = F.array(*[F.lit(" ".join(s)) for s in sets])
+    keyed = F.get(names, F.floor(F.col("fit") / len(splits)).cast("int")), (F.col("fit") % len(splits)).cast("int")
+    counts = counts.select(keyed[0].alias("predictors"), keyed[1].alias("split"), *[c for c in counts.columns if c != "fit"])
     best = [K.pick_best(K.with_score(counts, name), ["predictors", "split"]).withColumn("name", F.lit(name)) for name in ("hss", "pss")]
     return best[0].unionByName(best[1])
 
 
+def probability_counts(df: DataFrame, event: str, models: Sequence[Model], splits: Sequence[Column]) -> DataFrame:
+    """Contingency counts of every model on its split's test rows at PROB_STEPS thresholds from 0 to 1, by ``fit``, its place in ``models``.
+
+    The models stand in rounds of ``splits``, which are conditions for training rows.  A batch's probabilities are made with numpy and
+    counted by threshold at once, so a task sends a number per model and threshold, no row is repeated for a model, and the plan is as
+    large for many models as for one.
+    """
+    names = list(dict.fromkeys(p for m in models for p in m.predictors))
+    n = len(splits)
+    coefs = [{p: c for p, c in zip(m.predictors, m.coefs, strict=True)} for m in models]
+    intercepts = [m.intercept for m in models]
+    limits = 0.0 + np.arange(PROB_STEPS) * (1.0 / (PROB_STEPS - 1))
+    width = PROB_STEPS + 1
+    test = F.array(*[F.coalesce(~train, F.lit(False)) for train in splits])
+    rows = df.where(F.col(event).isNotNull()).select(
+        F.col(event).cast("long").alias("y"), F.array(*[F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in names]).alias("x"),
+        F.array(*[F.col(p).isNull() for p in names]).alias("none"), test.alias("test"),
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(models), width))
+        for batch in batches:
+            y = batch.column("y").to_numpy().astype(float)
+            x, none, held = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) for c in ("x", "none", "test"))
+            for f in range(len(models)):
+                own = held[:, f % n]
+                for i, p in enumerate(names):
+                    if p in coefs[f]:
+                        own = own & ~none[:, i]
+                eta = np.full(int(own.sum()), intercepts[f])
+                for i, p in enumerate(names):
+                    if p in coefs[f]:
+                        eta += coefs[f][p] * x[own, i]
+                with np.errstate(over="ignore"):
+                    v = 1.0 / (1.0 + np.exp(-eta))
+                e = y[own]
+                for at, side in enumerate(("left", "right")):  # thresholds below the value, and those up to it
+                    spot = np.searchsorted(limits, v, side)
+                    total[2 * at, f] += np.bincount(spot, e, width)
+                    total[2 * at + 1, f] += np.bincount(spot, 1.0 - e, width)
+        fit, i = np.divmod(np.arange(len(models) * width), width)
+        sums = [pa.array(np.rint(t.ravel()).astype(np.int64)) for t in total]
+        yield pa.RecordBatch.from_arrays([pa.array(fit, pa.int32()), pa.array(i, pa.int32()), *sums], names=["fit", "i", *cells])
+
+    cells = ["e_gt", "o_gt", "e_lt", "o_lt"]
+    per = rows.mapInArrow(count, "fit int, i int, " + ", ".join(f"{c} long" for c in cells)).groupBy("fit", "i").agg(*[F.sum(c).alias(c) for c in cells])
+    whole = Window.partitionBy("fit")  # a row per threshold
+    per = per.withColumns({"e_total": F.sum("e_gt").over(whole), "n_total": F.sum(F.col("e_gt") + F.col("o_gt")).over(whole), "lo": F.lit(0.0), "step": F.lit(1.0 / (PROB_STEPS - 1))})
+    return K.running_contingency(settle(per.where("n_total > 0")), ["fit"], PROB_STEPS)
+
+
 def summarise_splits(scores: DataFrame) -> DataFrame:
     return scores.groupBy("name").agg(
         F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.avg("threshold").alias("threshold")

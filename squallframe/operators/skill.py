@@ -104,6 +104,16 @@ def threshold_counts(
     per = marked.select(*keys, *fixed, F.inline(spots)).groupBy(*keys, "i").agg(
         *[F.sum(c).alias(c) for c in names], *[F.first(c).alias(c) for c in fixed]
     )
+    return running_contingency(per, keys, steps)
+
+
+def running_contingency(per: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
+    """Contingency counts at every threshold from the events and others (e_gt, o_gt, e_lt, o_lt) that change side at ``i``.
+
+    ``per`` has a row per (keys, i) where a count changes, i = 0 always, with lo, step, n_total and e_total of the key.
+    """
+    names, fixed = ["e_gt", "o_gt", "e_lt", "o_lt"], ["lo", "step", "n_total", "e_total"]
+    at = lambda i: F.col("lo") + i * F.col("step")
     w = Window.partitionBy(*keys).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     run = per.select(*keys, *fixed, F.col("i").alias("_from"), F.lead("i").over(w).alias("_next"), *[F.sum(c).over(upto).alias(c) for c in names])

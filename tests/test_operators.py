@@ -228,6 +228,27 @@ def test_thermodynamics(spark):
     assert one(spark, T.theta_v_k(F.lit(290.0), F.lit(90000.0), F.lit(1200.0))) > one(spark, T.theta_k(F.lit(290.0), F.lit(90000.0)))
 
 
+def test_scoring_many_models_is_one_small_plan(spark):
+    rows = [(i, float(i % 7), None if i % 11 == 0 else float(i % 5), int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, e int")
+    splits = [F.col("id") % 4 != k for k in range(4)]
+    models = [L.Model(("a",), (0.3,), -0.5), *[L.Model(("a", "b"), (0.1, 0.2 * k), -0.4) for k in range(3)]]
+    got = {(r["fit"], r["i"]): tuple(r)[2:] for r in L.probability_counts(df, "e", models, splits).collect()}
+    long = L._tests(df, "e", [({"fit": k}, splits[k], m) for k, m in enumerate(models)])
+    want = K.threshold_counts(long, ["fit"], "value", "event", L.PROB_STEPS, limits=(0.0, 1.0)).collect()
+    assert got == {(r["fit"], r["i"]): tuple(r)[2:] for r in want}
+    size = lambda sets: len(L.cross_validate_sets(df, sets, "e", splits)._jdf.queryExecution().analyzed().toString())
+    assert size([["a"], ["b"], ["a", "b"]]) < 1.5 * size([["a"]])
+
+
+def test_cutoffs_hold_the_exact_share(spark, monkeypatch):
+    monkeypatch.setattr(L, "CUT_BINS", 8)
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("e"))
+    for s, train in enumerate(L.stratified_splits(df, "id", "e", 3)):
+        kept = {r["e"]: r["count"] for r in df.where(train).groupBy("e").count().collect()}
+        assert kept == {1: 53, 0: 106}, s
+
+
 def test_welch_of_equal_values_in_partitions(spark):
     # partial variances of 49 ones each used to merge to more than zero, so that t was 0 and p 1 in place of null
     ones = spark.range(0, 49 * 6, 1, 6).select(F.lit("k").alias("k"), F.lit(1.0).alias("n"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("side"))
