@@ -162,16 +162,29 @@ def split_draw(seed: str, split, unique: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double")
 
 
+CUT_BINS = 4096  # slices of the draws; the draws are even, so a slice holds one in so many of a class's rows
+
+
 def stratified_cutoffs(df: DataFrame, unique: str, event: str, n_splits: int, train_share: float = 0.8, seed: str = "l2") -> DataFrame:
     """(split, event, cut): rows of a class with a draw up to ``cut`` are that split's training part.
 
-    The cut is the draw of the class's last training row, so the share is exact per class.
+    The cut is the draw of the class's last training row, so the share is exact per class.  Draws are counted by slices first;
+    only the slice that holds the cut is put in order.
     """
-    ids = df.select(unique, event).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    drawn = ids.withColumn("_u", split_draw(seed, F.col("split").cast("string"), unique))
-    rc = running_counts(value_counts(drawn, ["split", event], "_u"), ["split", event], "_u")
-    k = F.floor(F.col("n_total") * train_share)
-    return rc.where((F.col("n_lt") < k) & (k <= F.col("n_le"))).select("split", event, F.col("_u").alias("cut"))
+    ids = settle(df.select(unique, event))  # two passes read them
+    drawn = ids.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    drawn = drawn.withColumn("_u", split_draw(seed, F.col("split").cast("string"), unique)).where(F.col("_u").isNotNull())
+    drawn = drawn.withColumn("_slice", F.floor(F.col("_u") / HASH_SPACE * CUT_BINS).cast("int"))
+    w = Window.partitionBy("split", event)  # the slices only
+    slices = drawn.groupBy("split", event, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
+    slices = slices.select("split", event, "_slice", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.floor(F.sum("_n").over(w) * train_share).alias("_k"))
+    held = slices.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_upto"))).select("split", F.col(event).alias("_e"), "_slice", "_before", "_k")
+    inside = drawn.join(F.broadcast(held.withColumnRenamed("split", "_s").withColumnRenamed("_slice", "_t")),  # one row per split and class
+                        (F.col("split") == F.col("_s")) & F.col(event).eqNullSafe(F.col("_e")) & (F.col("_slice") == F.col("_t")))
+    draws = inside.groupBy("split", event, "_before", "_k", "_u").agg(F.count(F.lit(1)).alias("_n"))
+    le = F.col("_before") + F.sum("_n").over(w.orderBy("_u").rowsBetween(Window.unboundedPreceding, 0))
+    return draws.withColumn("_le", le).where((F.col("_le") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_le"))).select("split", event, F.col("_u").alias("cut"))
 
 
 def stratified_splits(df: DataFrame, unique: str, event: str, n_splits: int, train_share: float = 0.8, seed: str = "l2") -> list[Column]:

@@ -14,8 +14,12 @@ from squallframe.session import settle
 
 
 def _rows(t):
-    """Aligned events, stored once: every fit below reads them several times."""
-    return settle(_events(t).select("event_id", "is_sta", *PARAMS))
+    """Aligned events, stored once: every fit below reads them several times.
+
+    They are spread over the cores by number, as the work goes with rows x fits: by size a whole table of them made a task or two.
+    """
+    rows = _events(t).select("event_id", "is_sta", *PARAMS)
+    return settle(rows.repartition(3 * t.spark.sparkContext.defaultParallelism, "event_id"))
 
 
 HASH = "CAST('0x' || SUBSTR(MD5('l2:' || split || ':' || event_id), 1, 12) AS BIGINT)"
