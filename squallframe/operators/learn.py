@@ -391,30 +391,40 @@ def recursive_elimination(
     rows = settle(scaled(df, predictors, how))  # every step of every fit reads them
     left, out = list(predictors), []
 
-    def auc():
-        return {"auc": float(fold_auc(rows, unique, left, event, folds).agg(F.avg("auc")).first()[0])} if unique else {}
+    trains = _fold_trains(unique, folds) if unique else []
+
+    def fits():
+        """The model on all rows, and the folds' AUC; all are fitted together."""
+        model, *parts = balanced_fits(rows, event, [(t, left) for t in (None, *trains)])
+        return model, {"auc": float(_fold_auc(rows, event, trains, parts).agg(F.avg("auc")).first()[0])} if unique else {}
 
     while len(left) > keep:
-        model = balanced_fit(rows, left, event)
+        model, auc = fits()
         size = dict(zip(model.predictors, map(abs, model.coefs), strict=True))
         worst = min(left, key=lambda p: (size[p], p))
-        out.append({"round": len(out) + 1, "removed": worst, "coef": size[worst], "predictors": " ".join(left)} | auc())
+        out.append({"round": len(out) + 1, "removed": worst, "coef": size[worst], "predictors": " ".join(left)} | auc)
         left.remove(worst)
     if unique:
-        out.append({"round": len(out) + 1, "removed": None, "coef": None, "predictors": " ".join(left)} | auc())
+        out.append({"round": len(out) + 1, "removed": None, "coef": None, "predictors": " ".join(left)} | fits()[1])
         top = max(r["auc"] for r in out)
         for r in out:
             r["best"] = r["auc"] == top
     return out
 
 
+def _fold_trains(unique: str, folds: int, seed: str = "l7") -> list[Column]:
+    fold = F.floor(split_draw(seed, "f", unique) / HASH_SPACE * folds).cast("int")
+    return [fold != f for f in range(folds)]
+
+
+def _fold_auc(df: DataFrame, event: str, trains: Sequence[Column], models: Sequence[Model]) -> DataFrame:
+    return K.auc(_tests(df, event, [({"fold": f}, t, m) for f, (t, m) in enumerate(zip(trains, models, strict=True))]), ["fold"])
+
+
 def fold_auc(df: DataFrame, unique: str, predictors: Sequence[str], event: str, folds: int = 5, seed: str = "l7") -> DataFrame:
     """AUC of each fold's held-out rows."""
-    fold = F.floor(split_draw(seed, "f", unique) / HASH_SPACE * folds).cast("int")
-    rows = df.withColumn("fold", fold)
-    trains = [F.col("fold") != f for f in range(folds)]
-    models = balanced_fits(rows, event, [(t, predictors) for t in trains])
-    return K.auc(_tests(rows, event, [({"fold": f}, t, m) for f, (t, m) in enumerate(zip(trains, models, strict=True))]), ["fold"])
+    trains = _fold_trains(unique, folds, seed)
+    return _fold_auc(df, event, trains, balanced_fits(df, event, [(t, predictors) for t in trains]))
 
 
 def gram(df: DataFrame, predictors: Sequence[str]) -> np.ndarray:
