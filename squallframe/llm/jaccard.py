@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from squallframe.session import settle
 U = np.uint64
 ID = pa.decimal128(38, 0)  # 126 bits of a hash of the whole set
 LEAF, FAN = 32, 8
+FIRST = 16  # of a set's blocks that its rows name, so that a pair is taken in one of those it shares
 BLOCK = 4096  # rows of a block that are held at a time; longer ones are cut and met in pairs
 HOT, SALTS = 1024, 64  # rows from which a star is met in several groups, and how many
 MOST_CELLS, MOST_FLAGS = 22, 27  # bits of the places in the frequency sketch and in a filter of flags
@@ -144,6 +146,17 @@ def flagged(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
     return hit
 
 
+def lookup(values: DataFrame, rows: int):
+    """A function of a column of longs: false where the value is not in ``values``, and nearly always only there."""
+    known = values.sparkSession.sparkContext.broadcast(flags(values, rows))
+
+    @F.pandas_udf("boolean")
+    def seen(value: pd.Series) -> pd.Series:
+        return pd.Series(flagged(*known.value, value.to_numpy().view(U)))
+
+    return seen
+
+
 # --- passes over the texts
 
 
@@ -244,8 +257,8 @@ def verified(found: DataFrame, pairs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def signature_bits(n: int) -> int:
-    """Bits of a set's bitmap: a power of two from twice its size on."""
-    return max(256, min(1 << 16, 1 << (2 * n - 1).bit_length()))
+    """Bits of a set's bitmap: a power of two from eight times its size on; narrower ones pass many pairs that are far from a link."""
+    return max(256, min(1 << 16, 1 << (8 * n - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -347,19 +360,24 @@ def tree_pairs(n: np.ndarray, maps: list[bytes], side: np.ndarray, spec: Spec) -
                 yield rows[0][at[a]], rows[1][other_at[b]]
 
 
-def block_pairs(blocks: DataFrame, spec: Spec, one_of_each: bool) -> DataFrame:
-    """Candidate pairs (a, b) of rows (token, lo, hi, side, id, n, root, bits) that stream by block by block.
+def met_in_blocks(blocks: DataFrame, spec: Spec, one_of_each: bool) -> DataFrame:
+    """Candidate pairs (ra, rb, apart, a, b) of rows (token, lo, hi, side, id, n, root, first, bits) that stream by block by block.
 
-    With ``one_of_each`` a block gives one pair for any two roots, the nearest in size, and of all blocks' pairs one stays.
+    Sets that share many shingles meet in as many blocks; a block leaves a pair to an earlier one if both rows name that in ``first``.
+    The earliest that they share never does, so no pair is lost.  With ``one_of_each`` a block gives one pair for any two roots,
+    the nearest in size.
     """
 
-    def found(held: list) -> Iterator[tuple]:
-        side, ids, n, root, maps = zip(*held)
+    def found(token: int, held: list) -> Iterator[tuple]:
+        side, ids, n, root, first, maps = zip(*held)
         n, root = np.array(n), np.array(root)
+        earlier = [{t for t in f if t < token} for f in first]
         best = {}
-        for a, b in tree_pairs(n, list(maps), np.array(side), spec):
+        for a, b in tree_pairs(n, [zlib.decompress(m) for m in maps], np.array(side), spec):
             apart = root[a] != root[b]
             for i, j in zip(a[apart], b[apart]):
+                if not earlier[i].isdisjoint(earlier[j]):
+                    continue
                 i, j = (i, j) if (root[i], ids[i]) < (root[j], ids[j]) else (j, i)
                 pair = (abs(int(n[i]) - int(n[j])), ids[i], ids[j])
                 of = (int(root[i]), int(root[j]))
@@ -376,19 +394,24 @@ def block_pairs(blocks: DataFrame, spec: Spec, one_of_each: bool) -> DataFrame:
             for token, lo, hi, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if (token, lo, hi) != own:
                     if len(held) > 1:
-                        yield from found(held)
+                        yield from found(own[0], held)
                     own, held = (token, lo, hi), []
                 held.append(rest)
         if len(held) > 1:
-            yield from found(held)
+            yield from found(own[0], held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimals = lambda x: pa.array(x, ID)
         yield from batched(pairs(batches), ["ra", "rb", "apart", "a", "b"], [longs, longs, longs, decimals, decimals])
 
     where = ["token", "lo", "hi"]
-    rows = blocks.select(*where, "side", "id", "n", "root", "bits").repartition(*where).sortWithinPartitions(*where)
-    made = rows.mapInArrow(run, "ra long, rb long, apart long, a decimal(38,0), b decimal(38,0)")
+    rows = blocks.select(*where, "side", "id", "n", "root", "first", "bits").repartition(*where).sortWithinPartitions(*where)
+    return rows.mapInArrow(run, "ra long, rb long, apart long, a decimal(38,0), b decimal(38,0)")
+
+
+def block_pairs(blocks: DataFrame, spec: Spec, one_of_each: bool) -> DataFrame:
+    """The pairs (a, b) of ``met_in_blocks``; with ``one_of_each`` one for any two roots, of all blocks' pairs the nearest in size."""
+    made = met_in_blocks(blocks, spec, one_of_each)
     if one_of_each:
         return made.groupBy("ra", "rb").agg(F.min(F.struct("apart", "a", "b")).alias("one")).select("one.a", "one.b")
     return made.select("a", "b").distinct()
@@ -412,7 +435,8 @@ def candidates(texts: DataFrame, rare: np.ndarray, bits: int, spec: Spec) -> Dat
     """The sets that may link at all: (id, text, n, star, tokens, bits), a row per set.
 
     Shingles are ordered from rare to frequent.  Sets that link share one of the first of each, so only sets with a shared one
-    matter; ``tokens`` are those, ``text`` the hash of a text with this set, ``star`` as by ``star_of``, ``bits`` the signature.
+    matter; ``tokens`` are those, ``text`` the hash of a text with this set, ``star`` as by ``star_of``, ``bits`` the signature,
+    packed, as few of its bits are set.
     """
     order = texts.sparkSession.sparkContext.broadcast(rare)
 
@@ -436,7 +460,7 @@ def candidates(texts: DataFrame, rare: np.ndarray, bits: int, spec: Spec) -> Dat
                 p = prefix(tokens)
                 hit = p[flagged(table, width, p.view(U))]
                 if len(hit):
-                    yield own, text, len(tokens), star_of(tokens, spec), hit.tolist(), bitmap(tokens)
+                    yield own, text, len(tokens), star_of(tokens, spec), hit.tolist(), zlib.compress(bitmap(tokens), 1)
 
         lists, binaries = (lambda x: pa.array(x, pa.list_(pa.int64()))), (lambda x: pa.array(x, pa.binary()))
         yield from batched(rows(), ["id", "text", "n", "star", "tokens", "bits"], [id_array, longs, longs, longs, lists, binaries], 512)
@@ -523,7 +547,8 @@ def first_links(texts: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
 
 
 def blocks_between(named: DataFrame) -> DataFrame:
-    """Rows for ``block_pairs``: each shared shingle makes a block of (id, n, root, bits).
+    """Rows for ``block_pairs``: each shared shingle makes a block of (id, n, root, first, bits), with the set's ``FIRST`` least shingles
+    that make one.
 
     Blocks whose sets are all connected go, and of blocks with the same sets, by 128 bits of hashes, one stays.
     """
@@ -531,10 +556,28 @@ def blocks_between(named: DataFrame) -> DataFrame:
     members = [F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "id")).alias("y")]
     live = placed.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("g"), *members).where("l <> g")
     live = live.groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("cuts"))
-    placed = placed.join(live, "token").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = placed.select("id", "token", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
-    return cells.join(named.select("id", "n", "root", "bits"), "id")
+    of_set = placed.join(live, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "cuts"))).alias("blocks"))
+    rows = of_set.join(named.select("id", "n", "root", "bits"), "id").withColumn("first", F.slice("blocks.token", 1, FIRST))
+    rows = rows.withColumn("block", F.explode("blocks")).select("id", "n", "root", "first", "bits", "block.*")
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    side = (F.col("cut") > F.col("other")).cast("int").alias("side")
+    return rows.select("token", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), side, "id", "n", "root", "first", "bits")
+
+
+def unsettled(named: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(id) of the sets that may still link to another component, after one pair of each two that meet was verified.
+
+    Components whose pair links are one now, and those that do not meet have no pair that may link.  What is left are components whose
+    pair does not link, unless that is their only one.
+    """
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("sets"))
+    own = named.select("id", "root").join(sizes, "root")
+    ends = pairs.join(links, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        ends = ends.join(own.select(F.col("id").alias(end), F.col("root").alias(f"r{end}"), F.col("sets").alias(f"n{end}")), end)
+    ends = ends.where("na > 1 or nb > 1")
+    roots = ends.select(F.col("ra").alias("root")).unionAll(ends.select(F.col("rb").alias("root"))).distinct()
+    return settle(named.join(roots, "root").select("id"))
 
 
 def connected(texts: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
@@ -542,18 +585,24 @@ def connected(texts: DataFrame, found: DataFrame, spec: Spec) -> DataFrame:
 
     What ``first_links`` finds connects most.  Then blocks of sets that share a rare shingle meet in signature trees: a first pass
     verifies one pair for any two components that meet, which joins the parts of large groups of near copies at a cost
-    in proportion to the parts; a second one verifies all pairs of what is still apart.
+    in proportion to the parts; a second one verifies all pairs of what is still apart and not settled by the first.
     """
     roots = settle(components(first_links(texts, found, spec)))
     light = found.select("id", "n", "tokens", "bits")
     for one_of_each in (True, False):
-        named = settle(rooted(light, roots, "id", "root").withColumn("root", F.xxhash64("root")))
+        named = rooted(light if one_of_each else light.join(left, "id"), roots, "id", "root")
+        named = settle(named.withColumn("root", F.xxhash64("root")))
         pairs = settle(block_pairs(blocks_between(named), spec, one_of_each))
         if pairs.isEmpty():
             break
         ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = settle(found.select("id", "text").join(ids, "id").select("text"))
-        roots = joined_components(roots, verified(sets_of(texts, wanted, spec), pairs, spec))
+        links = verified(sets_of(texts, wanted, spec), pairs, spec)
+        roots = joined_components(roots, links)
+        if one_of_each:
+            left = unsettled(named, pairs, links)
+            if left.isEmpty():
+                break
     return roots
 
 

@@ -1,6 +1,7 @@
 """Chats, nearest neighbours, the Jaccard join and the registered queries against brute force."""
 import collections
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -206,6 +207,28 @@ def test_trees_keep_every_pair_that_links():
     assert {p for p in link if side[p[0]] != side[p[1]]} <= across and all(side[i] != side[j] for i, j in across)
 
 
+def test_blocks_do_not_repeat_pairs_nor_make_far_ones(spark):
+    rng = np.random.default_rng(3)
+    spec = jaccard.Spec()
+    common = np.arange(1, 131, dtype=np.uint64)
+    core = rng.integers(0, 1 << 62, 130).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core, rng.integers(0, 1 << 62, 5 if i < 4 else 30).astype(np.uint64)])) for i in range(40)]
+    # all share ten blocks, but for one block that the first and the last row leave, so that no two blocks are alike
+    rows = [(i, len(s), i, [int(t) for t in common[:10] if t != i + 1], zlib.compress(jaccard.bitmap(s))) for i, s in enumerate(sets)]
+    named = spark.createDataFrame(rows, "id long, n long, root long, tokens array<long>, bits binary").withColumn("id", F.col("id").cast("decimal(38,0)"))
+    link = {(i, j) for i in range(40) for j in range(i + 1, 40) if spec.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    made = [(int(r["a"]), int(r["b"])) for r in jaccard.met_in_blocks(jaccard.blocks_between(named), spec, False).collect()]
+    assert len(made) == len(set(made)) and link == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)} and link <= set(made) and len(made) < 100
+
+
+def test_only_unsettled_components_are_searched_again(spark):
+    named = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6)], "id long, root long")
+    pairs = spark.createDataFrame([(1, 3), (4, 5), (6, 5)], "a long, b long")
+    links = spark.createDataFrame([(6, 5)], pairs.schema)
+    # 1 and 3 did not link, but 2 and 3 may; 4 and 5 have no other pair; 6 and 5 are one component
+    assert sorted(int(r["id"]) for r in jaccard.unsettled(named, pairs, links).collect()) == [1, 2, 3]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)] + [(200, 200), (301, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
