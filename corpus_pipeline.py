@@ -33,7 +33,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(name, key)
     linked = jaccard.link_documents(keyed, name, "text", shingle=5, percent=80).where("component is not null")
     dropped = settle(linked.where("key <> component_id").select(F.col("key").alias(name)).distinct())
-    kept = keyed.join(dropped, name, "left_anti")
+    # only what a filter of bounded size takes for dropped has to meet the dropped keys
+    hashed = F.xxhash64(name)
+    maybe = jaccard.lookup(dropped.select(hashed), dropped.count())(hashed)
+    kept = keyed.where(~maybe).unionByName(keyed.where(maybe).join(dropped, name, "left_anti"))
     # a row that repeats the id and the text of the one that stays
     again = settle(linked.where("key = component_id").groupBy("key").count().where("count > 1").select(F.col("key").alias(name)))
     if not again.isEmpty():
